@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import common, decontaminate, packing, token_files
+from graphspark.llm import common, decontaminate, language_id, packing, quality_model, quality_rules, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,24 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda key, start, ids: (key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.learn(docs))
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return quality_model.score(docs, quality_model.train(docs, common.table(spark, sf_dir, "labels")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op8_pack)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op5_quality_rules, op6_quality_model, op8_pack, op10_language_id)}
 ORACLES: dict[str, str] = {}
