@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import common, decontaminate, language_id, packing, quality_model, quality_rules, token_files
+from graphspark.llm import chat_format, common, decontaminate, language_id, packing, quality_model, quality_rules, token_counts, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,17 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(docs, quality_model.train(docs, common.table(spark, sf_dir, "labels")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_lines(common.table(spark, sf_dir, "documents"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.union(added)))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.train(docs))
@@ -39,5 +50,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op5_quality_rules, op6_quality_model, op8_pack, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op5_quality_rules, op6_quality_model, op7_token_counts, op8_pack, op9_chat_format, op10_language_id)}
 ORACLES: dict[str, str] = {}
