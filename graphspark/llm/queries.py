@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import chat_format, common, decontaminate, language_id, packing, quality_model, quality_rules, token_counts, token_files
+from graphspark.llm import chat_format, common, decontaminate, language_id, packing, quality_model, quality_rules, suffix_dedup, token_counts, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda key, start, ids: (key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(common.table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.learn(docs))
@@ -50,5 +54,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op5_quality_rules, op6_quality_model, op7_token_counts, op8_pack, op9_chat_format, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_suffix_dedup, op5_quality_rules, op6_quality_model, op7_token_counts, op8_pack, op9_chat_format, op10_language_id)}
 ORACLES: dict[str, str] = {}
