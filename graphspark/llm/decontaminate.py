@@ -229,10 +229,10 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, most_covered: float = 0.5, least_run: int = 10, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int = 10, most_covered: float = 0.5, least_run: int = 1, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """Documents without what the items share with them; columns are kept.
 
-    Runs of hit words of at least ``least_run`` are cut from the text (with what lies between
+    Runs of at least ``least_run`` hit words (by default all) are cut from the text (with what lies between
     their words); a document of which more than ``most_covered`` of the words are hit goes.
     """
     schema, chars = docs.schema, "n_chars" in docs.columns

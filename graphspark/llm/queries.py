@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from graphspark.llm import chat_format, common, decontaminate, language_id, packing, quality_model, quality_rules, suffix_dedup, token_counts, token_files
+from graphspark.llm import chat_format, common, decontaminate, language_id, near_dedup, packing, quality_model, quality_rules, suffix_dedup, token_counts, token_files
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(common.table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(common.table(spark, sf_dir, "documents"), common.fresh_dir(spark, "tokens"))
     return token_files.read_tokens(manifest, "doc_id long, start long, n_tokens long, ids_crc32 long", lambda key, start, ids: (key, start, len(ids), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4"))))
@@ -54,5 +58,5 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_token_files, op4_suffix_dedup, op5_quality_rules, op6_quality_model, op7_token_counts, op8_pack, op9_chat_format, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_near_dedup, op3_token_files, op4_suffix_dedup, op5_quality_rules, op6_quality_model, op7_token_counts, op8_pack, op9_chat_format, op10_language_id)}
 ORACLES: dict[str, str] = {}
