@@ -26,7 +26,7 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
         out.write.parquet(f"{tmp_path}/{name}")
         docs = spark.read.parquet(f"{tmp_path}/{name}")
         seen[name] = docs.collect()
-    assert {r.doc_id for r in seen["quality_rules"]} == {d for d, t, *_ in rows if len((t or "").split()) >= 20}
+    assert {r.doc_id for r in seen["quality_rules"]} == {d for d, t, *_ in rows if len((t or "").split()) >= 20 and not t.isupper()}
     by = {r.doc_id: r.class_id for r in near_dedup.classes(spark.read.parquet(f"{tmp_path}/quality_rules")).collect()}
     assert sorted(r.doc_id for r in seen["near_dedup"]) == sorted(d for d, c in by.items() if d == c)
     want = brute([(r.doc_id, r.text) for r in seen["near_dedup"]], 100)
