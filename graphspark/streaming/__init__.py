@@ -1,0 +1 @@
+"""Nothing is streamed: the query language has no streams."""
