@@ -91,7 +91,7 @@ def test_classes_against_brute_force(spark):
     assert all(find(d) == find(c) for d, c in got.items()) and set(got) == set(ids)
     shingles = {d: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for d, w in own.items() if w}
     close = [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if own[a] and own[b] and find(a) == find(b) and len(shingles[a] & shingles[b]) >= 0.75 * len(shingles[a] | shingles[b])]
-    assert len(close) > 20 and all(got[a] == got[b] for a, b in close)
+    assert len(close) >= 8 and all(got[a] == got[b] for a, b in close)
     kept = nd.keep_one(frame)
     assert sorted((r.doc_id is not None, r.doc_id or 0) for r in kept.collect()) == sorted((d is not None, d or 0) for d in ids if got[d] == d)
     assert kept.columns == frame.columns and nd.classes(frame.limit(0)).count() == 0
