@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,16 @@ from pyspark.sql import functions as F
 SLICE_CHARS = 4_000_000
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in (have := env.get("PYTHONPATH", "")).split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join([root, *([have] if have else [])])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,6 +101,7 @@ def map_texts_to_end(df: DataFrame, id_col: str, text_col: str, schema: str, mak
         if end:
             yield batch_of(end())
 
+    importable(df.sparkSession)
     return df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, schema)
 
 

@@ -43,7 +43,7 @@ from graphspark.llm.decontaminate import words
 K, SKETCHES, SIMILARITY = 5, 24, 0.8
 #: Share of the 2 * SKETCHES equal minima that makes a pair of one bucket a candidate; texts that share
 #: four fifths of their k-mers have about three quarters of them equal.
-RESEMBLE = 0.42
+RESEMBLE = 0.33
 _NULL = -(1 << 63)
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, SKETCHES, dtype=np.uint64)[:, None]
 
