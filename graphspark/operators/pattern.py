@@ -296,9 +296,9 @@ class Match:
 
     def _levels(self, df: DataFrame, edge: list, start: str, end: str, direction: str, forward: bool, keys: dict) -> DataFrame:
         rel, f = edge[2], self.frame
-        if rel.var and rel.var in f.scope:
-            raise Unsupported("a bound list of relationships in a pattern")
         lo, hi = rel.length
+        if rel.var and rel.var in f.scope:
+            return self._given(df, edge, start, end, direction, forward, keys)
         prefix = f.fresh("v")
         elem, scan, tables = scan_rels(f, rel, direction)
         for t in self._props(Val(elem_type(elem), elem=elem), rel.props):
@@ -349,6 +349,37 @@ class Match:
         return self._node_tests(df.join(scan, F.col(f"{prefix}__end") == node.at("id")), end, nodes, bound=False)
 
 
+    def _given(self, df: DataFrame, edge: list, start: str, end: str, direction: str, forward: bool, keys: dict) -> DataFrame:
+        """A list of relationships that is there already: kept if it is a walk between the ends."""
+        rel, f = edge[2], self.frame
+        v, (lo, hi), prefix = f.scope[rel.var], rel.length, f.fresh("v")
+        if v.t.kind != "list" or v.t.elem.kind not in ("rel", "null"):
+            raise InvalidQuery(f"VariableTypeConflict {rel.var}")
+        steps = v.column() if forward else F.reverse(v.column())
+
+        def walk_on(at, x):
+            out, back = F.when(at == x["src"], x["dst"]), F.when(at == x["dst"], x["src"])
+            return out if direction == "out" else back if direction == "in" else F.coalesce(out, back)
+
+        test = steps.isNotNull() & (F.size(steps) >= lo) & (F.size(F.array_distinct(F.transform(steps, lambda x: x["id"]))) == F.size(steps))
+        if hi is not None:
+            test = test & (F.size(steps) <= hi)
+        far = F.aggregate(steps, self.elems[start].at("id"), walk_on)
+        df = df.where(test).withColumns({f"{prefix}__end": far, f"{prefix}__ids": F.transform(steps, lambda x: x["id"])})
+        df = df.where(F.col(f"{prefix}__end").isNotNull())
+        edge[5] = Val(v.t, v.column())
+        edge[5]._steps = F.transform(v.column(), lambda x: x.withField("to", x["dst"] if rel.direction == "out" else x["src"]))
+        for other, value in self.rel_values:
+            df = df.where(~F.array_contains(f"{prefix}__ids", value) if not isinstance(value, tuple) else ~F.arrays_overlap(F.col(f"{prefix}__ids"), value[0]))
+        self.rel_values.append((None, (F.col(f"{prefix}__ids"),)))
+        if end in self.elems:
+            return df.where(F.col(f"{prefix}__end") == self.elems[end].at("id"))
+        label = self._label(keys[end])
+        node, scan = scan_nodes(f, label if self._static(label) else None)
+        self.elems[end] = node
+        return self._node_tests(df.join(scan, F.col(f"{prefix}__end") == node.at("id")), end, keys[end], bound=False)
+
+
 def pattern_names(parts: list[N]) -> set[str]:
     return {x.var for p in parts for x in [*p.nodes, *p.rels] if x.var}
 

@@ -56,7 +56,7 @@ def graph_of(spark: SparkSession, sf_dir: str, names: set[str] | None = None) ->
             g = g.with_nodes(label, table(label, NODES[label][0]), NODES[label][1])
     for t in types:
         name, src, dst, key, props = RELS[t]
-        g = g.with_rels(t, table(t, name), src, dst, key, props)
+        g = g.with_rels(t, table(t, name), src, dst, key, props, complete=True)  # the test tables have no orphans
     return g
 
 

@@ -68,10 +68,11 @@ class PropertyGraph:
         own = df.select(node_id(tags[label], F.col(key)).alias("id"), F.array(F.lit(label)).alias("labels"), *cols)
         return replace(self, nodes=(*self.nodes, NodeTable(own, frozenset([label]))), tags=tags)
 
-    def with_rels(self, kind: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], key: str | None = None, props: list[str] = (), complete: bool = True) -> "PropertyGraph":
+    def with_rels(self, kind: str, df: DataFrame, src: tuple[str, str], dst: tuple[str, str], key: str | None = None, props: list[str] = (), complete: bool = False) -> "PropertyGraph":
         """A table as relationships; ``src`` and ``dst`` are (label, column of its keys).
 
-        Without ``key`` a row's place in its file is its id.  ``complete``: no end is missing.
+        Without ``key`` a row's place in its file is its id.  ``complete`` vouches that no end is
+        missing from its label's table, so that plans may leave out joins that only test that.
         """
         place = F.col("_metadata.row_index") if len(df.inputFiles()) < 2 else F.xxhash64("_metadata.file_path", "_metadata.row_index")
         tag = len(self.rels) + 1

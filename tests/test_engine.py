@@ -27,6 +27,9 @@ def rows(g, text, **params):
     ("MATCH p = (a {name:'Alice'})-[:KNOWS*1..3]->(b) RETURN b.name AS n, length(p) AS l, size(nodes(p)) AS k ORDER BY l", [("Bob", 1, 2), ("Cy", 2, 3), ("Alice", 3, 4)]),
     ("MATCH (a:Person)-[:KNOWS*]->(b) RETURN a.name AS a, count(*) AS c ORDER BY a", [("Alice", 3), ("Bob", 3), ("Cy", 3)]),
     ("MATCH (a {name:'Cy'})<-[rs:KNOWS*2]-(b) RETURN b.name AS n, [r IN rs | r.w] AS w", [("Alice", [2, 1])]),
+    ("MATCH (a {name:'Alice'})-[rs:KNOWS*2]->(b) WITH rs MATCH (x)-[rs*1..3]->(y) RETURN x.name AS x, y.name AS y", [("Alice", "Cy")]),
+    ("MATCH (a {name:'Alice'})-[rs:KNOWS*2]->(b) WITH rs, b MATCH (b)<-[rs*2]-(y) RETURN y.name AS y", []),
+    ("MATCH (a {name:'Alice'})-[rs:KNOWS*2]->(b) WITH rs, b MATCH (y)-[rs*2..]-(b) RETURN y.name AS y", [("Alice",)]),
     ("MATCH (a:Person) RETURN a.name AS n, [(a)-[:KNOWS]->(b) WHERE b.age > 26 | b.name] AS l ORDER BY n", [("Alice", []), ("Bob", ["Cy"]), ("Cy", ["Alice"])]),
     ("MATCH (a:Person)--(b) RETURN a.name AS n, count(b) AS c ORDER BY c DESC, n", [("Cy", 3), ("Alice", 2), ("Bob", 2)]),
     ("MATCH (m:Movie)--(x) RETURN count(*) AS c", [(2,)]),
@@ -119,7 +122,7 @@ def test_plans_push_filters_and_skip_joins(spark, tmp_path):
     spark.range(100).selectExpr("id AS k", "id % 7 AS city", "cast(id AS string) AS name").write.parquet(f"{tmp_path}/p")
     spark.range(7).selectExpr("id AS c", "'x' AS title").write.parquet(f"{tmp_path}/c")
     p, c = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/c")
-    g = PropertyGraph(spark).with_nodes("P", p, "k").with_nodes("C", c, "c").with_rels("IN", p, ("P", "k"), ("C", "city"), "k")
+    g = PropertyGraph(spark).with_nodes("P", p, "k").with_nodes("C", c, "c").with_rels("IN", p, ("P", "k"), ("C", "city"), "k", complete=True)
     plan = g.cypher("MATCH (a:P)-[:IN]->(c:C) WHERE a.name = '3' RETURN a.k AS k").df._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(name,3)" in plan and plan.count("Join") == 1
     plan = g.cypher("MATCH (a:P) RETURN a.city AS city").df._jdf.queryExecution().executedPlan().toString()
