@@ -1,9 +1,9 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
 A document's words (as in decontamination) give k-mers of K words, each labelled
-by its occurrence number.  For each of SKETCHES hash functions the two labelled
+by its occurrence number.  For each of BUCKETS hash functions the SAMPLED labelled
 k-mers of least hash are taken; their k-mers in text order make one sketch, so
-two texts share it only if they share both k-mers in the same order.  Shared
+two texts share it only if they share all of them in the same order.  Shared
 sketches give candidates, which are aligned word by word inside a band as wide
 as the greatest distance allowed; pairs of at least ``similarity`` (1 less the
 edits for each word of the longer text) are linked, and classes are the
@@ -41,6 +41,8 @@ from graphspark.llm.components import connected
 from graphspark.llm.decontaminate import words
 
 K, SKETCHES, SIMILARITY = 5, 24, 0.8
+#: Minima in a sketch, and the sketches that give buckets (the others only help to compare).
+SAMPLED, BUCKETS = 3, 16
 #: Share of the 2 * SKETCHES equal minima that makes a pair of one bucket a candidate; texts that share
 #: four fifths of their k-mers have about three quarters of them equal.
 RESEMBLE = 0.33
@@ -84,22 +86,23 @@ def sketch(h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     times = np.empty(n, dtype=np.uint64)
     times[order] = (np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))).astype(np.uint64)
     labelled = mers + times * np.uint64(0x9E3779B97F4A7C15)
-    one, two = np.empty(SKETCHES, dtype=np.int64), np.empty(SKETCHES, dtype=np.int64)
+    places = np.zeros((SKETCHES, SAMPLED), dtype=np.int64)
     low = np.empty((2, SKETCHES), dtype=np.uint64)
-    for j in range(SKETCHES):  # the k-mers' place is that of their first word
+    taken = np.uint64(2**64 - 1)
+    for j in range(SKETCHES):
         x = (labelled ^ _SEEDS[j]) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x9E3779B97F4A7C15)
-        one[j] = i = x.argmin()
-        low[0, j] = low[1, j] = x[i]
-        if n > 1:
-            x[i] = np.uint64(2**64 - 1)
-            two[j] = k = x.argmin()
-            low[1, j] = x[k]
-        else:
-            two[j] = i
-    first, second = np.minimum(one, two), np.maximum(one, two)
-    return _mix(_mix(mers[first] + np.arange(SKETCHES, dtype=np.uint64)) + mers[second]), _mix(low).astype(np.uint8).ravel()
+        for k in range(SAMPLED if j < BUCKETS else 2):
+            i = places[j, k] = x.argmin()
+            if k < 2:
+                low[k, j] = x[i]
+            if n > k + 1:
+                x[i] = taken
+    out = np.arange(BUCKETS, dtype=np.uint64)
+    for place in np.sort(places[:BUCKETS], axis=1).T:  # in the order of the text
+        out = _mix(out + mers[place])
+    return out, _mix(low).astype(np.uint8).ravel()
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -200,9 +203,9 @@ def _buckets(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, raw = batch.column("i").to_numpy(), batch.column("s").to_pylist()
-            h = np.frombuffer(b"".join([x[: 8 * SKETCHES] for x in raw]), dtype="<i8")
-            low = [x[8 * SKETCHES :] for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, SKETCHES)), pa.array([x for x in low for _ in range(SKETCHES)], pa.binary())], names=["h", "i", "m"])
+            h = np.frombuffer(b"".join([x[: 8 * BUCKETS] for x in raw]), dtype="<i8")
+            low = [x[8 * BUCKETS :] for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, BUCKETS)), pa.array([x for x in low for _ in range(BUCKETS)], pa.binary())], names=["h", "i", "m"])
 
     return texts.select("i", "s").mapInArrow(run, "h long, i long, m binary")
 
