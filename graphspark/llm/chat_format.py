@@ -20,7 +20,6 @@ ordered by role and text; repeated rows stay; an empty table gives no row.
 from __future__ import annotations
 
 import hashlib
-import os
 import re
 
 import numpy as np
@@ -28,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.llm.tokens import default_path
+from graphspark.llm.tokens import Encoder
 
 SEGMENT_CHARS = 1_000_000
 SCHEMA = "conv_id long, segment long, last boolean, n_turns long, text string, ids array<int>, loss_tokens array<int>"
@@ -72,13 +71,8 @@ class Template:
             out.append((self.unescape(role), self.unescape(text)))
         return out
 
-    def tokenizer(self, path: str | None = None):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import AddedToken, Tokenizer
-
-        lib = Tokenizer.from_file(path or default_path())
-        lib.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in self.control])
-        return lib
+    def tokenizer(self, path: str | None = None) -> Encoder:
+        return Encoder.of(path, self.control)
 
 
 def loss_runs(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -97,15 +91,14 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
     def run(batches):
-        lib = template.tokenizer(tokenizer_path)
+        enc = template.tokenizer(tokenizer_path)
         rows: list[tuple] = []
         conv, seg, parts, spans, size, n, any_yet = None, 0, [], [], 0, 0, False
 
         def close(last: bool):
             text = "".join(parts)
-            e = lib.encode(text, add_special_tokens=False)
-            at = np.array(e.offsets, dtype=np.int64).reshape(-1, 2)
-            rows.append((conv, seg, last, n, text, e.ids, loss_runs(at[:, 0], at[:, 1], spans).tolist()))
+            ids, starts, ends = enc.spans(text)
+            rows.append((conv, seg, last, n, text, ids.astype(np.int32), loss_runs(starts, ends, spans).tolist()))
 
         def batch():
             out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
@@ -146,7 +139,7 @@ def read_back(formatted: DataFrame, template: Template | None = None, tokenizer_
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens")
 
     def run(batches):
-        lib = template.tokenizer(tokenizer_path)
+        lib = template.tokenizer(tokenizer_path).lib
         state = None
         for got in batches:
             rows = []

@@ -184,7 +184,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     ends = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
     # joined by shuffles at every size, as the candidates grow with the texts
     arrays = common.persisted(rows.join(ends.hint("merge"), "i", "left_semi").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
-    best = pairs.groupBy("b").agg(F.max(F.struct("e", (-F.col("a")).alias("a"))).alias("x")).select((-F.col("x.a")).alias("a"), "b")
+    best = pairs.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     linked = common.persisted(_verified(best, arrays, similarity), "links")
     parts = common.persisted(connected(linked), "parts")
     at = lambda col: parts.select(F.col("node").alias(col), F.col("component").alias(f"{col}_part"))

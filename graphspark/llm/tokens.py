@@ -65,29 +65,33 @@ class _Memo(dict):
 class Encoder:
     """Ids and character offsets of whole texts (null: empty)."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, added: tuple[str, ...] = ()):
+        """``added``: strings that are tokens of their own beside those of the file."""
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
         self.lib = Tokenizer.from_file(path or default_path())
-        self.specials = [t.content for t in self.lib.get_added_tokens_decoder().values()]
+        if added:
+            self.lib.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in added])
+        self.specials = {t.content: array("I", [i]).tobytes() for i, t in self.lib.get_added_tokens_decoder().items()}
+        self.special = re.compile("|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) or "(?!)").finditer
         self.model, self.split = self.lib.model, regex.compile(_PATTERN).findall
         self.words = _Memo(self._word, MEMO)  # of pretokens
         self.after = _Memo(self._after, MEMO)  # of a chunk that follows one space, without it
         self.first = _Memo(self._chunk, MEMO // 4)  # of any other chunk, as it is
 
     @classmethod
-    def of(cls, path: str | None = None) -> "Encoder":
+    def of(cls, path: str | None = None, added: tuple[str, ...] = ()) -> "Encoder":
         """One encoder for each worker process."""
-        if path not in _kept:
-            _kept[path] = cls(path)
-        return _kept[path]
+        if (path, added) not in _kept:
+            _kept[path, added] = cls(path, added)
+        return _kept[path, added]
 
     @functools.cached_property
     def n_bytes(self) -> np.ndarray:
         """Bytes of text that each id stands for."""
         out = np.zeros(self.lib.get_vocab_size(), dtype=np.int64)
-        for value, i in self.lib.get_vocab().items():
+        for value, i in self.lib.get_vocab(with_added_tokens=False).items():
             out[i] = len(value)
         for i, t in self.lib.get_added_tokens_decoder().items():
             out[i] = len(t.content.encode())
@@ -111,8 +115,17 @@ class Encoder:
 
     def _parts(self, text: str) -> list[bytes] | None:
         """Ids of the chunks of a text; None where the library has to see the whole."""
-        if any(s in text for s in self.specials) or _ODD.search(text):
+        if _ODD.search(text):
             return None
+        if any(s in text for s in self.specials):  # they split a text before all else
+            out, at = [], 0
+            for m in self.special(text):
+                out += [*(self._plain(text[at : m.start()]) if m.start() > at else ()), self.specials[m[0]]]
+                at = m.end()
+            return out + (self._plain(text[at:]) if at < len(text) else [])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[bytes]:
         pieces = text.split(" ")
         head = pieces[0]
         if head and not head[-1].isspace():
