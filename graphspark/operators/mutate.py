@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
 from graphspark.operators.pattern import Frame, Match, free_names
+from graphspark.plans import durable
 from graphspark.plans.durable import persisted
 from graphspark.plans.parser import N
 from graphspark.plans.types import Elem, Path, T, Val, coerce, elem_type, of_spark, sql, unify
@@ -23,16 +24,7 @@ from graphspark.sources.graph import NodeTable, PropertyGraph, RelTable
 def numbered(frame: Frame) -> tuple[Frame, str]:
     """The frame written down, with a column that numbers its rows from 0 on."""
     name = frame.fresh("ord")
-    df = persisted(frame.rows().withColumn(name, F.monotonically_increasing_id()), "rows")
-    counts = df.groupBy(F.shiftright(name, 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
-    base, at = [], 0
-    for r in counts:
-        base += [F.lit(r["part"]), F.lit(at)]
-        at += r["count"]
-    if base:
-        dense = F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.create_map(*base)[F.shiftright(name, 33)]
-        df = df.withColumn(name, dense.cast("long"))
-    return replace(frame, df=df), name
+    return replace(frame, df=durable.numbered(frame.rows(), name)), name
 
 
 class Changes:
@@ -137,9 +129,8 @@ class Changes:
         missing = replace(frame, df=frame.df.join(found.df.select(F.col(ordinal).alias("_o")).distinct(), F.col(ordinal) == F.col("_o"), "left_anti"))
         keys = [frame.compiler()(e).column() for x in [*part.nodes, *part.rels] if x.props is not None and x.props.kind == "map" for _, e in x.props.pairs]
         keys += [frame.scope[n.var].elem.at("id") for n in part.nodes if n.var in frame.scope]
-        w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(ordinal)
-        firsts = missing.df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-        firsts = persisted(firsts, "merge")
+        least = missing.df.groupBy(*[k.alias(f"_k{n}") for n, k in enumerate(keys)]).agg(F.min(ordinal).alias("_o"))
+        firsts = persisted(missing.df.join(least, F.col(ordinal) == F.col("_o"), "left_semi"), "merge")
         fresh = N("chain", part.text, path=part.path, nodes=part.nodes, rels=[N("rel", r.text, **{**{k: v for k, v in r.__dict__.items() if k not in ("kind", "text")}, "direction": "out" if r.direction == "both" else r.direction}) for r in part.rels])
         if not firsts.isEmpty():
             made = self._create(replace(frame, df=firsts), N("create", parts=[fresh])) if _creates(part, frame) else replace(frame, df=firsts)

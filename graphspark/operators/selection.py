@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.plans.durable import persisted
+from graphspark.plans.durable import numbered, persisted
 from graphspark.plans.types import T, Val
 from graphspark.sources.graph import NodeTable, PropertyGraph, RelTable
 
@@ -57,8 +57,7 @@ class Selection:
 
     def subgraph(self, g: PropertyGraph) -> tuple[PropertyGraph, DataFrame, DataFrame]:
         """(a graph of its own with ids from 0 on, its nodes' old ids, its relationships' old ids)."""
-        number = lambda ids: persisted(ids.select((F.row_number().over(Window.orderBy("id")) - 1).cast("long").alias("id"), F.col("id").alias("original")), "numbers")
-        nodes, rels = number(self.nodes), number(self.rels)
+        nodes, rels = (numbered(ids.select(F.col("id").alias("original")), "id", by="original") for ids in (self.nodes, self.rels))
         new = lambda df, col, ids: df.join(ids.select(F.col("id").alias("_new"), F.col("original").alias("_old")), df[col] == F.col("_old")).withColumn(col, F.col("_new")).drop("_new", "_old")
         node_tables = tuple(NodeTable(new(t.df, "id", nodes), t.labels) for t in g.nodes)
         rel_tables = tuple(RelTable(new(new(new(t.df, "id", rels), "src", nodes), "dst", nodes), t.type, t.src, t.dst) for t in g.rels)

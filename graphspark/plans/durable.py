@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def persisted(df: DataFrame, name: str = "step") -> DataFrame:
@@ -18,3 +19,19 @@ def persisted(df: DataFrame, name: str = "step") -> DataFrame:
     out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(out)
     return spark.read.schema(df.schema).parquet(out)
+
+
+def numbered(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` written down with a column that numbers its rows from 0 on, in the order of ``by`` if given.
+
+    Partitions number their own rows; only their counts reach the driver.
+    """
+    df = persisted((df.orderBy(by) if by else df).withColumn(name, F.monotonically_increasing_id()), "rows")
+    counts = df.groupBy(F.shiftright(name, 33).alias("part")).count().orderBy("part").collect()  # a row for each partition
+    base, at = [], 0
+    for r in counts:
+        base += [F.lit(r["part"]), F.lit(at)]
+        at += r["count"]
+    if not base:
+        return df
+    return df.withColumn(name, (F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.create_map(*base)[F.shiftright(name, 33)]).cast("long"))
