@@ -30,11 +30,13 @@ document, so each gets the same result; a null id counts as the smallest.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from graphspark.llm import common
 
@@ -191,11 +193,32 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whole = runs.where("kind = 0").select("d", F.expr("(s & ~65535L) | ((s >> 8) & 255)").alias("v"))
     wanted = runs.where("kind = 1").groupBy("d").agg(F.collect_list(F.struct("h", "s")).alias("w"))
     # side: 0 left, 1 right; k: hash of the anchor, the side and the bytes that all its windows share
-    pieces = rows.join(wanted, "d").mapInArrow(_contexts(length, gram), "k long, d long, s long, b binary")
+    pieces = _packed(rows, "t").join(wanted, "d").mapInArrow(_contexts(length, gram), "k long, d long, s long, b binary")
     alike = pieces.repartition("k").sortWithinPartitions("k", "d", "s").mapInArrow(_sorted(length), "d long, v long")
     return whole.union(alike)
 
 
+def _packed(df: DataFrame, text_col: str) -> DataFrame:
+    """The text column compressed, as it goes through shuffles; null stays null."""
+    schema = StructType([StructField(f.name, BinaryType()) if f.name == text_col else f for f in df.schema.fields])
+
+    def run(batches):
+        codec = pa.Codec("zstd", compression_level=1)
+        for whole in batches:
+            for batch in common.slices(whole, text_col):
+                made = []
+                for text in batch.column(text_col).to_pylist():
+                    raw = None if text is None else text.encode()
+                    made.append(None if raw is None else struct.pack("<I", len(raw)) + codec.compress(raw, asbytes=True))
+                yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(made, pa.binary()))
+
+    return df.mapInArrow(run, schema)
+
+
+def _unpack(data: bytes | None) -> str | None:
+    return None if data is None else pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], codec="zstd", asbytes=True).decode()
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("d"), F.col(text_col).alias("t"))
 
@@ -238,7 +261,8 @@ def _contexts(length: int, gram: int):
         for whole in batches:
             for batch in common.slices(whole, "t"):
                 rows = []
-                for d, text, wanted in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "w"))):
+                for d, data, wanted in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "w"))):
+                    text = _unpack(data)
                     raw, mark = text.encode(), _mark(text)
                     for w in wanted:
                         s = w["s"]
@@ -318,12 +342,12 @@ def _sorted(length: int):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, n_spans, kept (its remaining bytes)."""
-    return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", lambda batch, cols: [cols[0], *cols[1:]])
+    return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", lambda batch, texts, cols: cols)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """As :func:`remove_repeats`, with the SHA-256 of what is kept in its place."""
-    hashed = lambda batch, cols: [*cols[:4], [hashlib.sha256(x).hexdigest() for x in cols[4]]]
+    hashed = lambda batch, texts, cols: [*cols[:4], [hashlib.sha256(x).hexdigest() for x in cols[4]]]
     return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hashed)
 
 
@@ -337,12 +361,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     key, text = names[docs.columns.index(id_col)], names[docs.columns.index(text_col)]
     chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
 
-    def put(batch, cols):
-        texts = [None if old is None else kept.decode("utf-8", "ignore") if n else old for old, kept, n in zip(batch.column(text).to_pylist(), cols[4], cols[2])]
+    def put(batch, olds, cols):
+        texts = [None if old is None else kept.decode("utf-8", "ignore") if n else old for old, kept, n in zip(olds, cols[4], cols[2])]
         out = []
         for n in names:
             if n == text:
-                out.append(pa.array(texts, batch.column(n).type))
+                out.append(pa.array(texts, pa.string()))
             elif n == chars:
                 out.append(pa.array([None if t is None else len(t) for t in texts], pa.int64()).cast(batch.column(n).type))
             else:
@@ -355,7 +379,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, shape) -> DataFrame:
     spans = find_repeats(docs, id_col, text_col, length).groupBy("d").agg(F.collect_list("v").alias("spans"))
     own = docs if not isinstance(schema, str) else docs.select(id_col, text_col)
-    joined = own.withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))).join(spans, "d", "left").drop("d")
+    joined = _packed(own, text_col).withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))).join(spans, "d", "left").drop("d")
     names = [f.name for f in schema.fields] if not isinstance(schema, str) else [x.split()[0] for x in schema.split(", ")]
     kinds = None if not isinstance(schema, str) else [common._TYPES[x.split()[1]] for x in schema.split(", ")]
 
@@ -363,12 +387,13 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, sha
         for whole in batches:
             for batch in common.slices(whole, text_col):
                 cols: list[list] = [[], [], [], [], []]
-                for key, text, spans in zip(batch.column(id_col).to_pylist(), batch.column(text_col).to_pylist(), batch.column("spans").to_pylist()):
+                texts = [_unpack(x) for x in batch.column(text_col).to_pylist()]
+                for key, text, spans in zip(batch.column(id_col).to_pylist(), texts, batch.column("spans").to_pylist()):
                     raw = (text or "").encode()
                     kept, removed, n = cut(raw, spans, _mark(text) if spans else 0, length)
                     for col, x in zip(cols, (key, len(raw), removed, n, kept)):
                         col.append(x)
-                made = shape(batch, cols)
+                made = shape(batch, texts, cols)
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, kinds or [None] * len(made))], names=names)
 
     return joined.mapInArrow(run, schema)
