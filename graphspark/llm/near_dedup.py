@@ -9,14 +9,14 @@ as the greatest distance allowed; pairs of at least ``similarity`` (1 less the
 edits for each word of the longer text) are linked, and classes are the
 connected components.
 
-Texts of equal words collapse first, so a group of copies is one row.  Inside
-a bucket members are compared with its leaders only (a leader is a member that
-resembles no leader before it, from either end of the bucket), by the shares of
-equal minima and the lengths; so a bucket gives about as many pairs as it has members, and no
-link of a member to a leader is left out.  Each member is first aligned with
-its most alike leader; of the other pairs only those are aligned whose ends the
-first links leave in different classes, as further links inside a class change
-nothing.
+Texts of equal words collapse first, so a group of copies is one row.  Then all
+pairs of a bucket are settled: a pair is in one class already, fails an exact
+test (lengths; counts of words and of word pairs in bins, which bound the edits
+from below) or is aligned.  To have most of them in one class early, each member
+is first aligned with its most alike leader (a leader is a member that resembles
+no leader before it, from either end of the bucket), then with leaders of other
+classes; only aligned links make classes.  A bucket of many texts that are
+just too different to link takes pairs by the square of its rows.
 
 Texts that share four fifths of their k-mers are found with near certainty; of
 pairs that align but share fewer, about nine in ten at two thirds.
@@ -46,6 +46,10 @@ SAMPLED, BUCKETS = 3, 16
 #: Share of the 2 * SKETCHES equal minima that makes a pair of one bucket a candidate; texts that share
 #: four fifths of their k-mers have about three quarters of them equal.
 RESEMBLE = 0.33
+#: Bins of the counts that rule out alignments.
+WORD_BINS, PAIR_BINS = 64, 128
+#: Rows that one row of a bucket is compared with at a time, and pairs in a batch.
+BLOCK = 1 << 15
 _NULL = -(1 << 63)
 _SEEDS = np.random.default_rng(11).integers(0, 2**63, SKETCHES, dtype=np.uint64)[:, None]
 
@@ -105,8 +109,32 @@ def sketch(h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     return out, _mix(low).astype(np.uint8).ravel()
 
 
+def bins(h: np.ndarray) -> bytes:
+    """Counts (255 at most) of the words and of the pairs of adjacent words of a text, in WORD_BINS and PAIR_BINS bins."""
+    w = h & np.uint64(0xFFFFFFFF)
+    two = _mix(w[:-1] * np.uint64(31) + w[1:]) % np.uint64(PAIR_BINS)
+    one = np.bincount((w % np.uint64(WORD_BINS)).astype(np.int64), minlength=WORD_BINS)
+    return np.minimum(np.concatenate([one, np.bincount(two.astype(np.int64), minlength=PAIR_BINS)]), 255).astype(np.uint8).tobytes()
+
+
+def may_align(counts: np.ndarray, sizes: np.ndarray, one: np.ndarray, size: int, similarity: float) -> np.ndarray:
+    """Whether texts of these bins and sizes may align with one; never false for a pair that does.
+
+    An edit takes away at most one word and two pairs, and brings as many.
+    """
+    longer = np.maximum(sizes, size)
+    most = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    ok = longer - np.minimum(sizes, size) <= most
+    at = np.flatnonzero(ok)
+    d = counts[at].astype(np.int16) - one.astype(np.int16)
+    for part, times in ((d[:, :WORD_BINS], 1), (d[:, WORD_BINS:], 2)):
+        more, fewer = np.maximum(part, 0).sum(axis=1), np.maximum(-part, 0).sum(axis=1)
+        ok[at] &= np.maximum(more, fewer) <= times * most[at]
+    return ok
+
+
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edits between two arrays if at most ``most``, by dynamic programming inside a band of that width."""
+    """Edits between two arrays if at most ``most``, by bit-parallel dynamic programming."""
     n = min(len(a), len(b))
     if abs(len(a) - len(b)) > most:
         return None
@@ -129,27 +157,28 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     common = int((left < np.searchsorted(x, y, side="right") - np.searchsorted(x, y)).sum())
     if len(b) - common > most:
         return None
-    far = most + 1
-    width = 2 * most + 1  # row i holds columns i - most .. i + most
-    steps = np.arange(width)
-    row = np.where(steps >= most, steps - most, far)
-    padded = np.concatenate([np.zeros(most + 1, dtype=b.dtype), b, np.zeros(most + 1, dtype=b.dtype)])
-    for i in range(1, len(a) + 1):
-        cols = padded[i : i + width]  # word before column i - most + k
-        new = row + (cols != a[i - 1])
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        first = most - i  # column 0
-        if first >= 0:
-            new[:first] = far
-            new[first] = i
-        beyond = len(b) - i + most + 1
-        if beyond < width:
-            new[max(0, beyond) :] = far
-        new = np.minimum.accumulate(new - steps) + steps
-        if new.min() > most:
-            return None
-        row = new
-    got = int(row[len(b) - len(a) + most])
+    # Myers' and Hyyro's bits: a column's steps up and down are one integer each
+    at: dict[int, int] = {}
+    for k, w in enumerate(a.tolist()):
+        at[w] = at.get(w, 0) | 1 << k
+    full, top, got, left_over = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a), len(b)
+    up, down, get = full, 0, at.get
+    for w in b.tolist():
+        same = get(w, 0)
+        x = same | down
+        y = (((same & up) + up) ^ up) | same
+        more = down | (full & ~(y | up))
+        less = up & y
+        left_over -= 1
+        if more & top:
+            got += 1
+            if got - left_over > most:
+                return None
+        elif less & top:
+            got -= 1
+        more = more << 1 | 1
+        up = full & ((less << 1) | ~(x | more))
+        down = full & more & x
     return got if got <= most else None
 
 
@@ -169,9 +198,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 for text in batch.column("t").to_pylist():
                     own = words(text)
                     if own:
-                        s, low = sketch(word_hashes(own))
+                        h = word_hashes(own)
+                        s, low = sketch(h)
                         keys.append(hashlib.blake2b(b" ".join(own), digest_size=12).digest())
-                        made.append(s.astype("<u8").tobytes() + low.tobytes() + struct.pack("<I", len(own)))
+                        made.append(s.astype("<u8").tobytes() + low.tobytes() + struct.pack("<I", len(own)) + bins(h))
                     else:
                         keys.append(None)
                         made.append(None)
@@ -180,19 +210,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     made = common.persisted(rows.mapInArrow(sketches, "i long, k binary, s binary"), "sketches")
     texts = common.persisted(made.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "s")).alias("f")).select("k", "f.i", "f.s"), "texts")
 
-    pairs = common.persisted(_buckets(texts).repartition("h").sortWithinPartitions("h", "i").mapInArrow(_pairs(similarity), "a long, b long, e int").groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
-    ends = pairs.select(F.col("a").alias("i")).union(pairs.select(F.col("b").alias("i"))).distinct()
+    met = common.persisted(_buckets(texts).repartition("h").sortWithinPartitions("h", "i").mapInArrow(_pairs(similarity), "a long, b long, e int"), "met")
+    members = met.where("e = -1").select(F.col("a").alias("h"), F.col("b").alias("i"))
+    pairs = common.persisted(met.where("e >= 0").groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
     # joined by shuffles at every size, as the candidates grow with the texts
-    arrays = common.persisted(rows.join(ends.hint("merge"), "i", "left_semi").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
+    arrays = common.persisted(rows.join(members.select("i").distinct().hint("merge"), "i", "left_semi").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
     best = pairs.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     linked = common.persisted(_verified(best, arrays, similarity), "links")
     parts = common.persisted(connected(linked), "parts")
     at = lambda col: parts.select(F.col("node").alias(col), F.col("component").alias(f"{col}_part"))
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b")
-    more = _verified(common.persisted(open_, "open"), arrays, similarity)
+    linked = common.persisted(linked.union(_verified(common.persisted(open_, "open"), arrays, similarity)), "links")
+    parts = common.persisted(connected(linked), "parts")
+    # all other pairs of a bucket whose ends are still in different classes
+    placed = members.join(parts.select(F.col("node").alias("i"), "component"), "i", "left").select("h", "i", F.coalesce("component", "i").alias("p"))
+    mixed = placed.groupBy("h").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("h")
+    counts = texts.select("i", F.expr(f"substring(s, {8 * BUCKETS + 2 * SKETCHES + 1})").alias("m"))
+    wide = placed.join(mixed.hint("merge"), "h", "left_semi").join(counts.hint("merge"), "i").repartition("h").sortWithinPartitions("h", "i")
+    rest = wide.mapInArrow(_rest(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = linked.union(_verified(common.persisted(rest, "rest"), arrays, similarity))
     same_id = made.where("k is not null").join(texts.select("k", F.col("i").alias("first")), "k").where("i <> first").select(F.col("first").alias("a"), F.col("i").alias("b"))
     # copies are leaves, so that the whole graph is one of links and stars
-    parts = connected(linked.union(more).union(same_id).distinct())
+    parts = connected(more.union(same_id).distinct())
     ids = made.groupBy("i").agg(F.count("*").alias("n_rows"))
     found = ids.join(parts.withColumnRenamed("node", "i"), "i", "left")
     back = lambda c: F.when(c == _NULL, None).otherwise(c)
@@ -204,7 +243,7 @@ def _buckets(texts: DataFrame) -> DataFrame:
         for batch in batches:
             ids, raw = batch.column("i").to_numpy(), batch.column("s").to_pylist()
             h = np.frombuffer(b"".join([x[: 8 * BUCKETS] for x in raw]), dtype="<i8")
-            low = [x[8 * BUCKETS :] for x in raw]
+            low = [x[8 * BUCKETS : 8 * BUCKETS + 2 * SKETCHES + 4] for x in raw]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, BUCKETS)), pa.array([x for x in low for _ in range(BUCKETS)], pa.binary())], names=["h", "i", "m"])
 
     return texts.select("i", "s").mapInArrow(run, "h long, i long, m binary")
@@ -229,36 +268,75 @@ def leader_pairs(minima: np.ndarray, sizes: np.ndarray, similarity: float = SIMI
 
 
 def _pairs(similarity: float):
-    return lambda batches: _candidates(batches, similarity)
+    return lambda batches: _of_buckets(batches, ["m"], lambda *rows: _candidates(*rows, similarity))
 
 
-def _candidates(batches, similarity: float):
-    """Sorted bucket rows to candidate pairs; buckets of one row give none."""
-    held: list[tuple[np.ndarray, np.ndarray, list]] = []
+def _rest(similarity: float):
+    return lambda batches: _of_buckets(batches, ["p", "m"], lambda *rows: _unsettled(*rows, similarity))
 
-    def emit(h, ids, low):
-        edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
-        many = np.flatnonzero(np.diff(edge) > 1)
-        rows = []
-        for lo, hi in zip(edge[many].tolist(), edge[many + 1].tolist()):
-            raw = np.frombuffer(b"".join(low[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
-            sizes = np.ascontiguousarray(raw[:, -4:]).view("<u4").ravel().astype(np.int64)
-            rows += [(int(ids[lo + a]), int(ids[lo + b]), e) for a, b, e in leader_pairs(raw[:, :-4], sizes, similarity)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "e"])
 
+def _of_buckets(batches, names: list[str], work):
+    """``work`` on (h, ids, columns) of whole buckets of rows sorted by them."""
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h, ids, low = batch.column("h").to_numpy(), batch.column("i").to_numpy(), batch.column("m").to_pylist()
+        h, ids, cols = batch.column("h").to_numpy(), batch.column("i").to_numpy(), [batch.column(c).to_pylist() for c in names]
         if held:
-            h, ids, low = np.concatenate([held[0][0], h]), np.concatenate([held[0][1], ids]), held[0][2] + low
+            h, ids, cols = np.concatenate([held[0], h]), np.concatenate([held[1], ids]), [x + y for x, y in zip(held[2], cols)]
         cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
-        held = [(h[cut:], ids[cut:], low[cut:])]
+        held = h[cut:], ids[cut:], [x[cut:] for x in cols]
         if cut:
-            yield from emit(h[:cut], ids[:cut], low[:cut])
+            yield from work(h[:cut], ids[:cut], *(x[:cut] for x in cols))
+    if held:
+        yield from work(held[0], held[1], *held[2])
+
+
+def _groups(h: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    many = np.flatnonzero(np.diff(edge) > 1)
+    return list(zip(edge[many].tolist(), edge[many + 1].tolist()))
+
+
+def _candidates(h, ids, low, similarity: float):
+    """(leader, member, equal minima), and (bucket, member, -1) of all members; buckets of one row give none."""
+    rows = []
+    for lo, hi in _groups(h):
+        raw = np.frombuffer(b"".join(low[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
+        sizes = np.ascontiguousarray(raw[:, -4:]).view("<u4").ravel().astype(np.int64)
+        rows += [(int(ids[lo + a]), int(ids[lo + b]), e) for a, b, e in leader_pairs(raw[:, :-4], sizes, similarity)]
+        rows += [(int(h[lo]), i, -1) for i in ids[lo:hi].tolist()]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "e"])
+
+
+def _unsettled(h, ids, parts, raw, similarity: float):
+    """Pairs of a bucket whose classes differ and that no exact test rules out."""
+    a, b, held = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], names=["a", "b"])
+
+    for lo, hi in _groups(h):
+        own, part = ids[lo:hi], np.array(parts[lo:hi], dtype=np.int64)
+        if (part == part[0]).all():
+            continue
+        all_ = np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
+        sizes, counts = np.ascontiguousarray(all_[:, :4]).view("<u4").ravel().astype(np.int64), all_[:, 4:]
+        for i in range(hi - lo - 1):
+            for at in range(i + 1, hi - lo, BLOCK):
+                j = at + np.flatnonzero(part[at : at + BLOCK] != part[i])
+                if len(j):
+                    j = j[may_align(counts[j], sizes[j], counts[i], sizes[i], similarity)]
+                if len(j):
+                    a.append(np.minimum(own[i], own[j]))
+                    b.append(np.maximum(own[i], own[j]))
+                    held += len(j)
+                    if held >= BLOCK:
+                        yield batch()
+                        a, b, held = [], [], 0
     if held:
-        yield from emit(*held[0])
+        yield batch()
 
 
 def _arrays(batches):

@@ -104,3 +104,35 @@ def test_leaders_link_all_members_of_a_large_group():
     pairs = nd.leader_pairs(group, np.full(300, 100))
     assert {x for a, b, _ in pairs for x in (a, b)} == set(range(300)) and len(pairs) < 300 * 12
     assert nd.leader_pairs(group[:2], np.array([100, 79])) == []
+
+
+def test_exact_tests_never_rule_out_a_pair_that_aligns():
+    rng = np.random.default_rng(5)
+    ruled = 0
+    for _ in range(600):
+        a = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, rng.integers(1, 60))]
+        b = a.copy()
+        for _ in range(rng.integers(0, 20)):
+            at = rng.integers(0, len(b) + 1)
+            b = np.concatenate([b[:at], rng.integers(0, 9, rng.integers(0, 2), dtype=np.uint64), b[at + rng.integers(0, 2) :]])
+        if not len(b):
+            continue
+        counts = [np.frombuffer(nd.bins(x), dtype=np.uint8) for x in (a, b)]
+        may = nd.may_align(counts[0][None], np.array([len(a)]), counts[1], len(b), 0.8)[0]
+        ruled += not may
+        assert may or not nd.alike(*(x.astype("<u4") for x in (a, b)), 0.8)
+    assert ruled > 50
+
+
+def test_copies_in_a_group_under_one_template_are_linked(spark):
+    rnd = random.Random(6)
+    prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    template = prose(140)
+    rows = [(i, template + prose(60)) for i in range(50)]
+    for i in (20, 24, 28):  # shingles are shared within the template only
+        copy = list(rows[i][1])
+        copy[142::4] = prose(len(copy[142::4]))
+        rows[i + 1] = (i + 1, copy)
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.classes(frame).collect()}
+    assert got == {d: d - (d in (21, 25, 29)) for d in range(50)}
