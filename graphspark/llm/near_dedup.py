@@ -1,9 +1,9 @@
 """Near-duplicate classes by Order MinHash and banded alignment.
 
 A document's words (as in decontamination) give k-mers of K words, each labelled
-by its occurrence number.  For each of BUCKETS hash functions the SAMPLED labelled
+by its occurrence number.  For each of SKETCHES hash functions the two labelled
 k-mers of least hash are taken; their k-mers in text order make one sketch, so
-two texts share it only if they share all of them in the same order.  Shared
+two texts share it only if they share both k-mers in the same order.  Shared
 sketches give candidates, which are aligned word by word inside a band as wide
 as the greatest distance allowed; pairs of at least ``similarity`` (1 less the
 edits for each word of the longer text) are linked, and classes are the
@@ -18,8 +18,11 @@ no leader before it, from either end of the bucket), then with leaders of other
 classes; only aligned links make classes.  A bucket of many texts that are
 just too different to link takes pairs by the square of its rows.
 
-Texts that share four fifths of their k-mers are found with near certainty; of
-pairs that align but share fewer, about nine in ten at two thirds.
+Pairs that align are missed only where they share none of the sketches.  In a
+simulation (texts of 100, 400 and 1500 words, a share of the words substituted at
+random places) 0.99 to 1.00 of the pairs share one at 8 % of the words, 0.97 to
+0.99 at 10 %, 0.91 to 0.95 at 12 %, 0.83 to 0.86 at 15 %, and 0.57 to 0.71 at
+19.5 %, just inside the limit.  Edits that stand together cost fewer sketches.
 
 Defined cases: documents without words (null, empty) are classes of their own;
 texts of fewer than K words have one k-mer; rows of equal id count as one
@@ -41,10 +44,10 @@ from graphspark.llm.components import connected
 from graphspark.llm.decontaminate import words
 
 K, SKETCHES, SIMILARITY = 5, 24, 0.8
-#: Minima in a sketch, and the sketches that give buckets (the others only help to compare).
-SAMPLED, BUCKETS = 3, 16
-#: Share of the 2 * SKETCHES equal minima that makes a pair of one bucket a candidate; texts that share
-#: four fifths of their k-mers have about three quarters of them equal.
+#: Minima in a sketch.
+SAMPLED = 2
+#: Share of the SAMPLED * SKETCHES equal minima from which a member is first aligned with a leader; it only sets
+#: the order of the work, as all other pairs of a bucket follow.
 RESEMBLE = 0.33
 #: Bins of the counts that rule out alignments.
 WORD_BINS, PAIR_BINS = 64, 128
@@ -91,20 +94,19 @@ def sketch(h: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     times[order] = (np.arange(n) - np.repeat(start, np.diff(np.append(start, n)))).astype(np.uint64)
     labelled = mers + times * np.uint64(0x9E3779B97F4A7C15)
     places = np.zeros((SKETCHES, SAMPLED), dtype=np.int64)
-    low = np.empty((2, SKETCHES), dtype=np.uint64)
+    low = np.empty((SAMPLED, SKETCHES), dtype=np.uint64)
     taken = np.uint64(2**64 - 1)
     for j in range(SKETCHES):
         x = (labelled ^ _SEEDS[j]) * np.uint64(0xD6E8FEB86659FD93)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0x9E3779B97F4A7C15)
-        for k in range(SAMPLED if j < BUCKETS else 2):
+        for k in range(SAMPLED):
             i = places[j, k] = x.argmin()
-            if k < 2:
-                low[k, j] = x[i]
+            low[k, j] = x[i]
             if n > k + 1:
                 x[i] = taken
-    out = np.arange(BUCKETS, dtype=np.uint64)
-    for place in np.sort(places[:BUCKETS], axis=1).T:  # in the order of the text
+    out = np.arange(SKETCHES, dtype=np.uint64)
+    for place in np.sort(places, axis=1).T:  # in the order of the text
         out = _mix(out + mers[place])
     return out, _mix(low).astype(np.uint8).ravel()
 
@@ -225,7 +227,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     # all other pairs of a bucket whose ends are still in different classes
     placed = members.join(parts.select(F.col("node").alias("i"), "component"), "i", "left").select("h", "i", F.coalesce("component", "i").alias("p"))
     mixed = placed.groupBy("h").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("h")
-    counts = texts.select("i", F.expr(f"substring(s, {8 * BUCKETS + 2 * SKETCHES + 1})").alias("m"))
+    counts = texts.select("i", F.expr(f"substring(s, {8 * SKETCHES + SAMPLED * SKETCHES + 1})").alias("m"))
     wide = placed.join(mixed.hint("merge"), "h", "left_semi").join(counts.hint("merge"), "i").repartition("h").sortWithinPartitions("h", "i")
     rest = wide.mapInArrow(_rest(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = linked.union(_verified(common.persisted(rest, "rest"), arrays, similarity))
@@ -242,9 +244,9 @@ def _buckets(texts: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids, raw = batch.column("i").to_numpy(), batch.column("s").to_pylist()
-            h = np.frombuffer(b"".join([x[: 8 * BUCKETS] for x in raw]), dtype="<i8")
-            low = [x[8 * BUCKETS : 8 * BUCKETS + 2 * SKETCHES + 4] for x in raw]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, BUCKETS)), pa.array([x for x in low for _ in range(BUCKETS)], pa.binary())], names=["h", "i", "m"])
+            h = np.frombuffer(b"".join([x[: 8 * SKETCHES] for x in raw]), dtype="<i8")
+            low = [x[8 * SKETCHES : 8 * SKETCHES + SAMPLED * SKETCHES + 4] for x in raw]
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(ids, SKETCHES)), pa.array([x for x in low for _ in range(SKETCHES)], pa.binary())], names=["h", "i", "m"])
 
     return texts.select("i", "s").mapInArrow(run, "h long, i long, m binary")
 

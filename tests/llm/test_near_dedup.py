@@ -136,3 +136,17 @@ def test_copies_in_a_group_under_one_template_are_linked(spark):
     frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
     got = {r.doc_id: r.class_id for r in nd.classes(frame).collect()}
     assert got == {d: d - (d in (21, 25, 29)) for d in range(50)}
+
+
+def test_scattered_edits_are_found(spark):
+    rnd = random.Random(7)
+    rows = []
+    for g in range(40):
+        base = [f"w{rnd.randrange(10**6)}" for _ in range(400)]
+        copy = list(base)
+        for at in rnd.sample(range(400), 32 if g % 2 else 40):
+            copy[at] = f"w{rnd.randrange(10**6)}"
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(copy))]
+    got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [got[2 * g + 1] == 2 * g for g in range(40)]
+    assert sum(found[1::2]) >= 19 and sum(found[::2]) >= 18 and all(c // 2 == d // 2 for d, c in got.items())
