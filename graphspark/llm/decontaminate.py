@@ -33,6 +33,8 @@ CHUNK_WORDS = 1_000_000
 #: Bytes that belong to words; A-Z count as a-z.
 _KEEP = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+#: Column of the hit words of the chunks so far, while texts are cleaned.
+_SPANS = "_spans"
 SCHEMA = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
 
 
@@ -233,11 +235,12 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
     """Documents without what the items share with them; columns are kept.
 
     Runs of at least ``least_run`` hit words (by default all) are cut from the text (with what lies between
-    their words); a document of which more than ``most_covered`` of the words are hit goes.
+    their words); a document of which more than ``most_covered`` of the words are hit goes.  The runs of all
+    chunks of items are found on the whole text and merged before that.
     """
     schema, chars = docs.schema, "n_chars" in docs.columns
 
-    def scan(rows, chunk):
+    def scan(rows, chunk, last):
         held, token = rows.sparkSession.sparkContext.broadcast(chunk), uuid.uuid4().hex
 
         def run(batches):
@@ -247,26 +250,36 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
             hits = _built[token].hits
             for whole in batches:
                 for batch in common.slices(whole, text_col):
-                    keep, texts = [], []
-                    for text in batch.column(text_col).to_pylist():
+                    keep, texts, spans = [], [], []
+                    for text, at in zip(batch.column(text_col).to_pylist(), batch.column(_SPANS).to_pylist()):
                         own = words(text)
                         runs, _ = hits(own)
-                        n = int((runs[:, 1] - runs[:, 0]).sum())
-                        keep.append(n <= most_covered * len(own))
-                        texts.append(cut(text, runs[runs[:, 1] - runs[:, 0] >= least_run]) if n else text)
+                        if at:
+                            runs = _merged(np.concatenate([runs, np.array(at).reshape(-1, 2)]))
+                        if last:
+                            n = int((runs[:, 1] - runs[:, 0]).sum())
+                            keep.append(n <= most_covered * len(own))
+                            texts.append(cut(text, runs[runs[:, 1] - runs[:, 0] >= least_run]) if n else text)
+                        else:
+                            spans.append(runs.ravel().tolist())
+                    if not last:
+                        yield batch.set_column(batch.schema.get_field_index(_SPANS), _SPANS, pa.array(spans, pa.list_(pa.int64())))
+                        continue
                     batch = batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
                     if chars:
                         sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
                         batch = batch.set_column(batch.schema.get_field_index("n_chars"), "n_chars", sizes.cast(batch.schema.field("n_chars").type))
-                    yield batch.filter(pa.array(keep, pa.bool_()))
+                    yield batch.drop_columns([_SPANS]).filter(pa.array(keep, pa.bool_()))
 
-        return rows.mapInArrow(run, schema)
+        return rows.mapInArrow(run, schema if last else rows.schema)
 
-    rows, done = docs, False
-    for chunk in item_chunks(items, "item_id", "text", chunk_words):
-        rows = scan(common.persisted(rows, "decontaminate") if done else rows, chunk)
-        done = True
-    return rows
+    rows = docs.withColumn(_SPANS, F.lit(None).cast("array<long>"))
+    chunks = item_chunks(items, "item_id", "text", chunk_words)
+    chunk = next(chunks)
+    while (following := next(chunks, None)) is not None:
+        rows = common.persisted(scan(rows, chunk, False), "decontaminate")
+        chunk = following
+    return scan(rows, chunk, True)
 
 
 def cut(text: str, runs: np.ndarray) -> str:

@@ -60,3 +60,16 @@ def test_clean_cuts_runs_and_drops_covered(spark):
     bench = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r.doc_id: r.text for r in d.clean(docs, bench).collect()}
     assert got == {1: long, 2: f"{long} - ! {long}", 4: None}
+
+
+def test_clean_is_the_same_for_one_chunk_and_many(spark):
+    w = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    one, two = w("a", 12), w("b", 12)
+    # 60% by two items; windows of two items that overlap; ends that meet to form a window when another is cut
+    both, overlap = w("c", 12) + " c12 c13 c14", "c10 c11 c12 c13 c14 " + w("d", 7)
+    half = two.split()
+    rows = [(1, f"{one} {w('x', 8)} {two} {w('y', 8)}"), (2, f"{w('x', 40)} {both} {w('d', 7)} {w('y', 40)}"), (3, f"{w('x', 40)} {' '.join(half[:5])} {one} {' '.join(half[5:])} {w('y', 40)}")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    bench = spark.createDataFrame([(1, one), (2, both), (3, overlap), (4, two)], "item_id long, text string").coalesce(1)
+    got = [sorted((r.doc_id, r.text, r.n_chars) for r in d.clean(docs, bench, chunk_words=most).collect()) for most in (1000, 12)]
+    assert got[0] == got[1] and [(k, t) for k, t, _ in got[1]] == [(2, f"{w('x', 40)}  {w('y', 40)}"), (3, f"{w('x', 40)} {' '.join(half[:5])}  {' '.join(half[5:])} {w('y', 40)}")]
