@@ -5,8 +5,9 @@ word end) are hashed to buckets; the mean of their embeddings goes through a
 linear softmax.  Embeddings and weights are trained by stochastic gradient
 descent in numpy on a bounded sample (MOST_DOCS rows a language, least hash of
 the id first, whole texts).  A temperature fitted on a part of the sample that
-is not trained on makes the scores probabilities; predictions below
-``reject_below`` are marked as rejected.
+is not trained on makes the scores probabilities.  The same part sets the
+rejection threshold: the score that all but REJECTED of its rightly told texts
+reach (0, so no rejection, where the sample is too small to set texts aside).
 
 As the model is linear after the mean, scoring needs one table of a row for
 each bucket, and whole texts are summed up by numpy.
@@ -31,6 +32,8 @@ BUCKET_BITS, DIM = 15, 16
 MOST_DOCS, MOST_CHARS = 1_000, 3_000_000
 #: Subwords' worth of an even guess that is mixed into each score, so that a few letters are not certain.
 FLAT = 4
+#: Share of the rightly told texts set aside that the rejection threshold gives up.
+REJECTED = 0.01
 _MIX = np.uint32(2654435761)
 _PLAIN = np.array([c if chr(c).isalpha() else 32 for c in range(128)] + [0], dtype=np.uint32)
 
@@ -60,6 +63,7 @@ class Model:
     table: np.ndarray  # (buckets, langs): embeddings times weights
     bias: np.ndarray
     temperature: float
+    reject_below: float = 0.0
 
     def logits(self, text: str) -> tuple[np.ndarray, int]:
         """The logits, and how many subwords they rest on."""
@@ -72,9 +76,14 @@ class Model:
         if not self.langs or not has_letter(text):
             return "und", 0.0
         z, n = self.logits(text)
+        k, score = self.told(z, n)
+        return self.langs[k], score
+
+    def told(self, z: np.ndarray, n: int) -> tuple[int, float]:
+        """The most likely language of these logits and its score, given so many subwords."""
         p = softmax(z[None] / self.temperature)[0]
         k = int(p.argmax())
-        return self.langs[k], float((n * p[k] + FLAT / len(p)) / (n + FLAT))
+        return k, float((n * p[k] + FLAT / len(p)) / (n + FLAT))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -83,13 +92,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5, seed: int = 3) -> Model:
-    """Stochastic gradient descent over shuffled texts; every fifth text only sets the temperature."""
+    """Stochastic gradient descent over shuffled texts; every fifth text only sets the temperature and the rejection threshold."""
     names = sorted(set(langs))
     y = np.array([names.index(x) for x in langs], dtype=np.int64)
     rng = np.random.default_rng(seed)
     emb = (rng.random((1 << BUCKET_BITS, DIM), dtype=np.float32) - 0.5) / DIM
     w, b = np.zeros((DIM, len(names)), dtype=np.float32), np.zeros(len(names), dtype=np.float32)
     rows = [np.unique(buckets(t), return_counts=True) for t in texts]
+    sizes = [int(c.sum()) for _, c in rows]
     rows = [(k, (c / c.sum()).astype(np.float32)) for k, c in rows]
     aside = np.arange(len(rows)) % 5 == 4 if len(rows) >= 50 else np.zeros(len(rows), dtype=bool)
     steps, total = 0, epochs * max(1, int((~aside).sum()))
@@ -113,6 +123,9 @@ def fit(texts: list[str], langs: list[str], epochs: int = 5, rate: float = 0.5,
         z = np.array([c @ model.table[k] + b for k, c in (rows[i] for i in check)])
         nll = lambda t: -np.log(softmax(z / t)[np.arange(len(z)), y[check]] + 1e-12).mean()
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=nll))
+        told = [(model.told(row, sizes[i]), y[i]) for row, i in zip(z, check)]
+        if right := [score for (k, score), want in told if k == want]:
+            model.reject_below = float(np.quantile(right, REJECTED, method="lower"))
     return model
 
 
@@ -140,8 +153,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(texts, langs)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_below: float = 0.0) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, rejected of every document."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject_below: float | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, rejected of every document; the threshold is the model's by default."""
+    reject_below = model.reject_below if reject_below is None else reject_below
 
     def make():
         def work(keys, texts):

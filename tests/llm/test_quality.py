@@ -107,3 +107,13 @@ def test_language_id_on_held_out_rows(spark):
     assert [got[i].lang_pred for i in (500, 501, 502)] == ["und"] * 3 and got[503].lang_pred in model.langs
     assert got[503].score < 0.9 and all(0 <= r.score <= 1 for r in got.values())
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(docs.limit(0))).collect()} == {"und"}
+
+
+def test_language_id_rejects_other_languages_by_default(spark):
+    docs = spark.createDataFrame([(i, t, l) for i, t, l in corpus(8, 400)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert 0 < model.reject_below < 1
+    other = spark.createDataFrame([(i, "съешь же ещё этих мягких французских булок да выпей чаю " * (i + 1)) for i in range(6)], "doc_id long, text string")
+    assert all(r.rejected and r.lang_pred in model.langs for r in language_id.identify(other, model).collect())
+    own = [r.rejected for r in language_id.identify(docs, model).collect() if r.held_out]
+    assert sum(own) <= 0.1 * len(own)
