@@ -25,8 +25,11 @@ random places) 0.99 to 1.00 of the pairs share one at 8 % of the words, 0.97 to
 19.5 %, just inside the limit.  Edits that stand together cost fewer sketches.
 
 Defined cases: documents without words (null, empty) are classes of their own;
-texts of fewer than K words have one k-mer; rows of equal id count as one
-document; a null id counts as the smallest id and comes back as null.
+texts of fewer than K words have one k-mer.  The work is keyed by texts, so rows
+of equal or null id whose texts differ are kept apart: such an id comes once for
+each class its texts are in.  Rows equal in id and text count as one document.
+A null id counts as the smallest id and comes back as null; classes whose least
+ids are equal (or null) have equal names.
 """
 
 from __future__ import annotations
@@ -190,8 +193,21 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id, n_rows): one row for each id; a class is named by its least id."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)).alias("i"), F.col(text_col).alias("t"))
+    """(doc_id, class_id, n_rows): one row for each id and class; a class is named by its least id."""
+    back = lambda c: F.when(F.col(c) == _NULL, None).otherwise(F.col(c))
+    found = _classed(docs, id_col, text_col, similarity).groupBy("i", "ci", "cx").agg(F.sum("n").alias("n_rows"))
+    return found.select(back("i").alias("doc_id"), back("ci").alias("class_id"), "n_rows")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple:
+    """The id (null as the smallest) and the hash of the text, which together name a document."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL)), F.xxhash64(F.col(text_col))
+
+
+def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
+    """(i, x, n, ci, cx): the documents by id and text, their rows, and the least document of their class."""
+    own_id, own_text = _named(docs, id_col, text_col)
+    rows = docs.select(own_id.alias("i"), own_text.alias("x"), F.col(text_col).alias("t"))
 
     def sketches(batches):
         for whole in batches:
@@ -207,16 +223,18 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                     else:
                         keys.append(None)
                         made.append(None)
-                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["i", "k", "s"])
+                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("x"), pa.array(keys, pa.binary()), pa.array(made, pa.binary())], names=["i", "x", "k", "s"])
 
-    made = common.persisted(rows.mapInArrow(sketches, "i long, k binary, s binary"), "sketches")
-    texts = common.persisted(made.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "s")).alias("f")).select("k", "f.i", "f.s"), "texts")
+    made = common.persisted(rows.mapInArrow(sketches, "i long, x long, k binary, s binary"), "sketches")
+    # each text has a number, i, and is read from its least document (di, dx)
+    texts = common.persisted(made.where("k is not null").groupBy("k").agg(F.min(F.struct("i", "x", "s")).alias("f")).select("k", F.monotonically_increasing_id().alias("i"), F.col("f.i").alias("di"), F.col("f.x").alias("dx"), "f.s"), "texts")
 
     met = common.persisted(_buckets(texts).repartition("h").sortWithinPartitions("h", "i").mapInArrow(_pairs(similarity), "a long, b long, e int"), "met")
     members = met.where("e = -1").select(F.col("a").alias("h"), F.col("b").alias("i"))
     pairs = common.persisted(met.where("e >= 0").groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
     # joined by shuffles at every size, as the candidates grow with the texts
-    arrays = common.persisted(rows.join(members.select("i").distinct().hint("merge"), "i", "left_semi").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
+    ends = texts.join(members.select("i").distinct().hint("merge"), "i").select(F.col("i").alias("number"), F.col("di").alias("i"), F.col("dx").alias("x"))
+    arrays = common.persisted(rows.join(ends.hint("merge"), ["i", "x"]).select(F.col("number").alias("i"), "t").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
     best = pairs.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     linked = common.persisted(_verified(best, arrays, similarity), "links")
     parts = common.persisted(connected(linked), "parts")
@@ -231,13 +249,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     wide = placed.join(mixed.hint("merge"), "h", "left_semi").join(counts.hint("merge"), "i").repartition("h").sortWithinPartitions("h", "i")
     rest = wide.mapInArrow(_rest(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
     more = linked.union(_verified(common.persisted(rest, "rest"), arrays, similarity))
-    same_id = made.where("k is not null").join(texts.select("k", F.col("i").alias("first")), "k").where("i <> first").select(F.col("first").alias("a"), F.col("i").alias("b"))
-    # copies are leaves, so that the whole graph is one of links and stars
-    parts = connected(more.union(same_id).distinct())
-    ids = made.groupBy("i").agg(F.count("*").alias("n_rows"))
-    found = ids.join(parts.withColumnRenamed("node", "i"), "i", "left")
-    back = lambda c: F.when(c == _NULL, None).otherwise(c)
-    return found.select(back(F.col("i")).alias("doc_id"), back(F.coalesce("component", "i")).alias("class_id"), "n_rows")
+    parts = connected(more.distinct()).withColumnRenamed("node", "i")
+    placed = texts.join(parts, "i", "left").select("k", "di", "dx", F.coalesce("component", "i").alias("c"))
+    first = placed.groupBy("c").agg(F.min(F.struct(F.col("di").alias("ci"), F.col("dx").alias("cx"))).alias("f")).select("c", "f.ci", "f.cx")
+    counted = made.groupBy("i", "x", "k").agg(F.count("*").alias("n"))
+    found = counted.join(placed.join(first, "c").select("k", "ci", "cx"), "k", "left")
+    return found.select("i", "x", "n", F.coalesce("ci", "i").alias("ci"), F.coalesce("cx", "x").alias("cx"))
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
@@ -361,8 +378,9 @@ def _verified(pairs: DataFrame, arrays: DataFrame, similarity: float) -> DataFra
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each class, that of the least id, with all its columns."""
-    found = common.persisted(classes(docs, id_col, text_col, similarity), "classes")
-    first = found.where("class_id <=> doc_id").select(F.col("doc_id").alias("_first"))
-    kept = docs.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("_first")), "left_semi")
-    return kept.dropDuplicates([id_col]) if found.where("n_rows > 1").limit(1).count() else kept
+    """One document of each class, that of the least id (of its texts, that of the least hash), with all its columns."""
+    found = common.persisted(_classed(docs, id_col, text_col, similarity), "classes")
+    first = found.where("i = ci and x = cx").groupBy(F.col("i").alias("_first"), F.col("x").alias("_text")).agg(F.sum("n").alias("_rows"))
+    own_id, own_text = _named(docs, id_col, text_col)
+    kept = docs.join(first.select("_first", "_text"), (own_id == F.col("_first")) & (own_text == F.col("_text")), "left_semi")
+    return kept.dropDuplicates([id_col, text_col]) if first.where("_rows > 1").limit(1).count() else kept

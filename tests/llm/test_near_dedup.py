@@ -150,3 +150,14 @@ def test_scattered_edits_are_found(spark):
     got = {r.doc_id: r.class_id for r in nd.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = [got[2 * g + 1] == 2 * g for g in range(40)]
     assert sum(found[1::2]) >= 19 and sum(found[::2]) >= 18 and all(c // 2 == d // 2 for d, c in got.items())
+
+
+def test_texts_of_null_and_repeated_ids_are_kept_apart(spark):
+    rnd = random.Random(8)
+    a, b, c, d = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, b), (3, c), (3, d), (4, d + " more"), (5, b), (5, b), (6, None), (7, "")]
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, x int")
+    kept = [(r.doc_id, r.text) for r in nd.keep_one(frame).collect()]
+    assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (3, d), (6, None), (7, "")], key=str)
+    got = sorted(((r.doc_id, r.class_id, r.n_rows) for r in nd.classes(frame).collect()), key=str)
+    assert got == sorted([(None, None, 1), (None, None, 1), (3, 3, 1), (3, 3, 1), (4, 3, 1), (5, None, 2), (6, 6, 1), (7, 7, 1)], key=str)
