@@ -12,19 +12,25 @@ shuffles, so the suffixes are first dealt into independent groups:
    anchor and the run of windows that name it (about 2 rows for each
    ``length`` bytes) is shuffled by the anchor's hash.
 2. Runs whose whole context is equal need no sorting: all but the first repeat.
-   An anchor that occurs once has no repeat.
+   Each batch settles its own before the shuffle, so a string that is in a third
+   of the rows is a few rows there.  An anchor that occurs once has no repeat.
 3. The first contexts of anchors that have several different ones are sorted by
    the difference-cover algorithm: sort the triples at positions of residue 1
    and 2, recurse on their names, merge the remaining suffixes, then compare
    the ``length``-byte prefixes of neighbours.  A context goes to the left or
    the right half of its windows, by the bytes that all of them share beside
    the anchor, so that common short strings do not gather unlike contexts.
-
-Contexts are equal if their 64-bit hashes and their anchors' 64-bit hashes are.
+   Groups of more than GROUP_BYTES are sorted by ``difference_cover``, in which
+   no task holds a group.
+4. What step 2 found equal by hash is joined to the longest runs, and each run is
+   compared with its source by the SHA-256 of both byte strings; if any differ,
+   the job fails and nothing is removed.  Step 3 compares bytes.
 
 Defined cases: null is an empty text; texts shorter than ``length`` keep all;
 matches never cross documents; rows of equal id and text count as one
-document, so each gets the same result; a null id counts as the smallest.
+document, so each gets the same result; rows of equal id (or of null id) whose
+texts differ are documents of their own, neither earlier than the other; a null
+id counts as smaller than all others; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -36,13 +42,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from graphspark.llm import common
+from graphspark.llm import common, difference_cover
+from graphspark.llm.difference_cover import edges
 
 LENGTH, GRAM = 100, 24
 #: Window starts of one block, and context bytes that are sorted at once (whole groups).
 BLOCK, SORT_BYTES = 100_000, 3_000_000
+#: Context bytes of a group that one task may hold.
+GROUP_BYTES = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.default_rng(5).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 17) - 1)
@@ -161,62 +170,148 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarr
     return out
 
 
-_ROW = "h long, c long, d long, s long"
 _NULL = -(1 << 63)
+#: Repeats settled on the way carry x, four integers: windows after the first, and the document and start that they repeat.
+_ROW = "h long, c long, d long, m long, s long, x binary"
+
 
+def mark(raw: bytes) -> int:
+    """A hash that tells apart texts of one id; every repeat found by it is compared with its source."""
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "big", signed=True)
 
-def _mark(text: str) -> int:
-    """15 bits that tell apart texts of one id."""
-    return int.from_bytes(hashlib.blake2b(text.encode(), digest_size=2).digest(), "big") >> 1
 
+class _Settled:
+    """Settles sorted rows (h, c, d, m, s) by equal anchors and contexts, over any number of batches.
+
+    A row repeats if its context comes before in a document of a smaller id or in its own document;
+    documents of one id with unlike texts repeat nothing of each other.
+    """
 
-def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Repeated byte runs: d (document key), v (mark << 48 | start << 16 | bytes past ``length``)."""
+    def __init__(self):
+        self.last = self.first = self.own = None  # the last row, the first of its context, and of its document there
+
+    def __call__(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rows without copies of rows, whether each is the first of its h, whether it repeats, sources (d, m, s))."""
+        last = self.last
+        rows = rows[:, edges(*rows, before=last)]
+        h, c, d, m, s = rows
+        n = len(h)
+        if not n:
+            return rows, *(np.zeros(0, dtype=bool),) * 2, rows[:3]
+        new_h = edges(h, before=None if last is None else last[:1])
+        new = new_h | edges(c, before=None if last is None else last[1:2])
+        other = new | edges(d, m, before=None if last is None else last[2:4])
+        held = np.stack([np.zeros(3, dtype=np.int64) if self.first is None else self.first, np.zeros(3, dtype=np.int64) if self.own is None else self.own])
+
+        def back(starts: np.ndarray, k: int) -> np.ndarray:
+            at = np.maximum.accumulate(np.where(starts, np.arange(n), -1))
+            return np.where(at >= 0, rows[2:, np.maximum(at, 0)], held[k][:, None])
+
+        first, own = back(new, 0), back(other, 1)
+        repeats = ~new & ((d != first[0]) | ~other)
+        self.last, self.first, self.own = rows[:, -1], first[:, -1], own[:, -1]
+        return rows, new_h, repeats, np.where(d != first[0], first, own)
+
+
+def _joined(d, m, lo, n, sd, sm, so) -> list[np.ndarray]:
+    """Repeats with those that follow each other, in the text and in the source, made one."""
+    order = np.lexsort([lo, so - lo, sm, sd, m, d])
+    d, m, lo, n, sd, sm, so = (x[order] for x in (d, m, lo, n, sd, sm, so))
+    cut = edges(d, m, sd, sm, so - lo)
+    cut[1:] |= lo[1:] > lo[:-1] + n[:-1] + 1
+    at = np.flatnonzero(cut)
+    if not len(at):
+        return [d, m, lo, n, sd, sm, so]
+    end = np.maximum.reduceat(lo + n, at)
+    return [d[at], m[at], lo[at], end - lo[at], sd[at], sm[at], so[at]]
+
+
+def _packed_repeats(n, sd, sm, so) -> pa.Array:
+    raw = np.stack([n, sd, sm, so], axis=1).astype("<i8").tobytes()
+    return pa.array([raw[k : k + 32] for k in range(0, len(raw), 32)], pa.binary())
+
+
+def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Repeated byte runs: d (document key), m (hash of its text), lo (start), n (bytes past ``length``)."""
+    common.importable(docs.sparkSession)
     rows = _keyed(docs, id_col, text_col)
 
     def sample(batches):
         for whole in batches:
             for batch in common.slices(whole, "t"):
-                cols: list[list] = [[], [], [], []]
+                cols: list[list] = [[], [], [], [], []]
                 for d, text in zip(batch.column("d").to_pylist(), batch.column("t").to_pylist()):
                     if text and len(text) * 4 >= length:
-                        h, c, lo, hi, pos = anchors(text.encode(), length, gram)
+                        raw = text.encode()
+                        h, c, lo, hi, pos = anchors(raw, length, gram)
                         if len(h):
-                            packed = (_mark(text) << 48) + (lo << 16) + ((hi - lo) << 8) + (pos - lo)
-                            for col, x in zip(cols, (h.view(np.int64), c.view(np.int64), np.full(len(h), d, dtype=np.int64), packed)):
+                            own = np.full((2, len(h)), [[d], [mark(raw)]], dtype=np.int64)
+                            for col, x in zip(cols, (h.view(np.int64), c.view(np.int64), *own, (lo << 16) + ((hi - lo) << 8) + (pos - lo))):
                                 col.append(x)
-                if cols[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["h", "c", "d", "s"])
-
-    runs = rows.mapInArrow(sample, _ROW).repartition("h").sortWithinPartitions("h", "c", "d", "s").mapInArrow(_sift, "kind int, h long, d long, s long")
+                if not cols[0]:
+                    continue
+                got = np.stack([np.concatenate(x) for x in cols])
+                # what repeats inside the batch is settled here, so that common strings are few rows of the shuffle
+                got, _, again, source = _Settled()(got[:, np.lexsort(got[::-1])])
+                d, m, s = got[2:, again]
+                d, m, lo, n, sd, sm, so = _joined(d, m, s >> 16, s >> 8 & 255, source[0][again], source[1][again], source[2][again] >> 16)
+                key = ((d ^ lo).view(np.uint64) * np.uint64(_BASE)).view(np.int64)  # any, to spread them
+                left = got[:, ~again]
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(left, (key, np.zeros_like(d), d, m, lo))), pa.concat_arrays([pa.nulls(left.shape[1], pa.binary()), _packed_repeats(n, sd, sm, so)])], names=["h", "c", "d", "m", "s", "x"])
+
+    runs = rows.mapInArrow(sample, _ROW).repartition("h").sortWithinPartitions("h", "c", "d", "m", "s").mapInArrow(_sift, "kind int, h long, d long, m long, s long, x binary")
     runs = common.persisted(runs, "repeats")
-    whole = runs.where("kind = 0").select("d", F.expr("(s & ~65535L) | ((s >> 8) & 255)").alias("v"))
-    wanted = runs.where("kind = 1").groupBy("d").agg(F.collect_list(F.struct("h", "s")).alias("w"))
+    whole = common.persisted(runs.where("kind = 0").groupBy("d", "m").agg(F.collect_list(F.struct("s", "x")).alias("w")).mapInArrow(_merged, "d long, m long, lo long, n long, sd long, sm long, so long"), "merged")
+    # each repeat and its source are looked up in their documents, and so are the contexts that differ
+    sources = whole.select("sd", "sm", "so", "n").distinct().select(F.col("sd").alias("d"), F.col("sm").alias("m"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.col("so").alias("s"), "n", "sd", "sm", "so")
+    targets = whole.select("d", "m", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("h"), F.col("lo").alias("s"), "n", "sd", "sm", "so")
+    differing = runs.where("kind = 1").select("d", "m", "kind", "h", "s", *[F.lit(0).cast("long").alias(k) for k in ("n", "sd", "sm", "so")])
+    wanted = targets.union(sources).union(differing).groupBy("d", "m").agg(F.collect_list(F.struct("kind", "h", "s", "n", "sd", "sm", "so")).alias("w"))
     # side: 0 left, 1 right; k: hash of the anchor, the side and the bytes that all its windows share
-    pieces = _packed(rows, "t").join(wanted, "d").mapInArrow(_contexts(length, gram), "k long, d long, s long, b binary")
-    alike = pieces.repartition("k").sortWithinPartitions("k", "d", "s").mapInArrow(_sorted(length), "d long, v long")
-    return whole.union(alike)
+    pieces = _packed(rows, "t").join(wanted, ["d", "m"]).mapInArrow(_contexts(length, gram), "k long, kind int, d long, m long, s long, n long, b binary")
+    alike = common.persisted(pieces.repartition("k").sortWithinPartitions("k", "kind", "d", "m", "s", "n").mapInArrow(_sorted(length, group_bytes), "d long, m long, lo long, n long, k long, b binary"), "alike")
+    found = whole.select("d", "m", "lo", "n").union(alike.where("b is null").select("d", "m", "lo", "n"))
+    large = alike.where("b is not null")
+    return found if large.isEmpty() else found.union(_of_large_groups(large, length))
+
+
+def _of_large_groups(rows: DataFrame, length: int) -> DataFrame:
+    """Repeated windows among contexts (d, m, lo, b): their classes by distributed sorting, then the rule of repeats."""
+    rows = common.persisted(rows.select("d", "m", "lo", "b", F.monotonically_increasing_id().alias("p")), "large")
+    classes = difference_cover.classes(rows.select("p", F.col("b").alias("x")), length)
+    windows = rows.drop("b").join(classes, "p").select("class", "d", "m", (F.col("lo") + F.col("o")).alias("s"))
+
+    def run(batches):
+        settled = _Settled()
+        for batch in batches:
+            k, d, m, s = (np.asarray(batch.column(c)) for c in ("class", "d", "m", "s"))
+            got, _, again, _ = settled(np.stack([k, np.zeros_like(k), d, m, s]))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[again]) for x in got[2:]), pa.array(np.zeros(int(again.sum()), dtype=np.int64))], names=["d", "m", "lo", "n"])
+
+    return windows.repartition("class").sortWithinPartitions("class", "d", "m", "s").mapInArrow(run, "d long, m long, lo long, n long")
 
 
 def _packed(df: DataFrame, text_col: str) -> DataFrame:
-    """The text column compressed, as it goes through shuffles; null stays null."""
-    schema = StructType([StructField(f.name, BinaryType()) if f.name == text_col else f for f in df.schema.fields])
+    """The text column compressed, as it goes through shuffles, and a column m, the hash of the text; null stays null."""
+    schema = StructType([*(StructField(f.name, BinaryType()) if f.name == text_col else f for f in df.schema.fields), StructField("m", LongType())])
 
     def run(batches):
         codec = pa.Codec("zstd", compression_level=1)
         for whole in batches:
             for batch in common.slices(whole, text_col):
-                made = []
+                made, marks = [], []
                 for text in batch.column(text_col).to_pylist():
                     raw = None if text is None else text.encode()
                     made.append(None if raw is None else struct.pack("<I", len(raw)) + codec.compress(raw, asbytes=True))
-                yield batch.set_column(batch.schema.get_field_index(text_col), text_col, pa.array(made, pa.binary()))
+                    marks.append(mark(raw or b""))
+                cols = [pa.array(made, pa.binary()) if n == text_col else batch.column(n) for n in schema.names[:-1]]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(marks, pa.int64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
-def _unpack(data: bytes | None) -> str | None:
-    return None if data is None else pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], codec="zstd", asbytes=True).decode()
+def _unpack(data: bytes | None) -> bytes | None:
+    return None if data is None else pa.decompress(data[4:], struct.unpack("<I", data[:4])[0], codec="zstd", asbytes=True)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -224,117 +319,155 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _sift(batches):
-    """Sorted anchor rows to rows of kind 0 (all windows repeat) and 1 (first context of an anchor that has others)."""
-    last = held = None  # the last row; the first context of the last h, while it is the only one
+    """Sorted rows to kind 0 (all windows repeat) and 1 (a context that does not, of an anchor that has others)."""
+    settled, held = _Settled(), None  # held: the first row of the last h, while it is the only one that repeats nothing
     for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy() for k in ("h", "c", "d", "s")])
+        done = np.array(batch.column("x").is_valid())
+        if done.any():
+            own = batch.filter(pa.array(done))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(own.num_rows, dtype=np.int32)), *(own.column(k) for k in ("h", "d", "m", "s", "x"))], names=["kind", "h", "d", "m", "s", "x"])
+        rows = np.stack([np.asarray(batch.column(k)) for k in ("h", "c", "d", "m", "s")])[:, ~done]
+        rows, new_h, again, source = settled(rows)
         if not rows.shape[1]:
             continue
-        before = np.concatenate([rows[:, :1] if last is None else last[:, None], rows[:, :-1]], axis=1)
-        other = (rows != before).any(axis=0)  # rows of one document that comes twice count once
-        other[0] |= last is None
-        h, c, d, s = rows = rows[:, other]
-        if not len(h):
-            continue
-        new_h = np.concatenate([[last is None or h[0] != last[0]], h[1:] != h[:-1]])
-        new = new_h | np.concatenate([[last is None or c[0] != last[1]], c[1:] != c[:-1]])
-        at = np.flatnonzero(new)  # first contexts
+        h, _, d, m, s = rows
+        at = np.flatnonzero(~again)
         many = np.zeros(len(at), dtype=bool)
         many[:-1] = ~new_h[at[1:]]
         many |= ~new_h[at]
-        out = [(np.flatnonzero(~new), 0), (at[many], 1)]
-        cols = [[np.full(len(i), k, dtype=np.int32) for i, k in out], *([x[i] for i, _ in out] for x in (h, d, s))]
+        cols = [[np.zeros(int(again.sum()), dtype=np.int32), np.ones(int(many.sum()), dtype=np.int32)], *([x[again], x[at[many]]] for x in (h, d, m))]
+        cols.append([s[again] >> 16, s[at[many]]])
         if len(at) and not new_h[at[0]] and held is not None:
             for col, x in zip(cols, (np.array([1], dtype=np.int32), *(np.array([v]) for v in held))):
                 col.append(x)
         if len(at):
-            alone = new_h[at[-1]]
-            held = (h[at[-1]], d[at[-1]], s[at[-1]]) if alone else None
-        last = rows[:, -1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["kind", "h", "d", "s"])
+            held = (h[at[-1]], d[at[-1]], m[at[-1]], s[at[-1]]) if new_h[at[-1]] else None
+        x = _packed_repeats(s[again] >> 8 & 255, source[0][again], source[1][again], source[2][again] >> 16)
+        cols = [pa.array(np.concatenate(c)) for c in cols]
+        yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([x, pa.nulls(len(cols[0]) - len(x), pa.binary())])], names=["kind", "h", "d", "m", "s", "x"])
+
+
+def _merged(batches):
+    """The repeats of each document, joined."""
+    for batch in batches:
+        cols: list[list] = [[], [], [], [], [], [], []]
+        for d, m, w in zip(*(batch.column(k).to_pylist() for k in ("d", "m", "w"))):
+            n, sd, sm, so = np.frombuffer(b"".join([r["x"] for r in w]), "<i8").reshape(-1, 4).T.astype(np.int64)
+            lo = np.array([r["s"] for r in w], dtype=np.int64)
+            for col, x in zip(cols, _joined(np.full(len(w), d), np.full(len(w), m), lo, n, sd, sm, so)):
+                col.append(x)
+        if cols[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["d", "m", "lo", "n", "sd", "sm", "so"])
 
 
 def _contexts(length: int, gram: int):
+    """Documents with what is wanted of them to rows of kind 0 (digests of repeats and sources) and 1 (contexts)."""
     side = (length - gram) // 2  # bytes beside the anchor that windows of a side share
+    key = lambda data, what: int.from_bytes(hashlib.blake2b(data, digest_size=8, key=what).digest(), "big", signed=True)
 
     def run(batches):
         for whole in batches:
             for batch in common.slices(whole, "t"):
-                rows = []
-                for d, data, wanted in zip(*(batch.column(k).to_pylist() for k in ("d", "t", "w"))):
-                    text = _unpack(data)
-                    raw, mark = text.encode(), _mark(text)
+                rows, digests = [], set()
+                for d, m, data, wanted in zip(*(batch.column(k).to_pylist() for k in ("d", "m", "t", "w"))):
+                    raw = _unpack(data) or b""
                     for w in wanted:
-                        s = w["s"]
-                        if s >> 48 != mark:
+                        if w["kind"] == 0:
+                            name = struct.pack("<4q", w["n"], w["sd"], w["sm"], w["so"])
+                            digests.add((key(name, b"s"), 0, w["sd"], w["sm"], w["so"], w["n"], hashlib.sha256(raw[w["s"] : w["s"] + w["n"] + length]).digest()))
                             continue
-                        lo, n, off = s >> 16 & 0xFFFFFFFF, s >> 8 & 255, s & 255
+                        s = w["s"]
+                        lo, n, off = s >> 16, s >> 8 & 255, s & 255
                         pos, hi = lo + off, lo + n
                         for left in (True, False):
                             a, b = (lo, min(hi, pos - side)) if left else (max(lo, pos - side + 1), hi)
-                            if a > b:
-                                continue
-                            shared = raw[pos - side : pos + gram] if left else raw[pos : pos + length - side + 1]
-                            k = int.from_bytes(hashlib.blake2b(shared, digest_size=8, key=b"l" if left else b"r").digest(), "big", signed=True)
-                            rows.append((k, d, mark << 48 | a << 16 | b - a, raw[a : b + length]))
+                            if a <= b:
+                                shared = raw[pos - side : pos + gram] if left else raw[pos : pos + length - side + 1]
+                                rows.append((key(shared, b"l" if left else b"r"), 1, d, m, a, b - a, raw[a : b + length]))
+                rows += digests
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["k", "d", "s", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()))], names=["k", "kind", "d", "m", "s", "n", "b"])
 
     return run
 
 
-def _sorted(length: int):
-    def repeats(rows: list[tuple]):
-        """Rows (k, d, s, bytes) of whole groups, in order, to repeated runs."""
-        sizes = np.array([len(r[3]) + 1 for r in rows])
+def repeated(classes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows, in order of id, text and start, have an equal one (by class) before in a smaller id or in their document."""
+    order = np.argsort(classes, kind="stable")
+    k, doc, d = classes[order], docs[order], ids[order]
+    new = edges(k)
+    first = d[np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))]
+    out = np.zeros(len(k), dtype=bool)
+    out[order] = ~new & ((d != first) | ~edges(doc))
+    return out
+
+
+def _sorted(length: int, group_bytes: int):
+    """Groups of contexts to repeated runs (b null); rows of groups beyond ``group_bytes`` go on as they are."""
+    names, kinds = ["d", "m", "lo", "n", "k", "b"], (*[pa.int64()] * 5, pa.binary())
+
+    def settled(rows: list[tuple]):
+        """Rows (k, d, m, s, n, bytes) of whole groups, in order, to repeated runs."""
+        sizes = np.array([len(r[5]) + 1 for r in rows])
         base = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join([r[3] + b"\0" for r in rows]), np.uint8).astype(np.int32) + 1
+        data = np.frombuffer(b"".join([r[5] + b"\0" for r in rows]), np.uint8).astype(np.int32) + 1
         data[base + sizes - 1] = 0
         count = sizes - length
         row = np.repeat(np.arange(len(rows)), count)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         same = equal_windows(data, base[row] + offset, length)
-        # rows are in order of document and start, windows of a row too: the first of a class stays
-        first = np.full(int(same.max()) + 1, len(row), dtype=np.int64)
-        np.minimum.at(first, same, np.arange(len(row)))
-        again = np.flatnonzero(first[same] != np.arange(len(row)))
+        # rows are in order of id, text and start, windows of a row too
+        d, m, s = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
+        doc = np.cumsum(edges(d, m))
+        again = np.flatnonzero(repeated(same, doc[row], d[row]))
         if not len(again):
-            return [], []
-        cut = np.concatenate([[True], (np.diff(row[again]) != 0) | (np.diff(offset[again]) != 1)])
-        lo = again[cut]
-        hi = again[np.concatenate([np.flatnonzero(cut)[1:] - 1, [len(again) - 1]])]
-        s = np.array([r[2] for r in rows], dtype=np.int64)[row[lo]]
-        v = (s & ~0xFFFF) + (offset[lo] << 16) + (offset[hi] - offset[lo])
-        return np.array([r[1] for r in rows], dtype=np.int64)[row[lo]], v
+            return None
+        cut = edges(row[again])
+        cut[1:] |= np.diff(offset[again]) != 1
+        at = np.flatnonzero(cut)
+        lo, hi = again[at], again[np.append(at[1:] - 1, len(again) - 1)]
+        zero = np.zeros(len(lo), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([*map(pa.array, (d[row[lo]], m[row[lo]], s[row[lo]] + offset[lo], offset[hi] - offset[lo], zero)), pa.nulls(len(lo), pa.binary())], names=names)
 
-    def run(batches):
-        rows, group, size, total = [], [], 0, 0
-
-        def close(final: bool):
-            """Sort what is gathered, if that is enough; groups of one row have no repeat."""
-            nonlocal rows, total
-            if rows and (final or total >= SORT_BYTES):
-                d, v = repeats(rows)
-                rows, total = [], 0
-                if len(d):
-                    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(v, pa.int64())], names=["d", "v"])
+    def whole(rows: list[tuple]):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(r[1], r[2], r[3], r[4], r[0], r[5]) for r in rows]), kinds)], names=names)
 
+    def run(batches):
+        rows, group, size, total, last, told = [], [], 0, 0, None, None
         for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in ("k", "d", "s", "b"))):
-                if group and group[-1][:3] == r[:3]:
+            passed: list[tuple] = []
+            for k, kind, d, m, s, n, b in zip(*(batch.column(c).to_pylist() for c in ("k", "kind", "d", "m", "s", "n", "b"))):
+                if kind == 0:  # a repeat and its source have one digest
+                    if told is not None and told[0] == (d, m, s, n) and told[1] != b:
+                        raise RuntimeError("unlike byte strings have equal hashes: no byte is removed")
+                    told = (d, m, s, n), b
+                    continue
+                r = (k, d, m, s, n, b)
+                if last is not None and last == r[:5]:
                     continue
-                if group and group[-1][0] != r[0]:
-                    if len(group) > 1:
+                if last is not None and last[0] != k:
+                    if 0 <= size <= group_bytes and len(group) > 1:
                         rows += group
                         total += size
-                        if (out := close(False)) is not None:
-                            yield out
+                        if total >= SORT_BYTES:
+                            if (out := settled(rows)) is not None:
+                                yield out
+                            rows, total = [], 0
                     group, size = [], 0
+                last = r[:5]
+                size += len(b)
                 group.append(r)
-                size += len(r[3])
-        if len(group) > 1:
+                if size > group_bytes:  # too large a group for one task
+                    passed += group
+                    group = []
+                    if len(passed) >= 5000:
+                        yield whole(passed)
+                        passed = []
+            if passed:
+                yield whole(passed)
+        if size <= group_bytes and len(group) > 1:
             rows += group
-        if (out := close(True)) is not None:
+        if rows and (out := settled(rows)) is not None:
             yield out
 
     return run
@@ -345,10 +478,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", lambda batch, texts, cols: cols)
 
 
-def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """As :func:`remove_repeats`, with the SHA-256 of what is kept in its place."""
     hashed = lambda batch, texts, cols: [*cols[:4], [hashlib.sha256(x).hexdigest() for x in cols[4]]]
-    return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hashed)
+    return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", hashed, group_bytes)
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -362,7 +495,7 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     chars = names[docs.columns.index("n_chars")] if "n_chars" in docs.columns else None
 
     def put(batch, olds, cols):
-        texts = [None if old is None else kept.decode("utf-8", "ignore") if n else old for old, kept, n in zip(olds, cols[4], cols[2])]
+        texts = [None if old is None else (kept if n else old).decode("utf-8", "ignore") for old, kept, n in zip(olds, cols[4], cols[2])]
         out = []
         for n in names:
             if n == text:
@@ -376,10 +509,12 @@ def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     return _apply(inner, key, text, length, inner.schema, put).toDF(*docs.columns)
 
 
-def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, shape) -> DataFrame:
-    spans = find_repeats(docs, id_col, text_col, length).groupBy("d").agg(F.collect_list("v").alias("spans"))
-    own = docs if not isinstance(schema, str) else docs.select(id_col, text_col)
-    joined = _packed(own, text_col).withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))).join(spans, "d", "left").drop("d")
+def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, shape, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    spans = find_repeats(docs, id_col, text_col, length, group_bytes=group_bytes).groupBy("d", "m").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))
+    own = docs
+    if isinstance(schema, str):
+        own, id_col, text_col = docs.select(F.col(id_col).alias("c0"), F.col(text_col).alias("c1")), "c0", "c1"
+    joined = _packed(own, text_col).withColumn("d", F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL))).join(spans, ["d", "m"], "left").drop("d", "m")
     names = [f.name for f in schema.fields] if not isinstance(schema, str) else [x.split()[0] for x in schema.split(", ")]
     kinds = None if not isinstance(schema, str) else [common._TYPES[x.split()[1]] for x in schema.split(", ")]
 
@@ -388,9 +523,9 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, sha
             for batch in common.slices(whole, text_col):
                 cols: list[list] = [[], [], [], [], []]
                 texts = [_unpack(x) for x in batch.column(text_col).to_pylist()]
-                for key, text, spans in zip(batch.column(id_col).to_pylist(), texts, batch.column("spans").to_pylist()):
-                    raw = (text or "").encode()
-                    kept, removed, n = cut(raw, spans, _mark(text) if spans else 0, length)
+                for key, raw, spans in zip(batch.column(id_col).to_pylist(), texts, batch.column("spans").to_pylist()):
+                    raw = raw or b""
+                    kept, removed, n = cut(raw, [(r["lo"], r["n"]) for r in spans or ()], length)
                     for col, x in zip(cols, (key, len(raw), removed, n, kept)):
                         col.append(x)
                 made = shape(batch, texts, cols)
@@ -399,12 +534,10 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, schema, sha
     return joined.mapInArrow(run, schema)
 
 
-def cut(raw: bytes, spans: list[int] | None, mark: int, length: int) -> tuple[bytes, int, int]:
+def cut(raw: bytes, spans: list[tuple[int, int]], length: int) -> tuple[bytes, int, int]:
     """(what is kept, bytes removed, maximal runs removed)."""
-    if not spans:
-        return raw, 0, 0
     out, at, removed, n, end = [], 0, 0, 0, -1
-    for lo, hi in sorted((v >> 16 & 0xFFFFFFFF, (v >> 16 & 0xFFFFFFFF) + (v & 0xFFFF) + length) for v in spans if v >> 48 == mark):
+    for lo, hi in sorted((lo, lo + more + length) for lo, more in spans):
         if lo > end:
             n += 1
             out.append(raw[at:lo])
