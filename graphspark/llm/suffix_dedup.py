@@ -40,6 +40,8 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
@@ -252,11 +254,17 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     continue
                 got = np.stack([np.concatenate(x) for x in cols])
                 # what repeats inside the batch is settled here, so that common strings are few rows of the shuffle
+                code = got[0] + got[1] * 3
+                order = np.argsort(code)
+                new = edges(code[order])
+                many = np.ones(len(code), dtype=bool)
+                many[order] = ~(new & np.append(new[1:], True))
+                alone, got = got[:, ~many], got[:, many]
                 got, _, again, source = _Settled()(got[:, np.lexsort(got[::-1])])
                 d, m, s = got[2:, again]
                 d, m, lo, n, sd, sm, so = _joined(d, m, s >> 16, s >> 8 & 255, source[0][again], source[1][again], source[2][again] >> 16)
                 key = ((d ^ lo).view(np.uint64) * np.uint64(_BASE)).view(np.int64)  # any, to spread them
-                left = got[:, ~again]
+                left = np.concatenate([alone, got[:, ~again]], axis=1)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(left, (key, np.zeros_like(d), d, m, lo))), pa.concat_arrays([pa.nulls(left.shape[1], pa.binary()), _packed_repeats(n, sd, sm, so)])], names=["h", "c", "d", "m", "s", "x"])
 
     runs = rows.mapInArrow(sample, _ROW).repartition("h").sortWithinPartitions("h", "c", "d", "m", "s").mapInArrow(_sift, "kind int, h long, d long, m long, s long, x binary")
@@ -347,43 +355,48 @@ def _sift(batches):
         yield pa.RecordBatch.from_arrays([*cols, pa.concat_arrays([x, pa.nulls(len(cols[0]) - len(x), pa.binary())])], names=["kind", "h", "d", "m", "s", "x"])
 
 
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, pa.StructArray]:
+    """(ends of each row's items, all items) of a column of lists."""
+    lists = batch.column(name)
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten()
+
+
 def _merged(batches):
     """The repeats of each document, joined."""
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], [], []]
-        for d, m, w in zip(*(batch.column(k).to_pylist() for k in ("d", "m", "w"))):
-            n, sd, sm, so = np.frombuffer(b"".join([r["x"] for r in w]), "<i8").reshape(-1, 4).T.astype(np.int64)
-            lo = np.array([r["s"] for r in w], dtype=np.int64)
-            for col, x in zip(cols, _joined(np.full(len(w), d), np.full(len(w), m), lo, n, sd, sm, so)):
-                col.append(x)
-        if cols[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["d", "m", "lo", "n", "sd", "sm", "so"])
+        if batch.num_rows:
+            ends, items = _lists(batch, "w")
+            d, m = (np.repeat(np.asarray(batch.column(k)), np.diff(ends)) for k in ("d", "m"))
+            n, sd, sm, so = np.frombuffer(b"".join(items.field("x").to_pylist()), "<i8").reshape(-1, 4).T.astype(np.int64)
+            cols = _joined(d, m, np.asarray(items.field("s")), n, sd, sm, so)
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), names=["d", "m", "lo", "n", "sd", "sm", "so"])
 
 
 def _contexts(length: int, gram: int):
     """Documents with what is wanted of them to rows of kind 0 (digests of repeats and sources) and 1 (contexts)."""
     side = (length - gram) // 2  # bytes beside the anchor that windows of a side share
-    key = lambda data, what: int.from_bytes(hashlib.blake2b(data, digest_size=8, key=what).digest(), "big", signed=True)
 
     def run(batches):
         for whole in batches:
             for batch in common.slices(whole, "t"):
                 rows, digests = [], set()
-                for d, m, data, wanted in zip(*(batch.column(k).to_pylist() for k in ("d", "m", "t", "w"))):
+                ends, items = _lists(batch, "w")
+                ends, own = ends.tolist(), list(zip(*(items.field(k).to_pylist() for k in ("kind", "s", "n", "sd", "sm", "so"))))
+                for row, (d, m, data) in enumerate(zip(*(batch.column(k).to_pylist() for k in ("d", "m", "t")))):
                     raw = _unpack(data) or b""
-                    for w in wanted:
-                        if w["kind"] == 0:
-                            name = struct.pack("<4q", w["n"], w["sd"], w["sm"], w["so"])
-                            digests.add((key(name, b"s"), 0, w["sd"], w["sm"], w["so"], w["n"], hashlib.sha256(raw[w["s"] : w["s"] + w["n"] + length]).digest()))
+                    for kind, s, n, *source in own[ends[row] : ends[row + 1]]:
+                        if kind == 0:
+                            name = struct.pack("<4q", n, *source)
+                            digests.add((xxhash.xxh3_64_intdigest(name) >> 1, 0, *source, n, hashlib.sha256(raw[s : s + n + length]).digest()))
                             continue
-                        s = w["s"]
                         lo, n, off = s >> 16, s >> 8 & 255, s & 255
                         pos, hi = lo + off, lo + n
-                        for left in (True, False):
-                            a, b = (lo, min(hi, pos - side)) if left else (max(lo, pos - side + 1), hi)
-                            if a <= b:
-                                shared = raw[pos - side : pos + gram] if left else raw[pos : pos + length - side + 1]
-                                rows.append((key(shared, b"l" if left else b"r"), 1, d, m, a, b - a, raw[a : b + length]))
+                        a, b = lo, min(hi, pos - side)
+                        if a <= b:
+                            rows.append((xxhash.xxh3_64_intdigest(raw[pos - side : pos + gram]) >> 1, 1, d, m, a, b - a, raw[a : b + length]))
+                        a, b = max(lo, pos - side + 1), hi
+                        if a <= b:
+                            rows.append((xxhash.xxh3_64_intdigest(raw[pos : pos + length - side + 1], 1) >> 1, 1, d, m, a, b - a, raw[a : b + length]))
                 rows += digests
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 4, pa.binary()))], names=["k", "kind", "d", "m", "s", "n", "b"])
@@ -404,22 +417,24 @@ def repeated(classes: np.ndarray, docs: np.ndarray, ids: np.ndarray) -> np.ndarr
 
 def _sorted(length: int, group_bytes: int):
     """Groups of contexts to repeated runs (b null); rows of groups beyond ``group_bytes`` go on as they are."""
-    names, kinds = ["d", "m", "lo", "n", "k", "b"], (*[pa.int64()] * 5, pa.binary())
-
-    def settled(rows: list[tuple]):
-        """Rows (k, d, m, s, n, bytes) of whole groups, in order, to repeated runs."""
-        sizes = np.array([len(r[5]) + 1 for r in rows])
+    names = ["d", "m", "lo", "n", "k", "b"]
+    key = ("k", "d", "m", "s", "n")
+
+    def settled(batch: pa.RecordBatch):
+        """Contexts of whole groups, in order, to repeated runs."""
+        k, d, m, s, n = (np.asarray(batch.column(c)) for c in key)
+        b = batch.column("b")
+        sizes = np.asarray(pc.binary_length(b)).astype(np.int64) + 1
         base = np.cumsum(sizes) - sizes
-        data = np.frombuffer(b"".join([r[5] + b"\0" for r in rows]), np.uint8).astype(np.int32) + 1
-        data[base + sizes - 1] = 0
+        raw = np.frombuffer(b"".join(b.to_pylist()), np.uint8)
+        data = np.zeros(int(sizes.sum()), dtype=np.int32)
+        data[np.arange(len(raw)) + np.repeat(np.arange(len(sizes)), sizes - 1)] = raw.astype(np.int32) + 1
         count = sizes - length
-        row = np.repeat(np.arange(len(rows)), count)
+        row = np.repeat(np.arange(len(sizes)), count)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
         same = equal_windows(data, base[row] + offset, length)
         # rows are in order of id, text and start, windows of a row too
-        d, m, s = (np.array([r[k] for r in rows], dtype=np.int64) for k in (1, 2, 3))
-        doc = np.cumsum(edges(d, m))
-        again = np.flatnonzero(repeated(same, doc[row], d[row]))
+        again = np.flatnonzero(repeated(same, np.cumsum(edges(k, d, m))[row], d[row]))
         if not len(again):
             return None
         cut = edges(row[again])
@@ -429,50 +444,74 @@ def _sorted(length: int, group_bytes: int):
         zero = np.zeros(len(lo), dtype=np.int64)
         return pa.RecordBatch.from_arrays([*map(pa.array, (d[row[lo]], m[row[lo]], s[row[lo]] + offset[lo], offset[hi] - offset[lo], zero)), pa.nulls(len(lo), pa.binary())], names=names)
 
-    def whole(rows: list[tuple]):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(r[1], r[2], r[3], r[4], r[0], r[5]) for r in rows]), kinds)], names=names)
+    def compare(batch: pa.RecordBatch, told):
+        """A repeat and its source have one digest; ``told`` is the last one before."""
+        rows = [*([told] if told else []), *zip(*(batch.column(c).to_pylist() for c in ("d", "m", "s", "n", "b")))]
+        if any(x[:4] == y[:4] and x[4] != y[4] for x, y in zip(rows, rows[1:])):
+            raise RuntimeError("unlike byte strings have equal hashes: no byte is removed")
+        return rows[-1]
+
+    def whole(batch: pa.RecordBatch):
+        return pa.RecordBatch.from_arrays([batch.column(c) for c in ("d", "m", "s", "n", "k", "b")], names=names)
 
     def run(batches):
-        rows, group, size, total, last, told = [], [], 0, 0, None, None
+        held, size, told, passing = [], 0, None, None  # batches of whole groups but for the last, which may go on
         for batch in batches:
-            passed: list[tuple] = []
-            for k, kind, d, m, s, n, b in zip(*(batch.column(c).to_pylist() for c in ("k", "kind", "d", "m", "s", "n", "b"))):
-                if kind == 0:  # a repeat and its source have one digest
-                    if told is not None and told[0] == (d, m, s, n) and told[1] != b:
-                        raise RuntimeError("unlike byte strings have equal hashes: no byte is removed")
-                    told = (d, m, s, n), b
-                    continue
-                r = (k, d, m, s, n, b)
-                if last is not None and last == r[:5]:
+            digests = np.asarray(batch.column("kind")) == 0
+            if digests.any():
+                told = compare(batch.filter(pa.array(digests)), told)
+                batch = batch.filter(pa.array(~digests))
+            if not batch.num_rows:
+                continue
+            k = np.asarray(batch.column("k"))
+            if passing is not None:  # a group too large for one task goes on
+                n = int(np.searchsorted(k, passing, side="right"))
+                if n:
+                    yield whole(batch.slice(0, n))
+                batch, k = batch.slice(n), k[n:]
+                if not len(k):
                     continue
-                if last is not None and last[0] != k:
-                    if 0 <= size <= group_bytes and len(group) > 1:
-                        rows += group
-                        total += size
-                        if total >= SORT_BYTES:
-                            if (out := settled(rows)) is not None:
-                                yield out
-                            rows, total = [], 0
-                    group, size = [], 0
-                last = r[:5]
-                size += len(b)
-                group.append(r)
-                if size > group_bytes:  # too large a group for one task
-                    passed += group
-                    group = []
-                    if len(passed) >= 5000:
-                        yield whole(passed)
-                        passed = []
-            if passed:
-                yield whole(passed)
-        if size <= group_bytes and len(group) > 1:
-            rows += group
-        if rows and (out := settled(rows)) is not None:
+                passing = None
+            held.append(batch)
+            size += _bytes(batch)
+            if size < SORT_BYTES:
+                continue
+            joined = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            k = np.asarray(joined.column("k"))
+            cut = int(np.searchsorted(k, k[-1]))
+            yield from groups(joined.slice(0, cut))
+            rest = joined.slice(cut)
+            held, size = [rest], _bytes(rest)
+            if size > group_bytes:
+                yield whole(rest)
+                held, size, passing = [], 0, int(k[-1])
+        if held:
+            yield from groups(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    def groups(batch: pa.RecordBatch):
+        """Rows of whole groups: those of one row repeat nothing, large ones go on, the others are sorted."""
+        if not batch.num_rows:
+            return
+        cols = [np.asarray(batch.column(c)) for c in key]
+        batch = batch.filter(pa.array(edges(*cols)))  # rows of one document that comes twice count once
+        k = np.asarray(batch.column("k"))
+        at = np.flatnonzero(edges(k))
+        count = np.diff(np.append(at, len(k)))
+        sizes = np.add.reduceat(np.asarray(pc.binary_length(batch.column("b"))).astype(np.int64), at)
+        large = np.repeat(sizes > group_bytes, count)
+        if large.any():
+            yield whole(batch.filter(pa.array(large)))
+        batch = batch.filter(pa.array(~large & np.repeat(count > 1, count)))
+        if batch.num_rows and (out := settled(batch)) is not None:
             yield out
 
     return run
 
 
+def _bytes(batch: pa.RecordBatch) -> int:
+    return pc.sum(pc.binary_length(batch.column("b"))).as_py() or 0
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """For each document: doc_id, n_bytes, n_removed, n_spans, kept (its remaining bytes)."""
     return _apply(docs, id_col, text_col, length, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", lambda batch, texts, cols: cols)
