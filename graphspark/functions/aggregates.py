@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, TypeMismatch
-from graphspark.functions.scalar import need
+from graphspark.functions.scalar import fail, need
 from graphspark.plans.types import FLOAT, INT, NULL, T, Val, list_of, sql
 
 
@@ -63,25 +63,29 @@ def aggregate(name: str, distinct: bool, args: list[Val], order: list[tuple[str,
         f = {"stdev": F.stddev_samp, "stdevp": F.stddev_pop, "var": F.var_samp, "varp": F.var_pop}[name]
         return FLOAT, F.coalesce(f(c.cast("double")), F.lit(0.0))
     p = _fraction(args[1])
-    if name == "percentilecont":
+    if name == "percentilecont" and isinstance(p, float):
         return FLOAT, F.percentile(c.cast("double"), p)
+    if name == "percentilecont":
+        return FLOAT, _continuous(F.collect_list(c.cast("double")), p)
     values = F.array_sort(F.collect_set(c) if distinct else F.collect_list(c))
-    return v.t, F.get(values, F.greatest(F.ceil(F.lit(p) * F.size(values)).cast("int") - 1, F.lit(0)))
+    return v.t, F.get(values, F.greatest(F.ceil((F.lit(p) if isinstance(p, float) else p) * F.size(values)).cast("int") - 1, F.lit(0)))
 
 
-def _fraction(v: Val) -> float:
+def _fraction(v: Val) -> float | Column:
+    """The percentile: a number, or where only the rows know it that of a row (the greatest, if they differ)."""
     if v.t.kind not in ("int", "float"):
         raise TypeMismatch("the percentile is a number")
     if v.const is None:
-        raise InvalidQuery("the percentile is a literal or parameter")
+        p = F.max(v.column().cast("double"))
+        return F.when((p >= 0) & (p <= 1), p).otherwise(F.when(p.isNotNull(), fail("RuntimeError", "NumberOutOfRange: the percentile lies in 0..1").cast("double")))
     if not 0 <= v.const <= 1:
         raise InvalidQuery("NumberOutOfRange: the percentile lies in 0..1")
     return float(v.const)
 
 
-def _continuous(values: Column, p: float) -> Column:
+def _continuous(values: Column, p: float | Column) -> Column:
     s = F.array_sort(values)
-    at = F.lit(p) * (F.size(s) - 1)
+    at = (F.lit(p) if isinstance(p, float) else p) * (F.size(s) - 1)
     lo = F.floor(at).cast("int")
     return F.when(F.size(s) > 0, F.get(s, lo) + (at - lo) * (F.get(s, F.least(lo + 1, F.size(s) - 1)) - F.get(s, lo)))
 

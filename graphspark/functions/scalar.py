@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
-from graphspark.plans.types import BOOL, FLOAT, INT, NULL, STR, T, Val, coerce, list_of, make_list, map_of, path_ids, sql, unify
+from graphspark.plans.types import BARE, BOOL, FLOAT, INT, NULL, STR, T, Val, coerce, list_of, literal, make_list, map_of, path_ids, sql, unify
 
 #: White space at the ends of strings, as the language trims it.
 _ENDS = r"(?U)^\s+|\s+$"
@@ -26,6 +26,20 @@ def fail(kind: str, message: str) -> Column:
     return F.raise_error(F.lit(f"[{kind}] {message}"))
 
 
+def known(v: Val) -> Val:
+    """Refuses a node of which only the id is known, instead of giving nulls for what it has."""
+    if v.t.spark == "bare":
+        raise Unsupported("labels or properties of startNode, endNode or nodes inside a list expression")
+    return v
+
+
+def living(v: Val, c: Column) -> Column:
+    """A part of an element, which a deleted one has no more."""
+    if v.elem is None or not v.elem.gone:
+        return c
+    return F.when(v.elem.at("id").isNotNull() & F.raise_error(F.lit("[RuntimeError] DeletedEntityAccess")).cast("boolean"), c)
+
+
 def null_of(t: T) -> Val:
     return Val(t, F.lit(None).cast(sql(t)))
 
@@ -64,8 +78,13 @@ def _round(x: Val, p: Val | None = None, mode: Val | None = None) -> Val:
         f = floor_of(c)
         return Val(FLOAT, F.when(F.isnan(c) | (F.abs(c) >= _BIG), c).when(c - f >= 0.5, f + 1).otherwise(f))
     need(p, "int", what="round")
-    if p.const is None:
-        raise Unsupported("round() with a precision that is not a literal")
+    if p.const is None:  # a branch for each precision that a double can have
+        if mode is not None and mode.const is None:
+            raise Unsupported("round() with a mode that is not a literal")
+        out = F.when(p.column().isNull() | c.isNull(), F.lit(None).cast("double"))
+        for k in range(16):
+            out = out.when(p.column() == k, _round(x, literal(k), mode).column())
+        return Val(FLOAT, out.otherwise(fail("RuntimeError", "round() takes a precision from 0 to 15").cast("double")))
     how = "HALF_UP" if mode is None else str(mode.const).upper()
     if how == "HALF_UP":
         return Val(FLOAT, F.round(c, int(p.const)))
@@ -234,7 +253,7 @@ def _split(v: Val, d: Val) -> Val:
     need(v, "str", what="split"), need(d, "str", "list", what="split")
     if "null" in (v.t.kind, d.t.kind):
         return null_of(list_of(STR))
-    quoted = lambda x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("\\Q"), x, F.lit("\\E")))
+    quoted = lambda x: F.when(x == "", F.lit("")).otherwise(F.concat(F.lit("\\Q"), F.replace(x, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
     pattern = quoted(d.column()) if d.t.kind == "str" else F.array_join(F.transform(d.column(), quoted), "|")
     return Val(list_of(STR), F.split(v.column(), pattern, F.lit(-1)))
 
@@ -317,19 +336,19 @@ def _element_id(v: Val) -> Val:
 
 def _labels(v: Val) -> Val:
     need(v, "node", what="labels")
-    return null_of(list_of(STR)) if v.t.kind == "null" else Val(list_of(STR), _part(v, "labels"))
+    return null_of(list_of(STR)) if v.t.kind == "null" else Val(list_of(STR), living(known(v), _part(v, "labels")))
 
 
 def _type(v: Val) -> Val:
     need(v, "rel", what="type")
-    return null_of(STR) if v.t.kind == "null" else Val(STR, _part(v, "type"))
+    return null_of(STR) if v.t.kind == "null" else Val(STR, _part(known(v), "type"))
 
 
 def _properties(v: Val) -> Val:
     need(v, "node", "rel", "map", what="properties")
     if v.t.kind in ("null", "map"):
         return v
-    return Val(map_of(dict(v.t.fields)), v.column()["properties"])
+    return Val(map_of(dict(v.t.fields)), living(known(v), v.column()["properties"]))
 
 
 def _keys(v: Val) -> Val:
@@ -338,9 +357,9 @@ def _keys(v: Val) -> Val:
         return null_of(list_of(STR))
     if v.t.kind == "map":
         return Val(list_of(STR), F.when(v.column().isNotNull(), F.array(*[F.lit(k) for k, _ in v.t.fields]).cast("array<string>")))
-    props = [(k, v.elem.at(f"p_{k}") if v.elem is not None else v.column()["properties"][k]) for k, _ in v.t.fields]
+    props = [(k, v.elem.at(f"p_{k}") if v.elem is not None else v.column()["properties"][k]) for k, _ in known(v).t.fields]
     there = v.elem.at("id") if v.elem is not None else v.column()
-    return Val(list_of(STR), F.when(there.isNotNull(), F.array_compact(F.array(*[F.when(c.isNotNull(), k) for k, c in sorted(props)])) if props else F.array().cast("array<string>")))
+    return Val(list_of(STR), F.when(there.isNotNull(), F.array_compact(F.array(*[F.when(living(v, c).isNotNull(), k) for k, c in sorted(props, key=lambda x: x[0])])) if props else F.array().cast("array<string>")))
 
 
 def _nodes(v: Val) -> Val:
@@ -349,8 +368,12 @@ def _nodes(v: Val) -> Val:
         got = make_list([Val(T("node", fields=tuple(sorted(n.props.items()))), elem=n) for n in v.path.nodes])
         return Val(got.t, F.when(v.path.nodes[0].at("id").isNotNull(), got.col))
     ids = path_ids(v.path)[0] if v.path is not None else v.column()["nodes"]
-    node = T("node")
-    return Val(list_of(node), F.transform(ids, lambda x: F.struct(x.alias("id"), F.lit(None).cast("array<string>").alias("labels"), F.expr("named_struct()").alias("properties"))))
+    return Val(list_of(BARE), F.transform(ids, bare))
+
+
+def bare(i: Column) -> Column:
+    """A node of which only the id is known."""
+    return F.struct(i.alias("id"), F.lit(None).cast("array<string>").alias("labels"), F.expr("named_struct()").alias("properties"))
 
 
 def _relationships(v: Val) -> Val:
@@ -358,16 +381,14 @@ def _relationships(v: Val) -> Val:
     if v.path is not None and all(not isinstance(r, tuple) for r in v.path.rels):
         got = make_list([Val(T("rel", fields=tuple(sorted(r.props.items()))), elem=r) for r in v.path.rels])
         return Val(got.t, F.when(v.path.nodes[0].at("id").isNotNull(), got.col))
-    if v.path is not None and len(v.path.rels) == 1:
-        return Val(list_of(T("rel")), F.transform(v.path.rels[0][0], lambda x: F.struct(x["id"].alias("id"), x["src"].alias("src"), x["dst"].alias("dst"), x["type"].alias("type"), F.expr("named_struct()").alias("properties"))))
     ids = path_ids(v.path)[1] if v.path is not None else v.column()["rels"]
-    return Val(list_of(T("rel")), F.transform(ids, lambda x: F.struct(x.alias("id"), *[F.lit(None).cast(k).alias(n) for n, k in (("src", "bigint"), ("dst", "bigint"), ("type", "string"))], F.expr("named_struct()").alias("properties"))))
+    return Val(list_of(T("rel", spark="bare")), F.transform(ids, lambda x: F.struct(x.alias("id"), *[F.lit(None).cast(k).alias(n) for n, k in (("src", "bigint"), ("dst", "bigint"), ("type", "string"))], F.expr("named_struct()").alias("properties"))))
 
 
 def _end(part: str):
     def make(v):
         need(v, "rel", what="startNode")
-        return Val(T("node"), F.when(_part(v, "id").isNotNull(), F.struct(_part(v, part).alias("id"), F.lit(None).cast("array<string>").alias("labels"), F.expr("named_struct()").alias("properties"))))
+        return Val(BARE, F.when(_part(v, "id").isNotNull(), bare(_part(known(v), part))))
 
     return make
 

@@ -13,18 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
-from graphspark.operators.pattern import Frame, Match, free_names
-from graphspark.plans import durable
+from graphspark.operators.pattern import Frame, Match, free_names, prepared, with_numbers
 from graphspark.plans.durable import persisted
-from graphspark.plans.parser import N
+from graphspark.plans.expr import Compiler
+from graphspark.plans.parser import N, walk
 from graphspark.plans.types import Elem, Path, T, Val, coerce, elem_type, of_spark, sql, unify
-from graphspark.sources.graph import NodeTable, PropertyGraph, RelTable
-
-
-def numbered(frame: Frame) -> tuple[Frame, str]:
-    """The frame written down, with a column that numbers its rows from 0 on."""
-    name = frame.fresh("ord")
-    return replace(frame, df=durable.numbered(frame.rows(), name)), name
+from graphspark.sources.graph import KEY_BITS, NodeTable, PropertyGraph, RelTable, union_tables
 
 
 class Changes:
@@ -46,7 +40,7 @@ class Changes:
 
     # -- CREATE
     def _create(self, frame: Frame, c: N, on: N | None = None) -> Frame:
-        frame, ordinal = numbered(frame)
+        frame, ordinal = with_numbers(frame)
         for p in c.parts:
             frame = self._create_part(frame, p, ordinal)
         return frame
@@ -124,7 +118,7 @@ class Changes:
                     v = frame.compiler()(e)
                     if v.t.kind == "null":
                         raise QueryRuntimeError(f"MergeReadOwnWrites: {k} is null")
-        frame, ordinal = numbered(frame)
+        frame, ordinal = with_numbers(frame)
         found = Match(frame, [part]).run()
         missing = replace(frame, df=frame.df.join(found.df.select(F.col(ordinal).alias("_o")).distinct(), F.col(ordinal) == F.col("_o"), "left_anti"))
         keys = [frame.compiler()(e).column() for x in [*part.nodes, *part.rels] if x.props is not None and x.props.kind == "map" for _, e in x.props.pairs]
@@ -147,15 +141,146 @@ class Changes:
 
     # -- SET and REMOVE
     def _set(self, frame: Frame, c: N) -> Frame:
-        for item in c.items:
-            frame = self._assign(frame, item)
+        """Rows take effect one after the other, each with all items in order.
+
+        Where no item reads what the clause writes, items are done one by one for all rows, the last row of an
+        element wins.  Where items read what they write of the same variable, the rows of each element are folded in
+        order.  Reading what is written through another variable is done only if no element goes by both.
+        """
+        pairs, folds = _conflicts(frame, c.items)
+        if not folds and not pairs:
+            for item in c.items:
+                frame = self._assign(frame, item)
+            return frame
+        frame, ordinal = with_numbers(frame)
+        names = sorted({n for pair in pairs for n in pair} | folds)
+        values = {n: frame.scope[n] for n in names}
+        if any(v.elem is None for v in values.values()):
+            raise Unsupported("SET that reads what it writes, on elements that are not bound by a pattern")
+        single = frame.df.limit(2).count() < 2
+        for x, y in pairs:
+            a, b = (frame.df.select(values[n].elem.at("id").alias("id")) for n in (x, y))
+            if not single and values[x].elem.kind == values[y].elem.kind and not a.join(b, "id", "left_semi").isEmpty():
+                raise Unsupported(f"SET in which rows depend on each other through {x} and {y}")
+        if single:
+            for item in c.items:
+                frame = self._assign(frame, item)
+            return frame
+        for n in dict.fromkeys(_target(i) for i in c.items):
+            own = [i for i in c.items if _target(i) == n]
+            if n in folds and not frame.df.groupBy(values[n].elem.at("id").alias("id")).count().where("id is not null and count > 1").isEmpty():
+                frame = self._fold(frame, ordinal, n, own)
+            else:
+                for item in own:
+                    frame = self._assign(frame, item)
         return frame
 
     _remove = _set
 
+    def _fold(self, frame: Frame, ordinal: str, var: str, items: list[N]) -> Frame:
+        """Each element's rows in order: the state after an item is what the next one sees."""
+        exprs = [x for i in items for x in (getattr(i, "expr", None), getattr(i, "key", None)) if isinstance(x, N)]
+        if any(x.kind in ("pattern", "pattern_comprehension") for e in exprs for x in walk(e)):
+            raise Unsupported("patterns in a SET that reads what it writes")
+        elem, compiler = frame.scope[var].elem, frame.compiler()
+        asked = sorted({n for e in exprs for n in free_names(e)} & set(frame.scope) - {var})
+        held = {n: Val(frame.scope[n].t, name=frame.fresh("h")) for n in asked}
+        rows = frame.df.withColumns({v.name: frame.scope[n].column() for n, v in held.items()}) if held else frame.df
+        have = rows.columns
+        props = {k: t for k, t in elem.props.items() if f"{elem.prefix}__p_{k}" in have}
+        row = F.struct(F.col(ordinal).alias("o"), *[F.col(v.name).alias(v.name) for v in held.values()])
+        state = F.struct(elem.at("id").alias("id"), *[elem.at(x).alias(x) for x in (("labels",) if elem.kind == "node" else ("src", "dst", "type"))], *[elem.at(f"p_{k}").alias(f"p_{k}") for k in sorted(props)])
+        gathered = rows.where(elem.at("id").isNotNull()).groupBy(elem.at("id").alias("_id")).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["o"] < b["o"], -1).when(a["o"] > b["o"], 1).otherwise(0)).alias("_rows"), F.first(state).alias("_state"))
+        parts = ["id", "labels"] if elem.kind == "node" else ["id", "src", "dst", "type"]
+        types = dict(props)
+
+        def step(acc, r, i, found):
+            """The state after one item."""
+            now = F.struct(*[acc[p].alias(p) for p in parts], (F.struct(*[acc[f"p_{k}"].alias(k) for k in sorted(types)]) if types else F.expr("named_struct()")).alias("properties"))
+            me = Val(T(elem.kind, fields=tuple(sorted(types.items()))), now)
+            inner = Compiler({**{n: Val(v.t, r[v.name]) for n, v in held.items()}, var: me}, frame.params)
+            new = {f"p_{k}": acc[f"p_{k}"] for k in types}
+            labels = acc["labels"] if elem.kind == "node" else None
+
+            def put(k, v):
+                found[k] = unify(found.get(k, types.get(k, T("null"))), v.t)
+                if k in types:
+                    new[f"p_{k}"] = coerce(v, types[k]) if unify(types[k], v.t) == types[k] else F.lit(None).cast(sql(types[k]))
+
+            if i.kind in ("set_labels", "remove_labels"):
+                labels = (F.array_union if i.kind == "set_labels" else F.array_except)(labels, F.array(*map(F.lit, i.labels)))
+            elif i.kind in ("set_prop", "remove_prop"):
+                put(i.key, inner(i.expr) if i.kind == "set_prop" else Val(T("null"), F.lit(None)))
+            elif i.kind == "set_index":
+                key = inner(i.key)
+                if key.const is None:
+                    raise Unsupported("SET n[key] that reads what it writes, with a key that is not constant")
+                put(key.const, inner(i.expr))
+            else:
+                v = inner(i.expr)
+                if v.t.kind not in ("map", "node", "rel", "null"):
+                    raise TypeMismatch("a map is needed")
+                if v.t.kind != "null":
+                    there = v.column().isNotNull()
+                    old = dict(new)
+                    if i.replace:
+                        new.update({f"p_{k}": F.lit(None).cast(sql(t)) for k, t in types.items()})
+                    for k, _ in v.t.fields:
+                        put(k, inner.prop(v, k))
+                    for k in new:
+                        new[k] = F.when(there, new[k]).otherwise(old[k])
+            return F.struct(*[(labels if p == "labels" else acc[p]).alias(p) for p in parts], *[new[f"p_{k}"].alias(f"p_{k}") for k in sorted(types)])
+
+        while True:  # until the properties' types hold all values
+            found: dict[str, T] = {}
+            start = F.struct(*[F.col("_state")[p].alias(p) for p in parts], *[(coerce(Val(props[k], F.col("_state")[f"p_{k}"]), types[k]) if k in props else F.lit(None).cast(sql(types[k]))).alias(f"p_{k}") for k in sorted(types)])
+            turns = F.flatten(F.transform(F.col("_rows"), lambda r: F.transform(F.array(*[F.lit(n) for n in range(len(items))]), lambda n: F.struct(r.alias("r"), n.alias("n")))))
+
+            def turn(acc, x):
+                out = None
+                for n, i in enumerate(items[:-1]):
+                    after = step(acc, x["r"], i, found)
+                    out = F.when(x["n"] == n, after) if out is None else out.when(x["n"] == n, after)
+                last = step(acc, x["r"], items[-1], found)
+                return last if out is None else out.otherwise(last)
+
+            folded = F.aggregate(turns, start, turn)
+            if all(types.get(k) == t for k, t in found.items() if t.kind != "null" or k in types):
+                break
+            types |= {k: unify(types.get(k, T("null")), t) for k, t in found.items()}
+        for t in types.values():
+            storable(t)
+        written = sorted({k for k in found if k in types} | ({*types} if any(i.kind == "set_map" and i.replace for i in items) else set()))
+        done = persisted(gathered.select("_id", folded.alias("_new")), "folded")
+
+        def change(t):
+            df, have = t.df.join(done, t.df["id"] == done["_id"], "left"), t.props
+            hit, cols = F.col("_id").isNotNull(), {}
+            for k in written:
+                full = unify(have.get(k, T("null")), types[k])
+                old = coerce(Val(have[k], F.col(f"p_{k}")), full) if k in have else F.lit(None).cast(sql(full))
+                cols[f"p_{k}"] = F.when(hit, coerce(Val(types[k], F.col("_new")[f"p_{k}"]), full)).otherwise(old)
+            labels = elem.kind == "node" and any(i.kind in ("set_labels", "remove_labels") for i in items)
+            if labels:
+                cols["labels"] = F.when(hit, F.col("_new")["labels"]).otherwise(F.col("labels"))
+            new = t.of(df.withColumns(cols).drop("_id", "_new"))
+            return replace(new, labels=None) if labels else new
+
+        self._change(elem.kind, done.select("_id"), change)
+        return self._refreshed(frame)
+
+    def _change(self, kind: str, ids: DataFrame, change) -> None:
+        """Apply ``change`` to the tables that may hold the ids (column _id)."""
+        tags = _tags(ids, "_id")
+        tables = tuple(change(t) if t.tag in tags else t for t in (self.graph.nodes if kind == "node" else self.graph.rels))
+        self.graph = replace(self.graph, **{"nodes" if kind == "node" else "rels": tables})
+
     def _assign(self, frame: Frame, i: N) -> Frame:
-        frame, ordinal = numbered(frame)
-        compiler = frame.compiler()
+        frame, found = prepared(frame, [x for x in (getattr(i, "expr", None), getattr(i, "key", None)) if isinstance(x, N)])
+        if i.kind == "set_index" and frame.compiler(found)(i.key).const is None:
+            return self._by_key(frame, i, found)
+        frame, ordinal = with_numbers(frame)
+        compiler = frame.compiler(found)
         target = compiler(N("var", i.var, name=i.var) if i.kind in ("set_labels", "remove_labels") else i.target)
         if target.t.kind == "null":
             return frame
@@ -165,16 +290,16 @@ class Changes:
         if i.kind in ("set_labels", "remove_labels"):
             ids = persisted(frame.df.select(elem.at("id").alias("_id")).where("_id is not null").distinct(), "ids")
             f = F.array_union if i.kind == "set_labels" else F.array_except
-            change = lambda t: NodeTable(t.df.join(ids, t.df["id"] == ids["_id"], "left").withColumn("labels", F.when(F.col("_id").isNotNull(), f("labels", F.array(*map(F.lit, i.labels)))).otherwise(F.col("labels"))).drop("_id"))
-            self.graph = replace(self.graph, nodes=tuple(change(t) for t in self.graph.nodes))
+            change = lambda t: replace(t.of(t.df.join(ids, t.df["id"] == ids["_id"], "left").withColumn("labels", F.when(F.col("_id").isNotNull(), f("labels", F.array(*map(F.lit, i.labels)))).otherwise(F.col("labels"))).drop("_id")), labels=None)
+            self._change("node", ids, change)
             return self._refreshed(frame)
         values, clear, skip = {}, False, F.lit(False)
         if i.kind in ("set_prop", "remove_prop"):
             values[i.key] = compiler(i.expr) if i.kind == "set_prop" else Val(T("null"), F.lit(None))
         elif i.kind == "set_index":
             key = compiler(i.key)
-            if key.const is None:
-                raise Unsupported("SET n[key] with a key that is not a literal or parameter") if key.t.kind == "str" else TypeMismatch("a key is a string")
+            if key.t.kind != "str":
+                raise TypeMismatch("a key is a string")
             values[key.const] = compiler(i.expr)
         else:
             v = compiler(i.expr)
@@ -188,6 +313,20 @@ class Changes:
             storable(v.t)
         return self._write(frame, ordinal, elem, values, clear, skip)
 
+    def _by_key(self, frame: Frame, i: N, found: dict) -> Frame:
+        """SET n[key] with keys from the rows: each key that occurs is a property of its own."""
+        key = frame.compiler(found)(i.key)
+        if key.t.kind != "str":
+            raise TypeMismatch("a key is a string")
+        name = frame.fresh("key")
+        frame = replace(frame, df=persisted(frame.rows().withColumn(name, key.column()), "keys"))
+        keys = [r[0] for r in frame.df.select(name).distinct().collect()]  # as many as the element gets properties
+        if None in keys:
+            raise TypeMismatch("a key is a string")
+        for k in sorted(keys):
+            self._assign(replace(frame, df=frame.df.where(F.col(name) == k)), N("set_prop", i.text, target=i.target, key=k, expr=i.expr))
+        return self._refreshed(frame)
+
     def _write(self, frame: Frame, ordinal: str, elem: Elem, values: dict[str, Val], clear: bool, skip) -> Frame:
         """The last row of an element wins."""
         row = F.struct(*[(v.column() if v.t.kind != "null" else F.lit(None).cast("string")).alias(f"v{k}") for k, v in enumerate(values.values())], F.lit(1).alias("there"))
@@ -206,25 +345,26 @@ class Changes:
                 cols[f"p_{k}"] = F.when(hit, coerce(Val(kind, F.col("_row")[f"v{n}"]), full)).otherwise(old)
             if clear:
                 cols |= {f"p_{k}": F.when(~hit, F.col(f"p_{k}")) for k in have if k not in types}
-            return replace(t, df=df.withColumns(cols).drop("_id", "_row"))
+            return t.of(df.withColumns(cols).drop("_id", "_row"))
 
-        if elem.kind == "node":
-            self.graph = replace(self.graph, nodes=tuple(map(change, self.graph.nodes)))
-        else:
-            self.graph = replace(self.graph, rels=tuple(map(change, self.graph.rels)))
+        self._change(elem.kind, last.select("_id"), change)
         return self._refreshed(frame)
 
     def _refreshed(self, frame: Frame) -> Frame:
         """The frame with the elements' columns as the graph has them now."""
         df, scope, done = frame.rows(), dict(frame.scope), {}
         for n, v in frame.scope.items():
-            if v.elem is None:
+            if v.elem is None or v.elem.gone:
                 continue
             if v.elem.prefix in done:
                 scope[n] = done[v.elem.prefix]
                 continue
-            new, prefix = (self.graph.all_nodes() if v.elem.kind == "node" else self.graph.all_rels()), frame.fresh("f")
-            elem = Elem(v.elem.kind, prefix, {f.name[2:]: of_spark(f.dataType) for f in new.schema.fields if f.name.startswith("p_")})
+            tags = _tags(df, f"{v.elem.prefix}__id")
+            tables = [t for t in (self.graph.nodes if v.elem.kind == "node" else self.graph.rels) if t.tag in tags]
+            if not tables:
+                continue
+            new, prefix = union_tables([t.df for t in tables]), frame.fresh("f")
+            elem = Elem(v.elem.kind, prefix, {f.name[2:]: of_spark(f.dataType) for f in new.schema.fields if f.name.startswith("p_")}, tuple(tables))
             new = new.toDF(*[f"{prefix}__{c}" for c in new.columns])
             df = df.join(new, v.elem.at("id") == elem.at("id"), "left")
             scope[n] = done[v.elem.prefix] = Val(elem_type(elem), elem=elem)
@@ -262,16 +402,18 @@ class Changes:
         g = self.graph
         if rels:
             gone = ids(rels)
-            g = replace(g, rels=tuple(replace(t, df=without(t.df, "id", gone)) for t in g.rels))
+            g = replace(g, rels=tuple(t.of(without(t.df, "id", gone)) for t in g.rels))
         if nodes:
             gone = ids(nodes)
-            g = replace(g, nodes=tuple(replace(t, df=without(t.df, "id", gone)) for t in g.nodes))
+            g = replace(g, nodes=tuple(t.of(without(t.df, "id", gone)) for t in g.nodes))
             if c.detach:
-                g = replace(g, rels=tuple(replace(t, df=without(without(t.df, "src", gone), "dst", gone)) for t in g.rels))
+                g = replace(g, rels=tuple(t.of(without(without(t.df, "src", gone), "dst", gone)) for t in g.rels))
             else:
                 self.gone.append(gone)
         self.graph = g
-        return replace(frame, graph=g)
+        named = {frame.scope[e.name].elem.prefix for e in c.items if e.kind == "var" and e.name in frame.scope and frame.scope[e.name].elem is not None}
+        dead = lambda v: v.elem is not None and v.elem.prefix in named
+        return replace(frame, graph=g, scope={n: replace(v, elem=replace(v.elem, gone=True)) if dead(v) else v for n, v in frame.scope.items()})
 
     # -- FOREACH
     def _foreach(self, frame: Frame, c: N) -> Frame:
@@ -282,12 +424,64 @@ class Changes:
         if v.t.kind != "list":
             raise TypeMismatch("FOREACH takes a list")
         name = frame.fresh("u")
-        side = replace(frame, df=frame.df.select("*", F.explode(v.column()).alias(name)), scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
+        place = frame.fresh("at")
+        side = replace(frame, df=frame.df.select("*", F.posexplode(v.column()).alias(place, name)), seq=[*frame.seq, (place, True)], scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
         for u in c.body:
             side = self.apply(replace(side, graph=self.graph), u)
         return self._refreshed(frame)
 
 
+def _tags(df: DataFrame, col: str) -> set[int]:
+    """The tags of the tables that a column of ids belongs to: a few numbers."""
+    return {r[0] for r in df.select(F.shiftright(col, KEY_BITS).cast("int")).distinct().collect()}
+
+
+def _target(i: N) -> str | None:
+    """The variable that an item writes."""
+    if i.kind in ("set_labels", "remove_labels"):
+        return i.var
+    t = i.target
+    while t.kind == "paren":
+        t = t.a
+    return t.name if t.kind == "var" else None
+
+
+def _conflicts(frame: Frame, items: list[N]) -> tuple[set[tuple[str, str]], set[str]]:
+    """(pairs of variables one of which is written where the other is read or written too, variables read where written)."""
+    writes: list[tuple[str, str]] = []  # (variable, key); "*" is any property, ":" the labels
+    reads: list[tuple[str, str]] = []
+    for i in items:
+        var = _target(i)
+        if var is None:
+            continue
+        key = ":" if i.kind.endswith("labels") else i.key if i.kind in ("set_prop", "remove_prop") else "*"
+        writes.append((var, key))
+        for e in (getattr(i, "expr", None), getattr(i, "key", None)):
+            if isinstance(e, N):
+                reads += _reads(e, frame.scope)
+    meet = lambda a, b: a == b or "*" in (a, b) and ":" not in (a, b)
+    pairs, folds = set(), set()
+    for var, key in writes:
+        folds |= {var for other, k in reads if other == var and meet(k, key)}
+        pairs |= {(var, other) for other, k in reads if other != var and meet(k, key)}
+        pairs |= {tuple(sorted((var, other))) for other, k in writes if other != var and meet(k, key)}
+    return pairs, folds
+
+
+def _reads(e: N, scope: dict[str, Val]) -> list[tuple[str, str]]:
+    """What an expression reads of the elements in scope."""
+    element = lambda x: x.kind == "var" and x.name in scope and scope[x.name].t.kind in ("node", "rel")
+    if e.kind == "prop" and element(e.base):
+        return [(e.base.name, e.key)]
+    if e.kind == "call" and e.name in ("id", "elementid", "type") and e.args and element(e.args[0]):
+        return []
+    if e.kind == "has_label" and element(e.a) or e.kind == "call" and e.name == "labels" and e.args and element(e.args[0]):
+        return [((e.a if e.kind == "has_label" else e.args[0]).name, ":")]
+    if element(e):
+        return [(e.name, "*"), (e.name, ":")]
+    return [r for c in e.children() for r in _reads(c, scope)]
+
+
 def storable(t: T) -> None:
     if t.kind in ("map", "node", "rel", "path") or t.kind == "list" and t.elem.kind not in ("bool", "int", "float", "str", "null"):
         raise TypeMismatch(f"InvalidPropertyType: {t}")

@@ -15,15 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
-from graphspark.plans.durable import persisted
+from graphspark.functions.scalar import known as known_parts
+from graphspark.plans.durable import numbered, persisted
 from graphspark.plans.expr import Compiler
 from graphspark.plans.parser import N, walk
-from graphspark.plans.types import Elem, Path, T, Val, elem_type, list_of, sql
+from graphspark.plans.types import Elem, Path, T, Val, elem_type, list_of, path_ids, sql
 from graphspark.sources.graph import PropertyGraph, union_tables
 
-#: Levels of an unbounded length after which a search gives up with an error.
-MOST_LEVELS = 1000
-
 
 @dataclass
 class Frame:
@@ -36,6 +34,8 @@ class Frame:
     order: list[tuple[str, bool]] = field(default_factory=list)
     names: itertools.count = field(default_factory=itertools.count)
     used: set | None = None  # variables of which more than the id is asked; None: all
+    seq: list[tuple[str, bool]] = field(default_factory=list)  # columns that order the rows (ascending?), where updates need that
+    ordered: bool = False  # whether the query updates
 
     def rows(self) -> DataFrame:
         return self.df if self.df is not None else self.graph.spark.range(1).select()
@@ -80,42 +80,65 @@ def label_fits(e: N | None, have: frozenset) -> bool | None:
     return True if True in (a, b) else None if None in (a, b) else False
 
 
-def scan_nodes(frame: Frame, label: N | None) -> tuple[Elem, DataFrame]:
-    """The nodes that a label expression without free variables holds for."""
+def scan_nodes(frame: Frame, label: N | None, among: tuple[frozenset, ...] | None = None) -> tuple[Elem, DataFrame]:
+    """The nodes that a label expression without free variables holds for.
+
+    ``among``: label sets, one of which each node has that is looked for.
+    """
     prefix = frame.fresh("n")
-    parts = []
+    parts, tables = [], []
     for t in frame.graph.nodes:
         fits = label_fits(label, t.labels) if t.labels is not None else None if label is not None else True
+        if among is not None and t.labels is not None and not any(x <= t.labels for x in among):
+            fits = False
         if fits is not False:
             parts.append(t.df if fits else t.df.where(Compiler({}, frame.params).labels_test(label, F.col("labels"))))
+            tables.append(t)
     df = union_tables(parts) if parts else frame.graph.spark.createDataFrame([], "id long, labels array<string>")
-    return _named("node", prefix, df)
+    return _named("node", prefix, df, tuple(tables))
 
 
-def _named(kind: str, prefix: str, df: DataFrame, more: tuple[str, ...] = ()) -> tuple[Elem, DataFrame]:
+def _named(kind: str, prefix: str, df: DataFrame, tables: tuple = ()) -> tuple[Elem, DataFrame]:
     from graphspark.plans.types import of_spark
 
     props = {f.name[2:]: of_spark(f.dataType) for f in df.schema.fields if f.name.startswith("p_")}
-    return Elem(kind, prefix, props), df.select(*[F.col(f"`{c}`").alias(f"{prefix}__{c}") for c in df.columns])
+    return Elem(kind, prefix, props, tables), df.select(*[F.col(f"`{c}`").alias(f"{prefix}__{c}") for c in df.columns])
 
 
-def scan_rels(frame: Frame, rel: N, direction: str) -> tuple[Elem, DataFrame, list]:
-    """Relationships with the columns ``from`` and ``to`` in the direction of travel, and their tables."""
-    tables, parts = [], []
+def rel_tables(frame: Frame, types: N | None) -> list[tuple]:
+    """(table, whether all its rows fit or None) of those that may hold relationships of these types."""
+    out = []
     for t in frame.graph.rels:
-        fits = label_fits(rel.types, frozenset([t.type])) if t.type is not None else None if rel.types is not None else True
+        fits = label_fits(types, frozenset([t.type])) if t.type is not None else None if types is not None else True
         if fits is not False:
-            df = t.df if fits else t.df.where(Compiler({}, frame.params).labels_test(rel.types, F.array("type"), "rel"))
-            tables.append(t)
-            parts.append(df)
+            out.append((t, fits))
+    return out
+
+
+def scan_rels(frame: Frame, rel: N, direction: str, ids: bool = True) -> tuple[Elem, DataFrame, list]:
+    """Relationships with the columns ``from`` and ``to`` in the direction of travel, and their tables.
+
+    Without ``ids`` the id column may be null.
+    """
+    tables, parts = [], []
+    for t, fits in rel_tables(frame, rel.types):
+        df = t.df if ids or t.bare is None else t.bare
+        tables.append(t)
+        parts.append(df if fits else df.where(Compiler({}, frame.params).labels_test(rel.types, F.array("type"), "rel")))
     df = union_tables(parts) if parts else frame.graph.spark.createDataFrame([], "id long, src long, dst long, type string")
     out = df.withColumns({"from": F.col("src"), "to": F.col("dst")})
     back = df.withColumns({"from": F.col("dst"), "to": F.col("src")})
     df = out if direction == "out" else back if direction == "in" else out.unionByName(back.where("src <> dst"))
-    elem, df = _named("rel", frame.fresh("r"), df)
+    elem, df = _named("rel", frame.fresh("r"), df, tuple(tables))
     return elem, df, tables
 
 
+def ends_of(tables: tuple | list | None, *sides: str) -> tuple[frozenset, ...] | None:
+    """The label sets of the relationships' ends, if all tables vouch for them."""
+    found = [getattr(t, s) for t in tables or () for s in sides]
+    return tuple(found) if found and all(x is not None for x in found) else None
+
+
 # -- matching
 class Match:
     """One MATCH: joins its parts to the rows of a frame."""
@@ -158,7 +181,12 @@ class Match:
             at = next((e for e in todo if e[3] in self.elems or e[4] in self.elems), None)
             if at is None:
                 start = min((k for e in todo for k in e[3:5]), key=lambda k: self._weight(keys[k]))
-                df = self._scan(df, start, keys[start])
+                at = next(e for e in todo if start in e[3:5])
+                if at[2].length is None and at[2].direction != "both" and self._plain(keys[start], at[0]) and start not in self.seeds and not (at[2].var and at[2].var in f.scope):
+                    todo.remove(at)
+                    df = self._from_edge(df, at, keys)
+                else:
+                    df = self._scan(df, start, keys[start])
                 continue
             todo.remove(at)
             df = self._expand(df, at, keys)
@@ -167,7 +195,7 @@ class Match:
                 df = self._scan(df, key, nodes)
         scope = dict(f.scope)
         for key, nodes in keys.items():
-            if nodes[0].var:
+            if nodes[0].var and not (key in f.scope and f.scope[key].elem is None):
                 scope[key] = Val(elem_type(self.elems[key]), elem=self.elems[key])
         for p, i, r, a, b, made in pending:
             if r.var and r.var not in f.scope:
@@ -175,7 +203,8 @@ class Match:
         for p in self.parts:
             if p.path:
                 rels = [next(e for e in pending if e[0] is p and e[1] == i) for i in range(len(p.rels))]
-                path = Path([self.elems[k] for k in p._keys], [e[5] if isinstance(e[5], Elem) else (e[5]._steps, None) for e in rels])
+                used = [t for e in rels for t in (e[5].tables if isinstance(e[5], Elem) else e[5]._tables) or (None,)]
+                path = Path([self.elems[k] for k in p._keys], [e[5] if isinstance(e[5], Elem) else (e[5]._steps, e[2].length[0]) for e in rels], None if None in used else tuple(used))
                 scope[p.path] = Val(T("path"), path=path)
         return replace(f, df=df, scope=scope)
 
@@ -204,8 +233,9 @@ class Match:
         label = self._label(nodes)
         if label is not None and (bound or not self._static(label)):
             tests.append(self.conditions.labels_test(label, elem.at("labels")))
+        old = self.frame.scope.get(key)
         for n in nodes:
-            tests += self._props(Val(elem_type(elem), elem=elem), n.props)
+            tests += self._props(old if old is not None and old.elem is None and old.t.kind == "node" else Val(elem_type(elem), elem=elem), n.props)
         for t in tests:
             df = df.where(t)
         if bound and nodes:
@@ -259,38 +289,105 @@ class Match:
         direction = rel.direction if forward or rel.direction == "both" else {"in": "out", "out": "in"}[rel.direction]
         if rel.length is not None:
             return self._levels(df, edge, start, end, direction, forward, keys)
-        elem, scan, tables = scan_rels(self.frame, rel, direction)
+        both = end in self.elems
+        owned = self._owned(df, edge, start, keys, direction)
+        if owned is not None:
+            df, elem, tables, cond = owned
+        else:
+            elem, scan, tables = scan_rels(self.frame, rel, direction, self._ids_matter(edge))
+            cond = self.elems[start].at("id") == elem.at("from")
         edge[5] = elem
-        cond = self.elems[start].at("id") == elem.at("from")
-        if end in self.elems:
-            cond = cond & (self.elems[end].at("id") == elem.at("to"))
+        if both:
+            cond = cond & (self.elems[start].at("id") == elem.at("from")) & (self.elems[end].at("id") == elem.at("to"))
+        cond = cond & self._rel_tests(elem, rel, tables)
+        df = df.where(cond) if owned is not None else df.join(scan, cond)
+        return df if end in self.elems else self._end(df, end, keys[end], elem, tables, direction, p)
+
+    def _rel_tests(self, elem: Elem, rel: N, tables: list) -> Column:
+        """A bound variable, inline properties, and no relationship twice in a MATCH."""
+        tests = self._props(Val(elem_type(elem), elem=elem), rel.props)
         old = self.frame.scope.get(rel.var) if rel.var else None
         if old is not None:
             if old.t.kind not in ("rel", "null"):
                 raise InvalidQuery(f"VariableTypeConflict {rel.var}")
-            cond = cond & (elem.at("id") == (old.elem.at("id") if old.elem is not None else old.column()["id"]))
-        tests = self._props(Val(elem_type(elem), elem=elem), rel.props)
-        types = frozenset(t.type for t in tables) if all(t.type is not None for t in tables) else None
+            tests.append(elem.at("id") == (old.elem.at("id") if old.elem is not None else old.column()["id"]))
+        types = _types(tables)
         for other, value in self.rel_values:
             if types is None or other is None or types & other:
                 tests.append(elem.at("id") != value if not isinstance(value, tuple) else ~F.array_contains(value[0], elem.at("id")))
         self.rel_values.append((types, elem.at("id")))
+        out = F.lit(True)
         for t in tests:
-            cond = cond & t
-        df = df.join(scan, cond)
-        return df if end in self.elems else self._end(df, end, keys[end], elem, rel, tables, direction)
+            out = out & t
+        return out
+
+    def _ids_matter(self, edge: list) -> bool:
+        """Whether the ids of this part's relationships take part in anything."""
+        p, _, rel, *_ = edge
+        if rel.var or p.path:
+            return True
+        own = _types([t for t, _ in rel_tables(self.frame, rel.types)])
+        others = [r for q in self.parts for r in q.rels if r is not rel]
+        return any(own is None or (x := _types([t for t, _ in rel_tables(self.frame, r.types)])) is None or own & x for r in others)
+
+    def _owned(self, df: DataFrame, edge: list, start: str, keys: dict, direction: str) -> tuple | None:
+        """The relationship from the columns of the node whose row it is, bound or scanned now: (rows, element, tables, condition)."""
+        p, _, rel, left, right, _ = edge
+        found = rel_tables(self.frame, rel.types)
+        if rel.direction == "both" or len(found) != 1 or not found[0][1] or found[0][0].owner is None or left == right:
+            return None
+        table, owner = found[0][0], found[0][0].owner
+        if not any(t is owner.table for t in self.frame.graph.nodes):
+            return None
+        src, dst = (left, right) if rel.direction == "out" else (right, left)
+        own = src if owner.side == "src" else dst
+        if own in self.elems:
+            node = self.elems[own]
+            if node.tables is None or len(node.tables) != 1 or node.tables[0] is not owner.table or node.gone or not {f"{node.prefix}__p_{k}" for k in owner.needs} <= set(df.columns):
+                return None
+        else:
+            label = self._label(keys[own])
+            if not self._static(label) or label_fits(label, owner.table.labels) is not True or self._plain(keys[own], p):
+                return None
+            node, scan = _named("node", self.frame.fresh("n"), owner.table.df, (owner.table,))
+            df = df.join(scan, self.elems[start].at("id") == owner.columns(node)["dst" if owner.side == "src" else "src"])
+            self.elems[own] = node
+            df = self._node_tests(df, own, keys[own], bound=False)
+        prefix, cols = self.frame.fresh("r"), owner.columns(node)
+        cols |= {"from": cols["src"], "to": cols["dst"]} if direction == "out" else {"from": cols["dst"], "to": cols["src"]}
+        elem = Elem("rel", prefix, {k: t for k, t in table.props.items()}, (table,))
+        df = df.withColumns({f"{prefix}__{k}": c for k, c in cols.items()})
+        return df, elem, [table], elem.at("src").isNotNull() & elem.at("dst").isNotNull()
+
+    def _from_edge(self, df: DataFrame | None, edge: list, keys: dict) -> DataFrame:
+        """Begin with the relationships of a pattern none of whose nodes is bound."""
+        p, _, rel, left, right, _ = edge
+        elem, scan, tables = scan_rels(self.frame, rel, rel.direction, self._ids_matter(edge))
+        edge[5] = elem
+        tests = self._rel_tests(elem, rel, tables)
+        df = scan.where(tests) if df is None else df.join(scan, tests)
+        back = replace_at(elem, "from")
+        df = self._end(df, left, keys[left], back, tables, "in" if rel.direction == "out" else "out", p)
+        if right in self.elems:
+            return df.where(self.elems[right].at("id") == elem.at("to"))
+        return self._end(df, right, keys[right], elem, tables, rel.direction, p)
+
+    def _plain(self, nodes: list[N], part: N) -> bool:
+        """Whether only the ids of the nodes are asked for."""
+        f = self.frame
+        return not part.path and not any(n.props is not None for n in nodes) and (nodes[0].var is None or f.used is not None and nodes[0].var not in f.used)
 
-    def _end(self, df: DataFrame, key: str, nodes: list[N], elem: Elem, rel: N, tables: list, direction: str) -> DataFrame:
+    def _end(self, df: DataFrame, key: str, nodes: list[N], elem: Elem, tables: list, direction: str, part: N) -> DataFrame:
         """Bind the far node, without a scan where its id is all that is asked and the tables vouch for it."""
         label, f = self._label(nodes), self.frame
-        plain = not any(n.props is not None for n in nodes) and (nodes[0].var is None or f.used is not None and nodes[0].var not in f.used)
-        if plain and direction != "both" and tables:
+        if self._plain(nodes, part) and direction != "both" and tables:
             ends = [t.dst if direction == "out" else t.src for t in tables]
             if all(e is not None and label_fits(label, e) for e in ends):
                 prefix = f.fresh("n")
                 self.elems[key] = Elem("node", prefix, {})
                 return df.withColumns({f"{prefix}__id": elem.at("to")})
-        node, scan = scan_nodes(f, label if self._static(label) else None)
+        among = ends_of(tables, *(("dst",) if direction == "out" else ("src",) if direction == "in" else ("src", "dst")))
+        node, scan = scan_nodes(f, label if self._static(label) else None, among)
         self.elems[key] = node
         return self._node_tests(df.join(scan, elem.at("to") == node.at("id")), key, nodes, bound=False)
 
@@ -308,7 +405,7 @@ class Match:
         own_t = T("rel", fields=tuple(sorted(elem.props.items())) if rel.var else ())
         step = F.struct(*[elem.at(x).alias(x) for x in ("id", "src", "dst", "type")], *props, elem.at("from").alias("fr"), elem.at("to").alias("to"))
         scan = scan.select(elem.at("from").alias(f"{prefix}_from"), elem.at("to").alias(f"{prefix}_to"), elem.at("id").alias(f"{prefix}_id"), step.alias(f"{prefix}_step"))
-        types = frozenset(t.type for t in tables) if tables and all(t.type is not None for t in tables) else None
+        types = _types(tables)
         kind = dict(scan.dtypes)[f"{prefix}_step"]
         base = df.withColumns({f"{prefix}__end": self.elems[start].at("id"), f"{prefix}__ids": F.array().cast("array<bigint>"), f"{prefix}__steps": F.array().cast(f"array<{kind}>")})
         out, level, at, columns = [], 0, base, base.columns
@@ -324,13 +421,11 @@ class Match:
             at = at.join(scan, (F.col(f"{prefix}__end") == F.col(f"{prefix}_from")) & fresh)
             at = at.withColumns({f"{prefix}__end": F.col(f"{prefix}_to"), f"{prefix}__ids": F.array_append(f"{prefix}__ids", F.col(f"{prefix}_id")), f"{prefix}__steps": F.array_append(f"{prefix}__steps", F.col(f"{prefix}_step"))}).select(*columns)
             level += 1
-            if hi is None:
+            if hi is None or lo <= level < hi:  # a level that is both given out and gone on from is made once
                 at = persisted(at, "level")
                 if at.isEmpty():
                     break
-                if level > MOST_LEVELS:
-                    raise Unsupported(f"paths of more than {MOST_LEVELS} relationships")
-        df = out[0]
+        df = out[0] if out else at
         for x in out[1:]:
             df = df.union(x)
         steps = F.col(f"{prefix}__steps")
@@ -338,13 +433,13 @@ class Match:
             steps = F.transform(F.reverse(steps), lambda x: x.withField("to", x["fr"]))
         value = F.transform(steps, lambda x: F.struct(*[x[k].alias(k) for k in ("id", "src", "dst", "type")], (x["properties"] if props else F.expr("named_struct()")).alias("properties")))
         edge[5] = Val(list_of(own_t), value)
-        edge[5]._steps = steps
+        edge[5]._steps, edge[5]._tables = steps, tables
         self.rel_values.append((types, (F.col(f"{prefix}__ids"),)))
         if end in self.elems:
             return df.where(F.col(f"{prefix}__end") == self.elems[end].at("id"))
         nodes = keys[end]
         label = self._label(nodes)
-        node, scan = scan_nodes(f, label if self._static(label) else None)
+        node, scan = scan_nodes(f, label if self._static(label) else None, None if lo == 0 else ends_of(tables, "src", "dst"))
         self.elems[end] = node
         return self._node_tests(df.join(scan, F.col(f"{prefix}__end") == node.at("id")), end, nodes, bound=False)
 
@@ -368,7 +463,7 @@ class Match:
         df = df.where(test).withColumns({f"{prefix}__end": far, f"{prefix}__ids": F.transform(steps, lambda x: x["id"])})
         df = df.where(F.col(f"{prefix}__end").isNotNull())
         edge[5] = Val(v.t, v.column())
-        edge[5]._steps = F.transform(v.column(), lambda x: x.withField("to", x["dst"] if rel.direction == "out" else x["src"]))
+        edge[5]._steps, edge[5]._tables = F.transform(v.column(), lambda x: x.withField("to", x["dst"] if rel.direction == "out" else x["src"])), None
         for other, value in self.rel_values:
             df = df.where(~F.array_contains(f"{prefix}__ids", value) if not isinstance(value, tuple) else ~F.arrays_overlap(F.col(f"{prefix}__ids"), value[0]))
         self.rel_values.append((None, (F.col(f"{prefix}__ids"),)))
@@ -380,6 +475,21 @@ class Match:
         return self._node_tests(df.join(scan, F.col(f"{prefix}__end") == node.at("id")), end, keys[end], bound=False)
 
 
+def _types(tables: list) -> frozenset | None:
+    """The types that the tables' relationships have, if known."""
+    return frozenset(t.type for t in tables) if tables and all(t.type is not None for t in tables) else None
+
+
+def replace_at(elem: Elem, to: str) -> Elem:
+    """The element with its end ``to`` in the place of the far one."""
+
+    class Turned(Elem):
+        def at(self, part: str) -> Column:
+            return super().at(to if part == "to" else part)
+
+    return Turned(elem.kind, elem.prefix, elem.props, elem.tables)
+
+
 def pattern_names(parts: list[N]) -> set[str]:
     return {x.var for p in parts for x in [*p.nodes, *p.rels] if x.var}
 
@@ -421,15 +531,31 @@ def _without_labels(p: N, shared: dict) -> N:
     return N("chain", p.text, path=p.path, nodes=nodes, rels=p.rels)
 
 
+def _has_pattern(e: N | None) -> bool:
+    return e is not None and any(x.kind in ("pattern", "pattern_comprehension") for x in walk(e))
+
+
+def with_numbers(frame: Frame) -> tuple[Frame, str]:
+    """The frame written down, with a column that numbers its rows from 0 on, in the order of lists and sort keys before."""
+    name = frame.fresh("ord")
+    by = [F.col(c).asc_nulls_last() if asc else F.col(c).desc_nulls_first() for c, asc in frame.seq]
+    return replace(frame, df=numbered(frame.rows(), name, *by)), name
+
+
 def optional(frame: Frame, parts: list[N], where: N | None) -> Frame:
     """OPTIONAL MATCH: a left join with the predicates in its condition."""
+    apart_first = _has_pattern(where) or any(_ends_asked(e) for e in walk(where)) if where is not None else False
+    if apart_first:
+        frame, ordinal = with_numbers(frame)
     sub, on, deferred = apart(frame, parts, free_names(where))
     new = {n: v for n, v in sub.scope.items() if n not in frame.scope}
     both = replace(frame, scope={**frame.scope, **new})
-    if where is not None and any(x.kind in ("pattern", "pattern_comprehension") for x in walk(where)):
-        raise Unsupported("a pattern predicate in OPTIONAL MATCH ... WHERE")
     for t in deferred:
         on = on & t
+    if apart_first:  # what joins the predicates need comes before the left join
+        found = filtered(replace(both, df=frame.rows().join(sub.df, on)), where)
+        back = found.df.select(F.col(ordinal).alias(f"{ordinal}_"), *[f"`{c}`" for c in sub.df.columns])
+        return replace(both, df=frame.df.join(back, F.col(ordinal) == F.col(f"{ordinal}_"), "left"))
     if where is not None:
         on = on & both.compiler().condition(where)
     if frame.df is None:
@@ -464,37 +590,149 @@ def _check_bound(frame: Frame, e: N) -> None:
             raise InvalidQuery(f"UndefinedVariable {n}")
 
 
-def prepared(frame: Frame, exprs: list[N]) -> tuple[Frame, dict[int, Val]]:
-    """Join what pattern predicates and comprehensions in the expressions need; their values by node."""
-    known: dict[int, Val] = {}
+def _ends_asked(e: N) -> bool:
+    return e.kind == "call" and e.name in ("startnode", "endnode", "nodes", "relationships", "rels")
+
+
+def prepared(frame: Frame, exprs: list[N], known: dict[int, Val] | None = None) -> tuple[Frame, dict[int, Val]]:
+    """Join what pattern predicates and comprehensions, and the parts of paths and relationships, need; their values by node.
+
+    ``known``: values made before.
+    """
+    known = dict(known or {})
+    made: dict[tuple, Val] = {}
     for root in exprs:
-        for e in walk(root):
+        ids_only = {id(a) for x in walk(root) if x.kind == "call" and x.name in ("id", "elementid", "size", "isempty", "length", "count") for a in x.args}
+        ids_only |= {id(y) for x in walk(root) if x.kind == "compare" and all(o in ("=", "<>") for o, _ in x.rest) for y in (x.first, *(r for _, r in x.rest))}
+        for e in _parts_first(root):
+            if id(e) in known:
+                continue
             if e.kind == "pattern":
-                _check_bound(frame, e)
-                sub, on, deferred = apart(frame, [e.chain])
-                shared = [n for n in pattern_names([e.chain]) if n in frame.scope]
-                flag = frame.fresh("flag")
-                if deferred:
-                    raise Unsupported("a pattern predicate with outer values inside an expression")
-                keys = sub.df.select(*[c for n in shared for c in [f"{sub.scope[n].elem.prefix}__id"]]).distinct().withColumn(flag, F.lit(True))
-                frame = replace(frame, df=frame.rows().join(keys, on, "left"))
-                known[id(e)] = Val(T("bool"), F.coalesce(F.col(flag), F.lit(False)))
+                frame, known[id(e)] = _tested(frame, e)
             elif e.kind == "pattern_comprehension":
                 frame, known[id(e)] = _collected(frame, e)
+            elif _ends_asked(e) and len(e.args) == 1 and id(e) not in ids_only:
+                fields = _asked(root, e)
+                key = e.text, fields
+                if key not in made:
+                    frame, made[key] = _looked_up(frame, e, fields, known)
+                if made[key] is not None:
+                    known[id(e)] = made[key]
     return frame, known
 
 
+def _parts_first(e: N):
+    """An expression's nodes, each after those inside it; what is inside patterns has rows of its own."""
+    if e.kind not in ("pattern", "pattern_comprehension"):
+        for c in e.children():
+            yield from _parts_first(c)
+    yield e
+
+
+def _asked(root: N, call: N) -> frozenset | None:
+    """The properties that are asked of the items of a list, if it is the source of an expression that shows all uses; None: any."""
+    for x in walk(root):
+        if x.kind in ("comprehension", "quantifier", "reduce") and x.source is call:
+            uses = [y for part in ("where", "body") if getattr(x, part, None) is not None for y in walk(getattr(x, part))]
+            props = [y for y in uses if y.kind == "prop" and y.base.kind == "var" and y.base.name == x.var]
+            others = [y for y in uses if y.kind == "call" and y.name in ("id", "elementid", "labels", "type") and y.args and y.args[0].kind == "var" and y.args[0].name == x.var]
+            if sum(y.kind == "var" and y.name == x.var for y in uses) == len(props) + len(others) and getattr(x, "body", None) is not None:
+                return frozenset(y.key for y in props)
+    return None
+
+
+def _looked_up(frame: Frame, e: N, fields: frozenset | None, known: dict) -> tuple[Frame, Val | None]:
+    """startNode, endNode, nodes and relationships with labels and properties; None where the argument is no value of the rows."""
+    try:
+        v = frame.compiler(known)(e.args[0])
+    except InvalidQuery:  # a variable of an enclosing expression
+        return frame, None
+    if e.name in ("startnode", "endnode"):
+        if v.t.kind != "rel":
+            return frame, None
+        known_parts(v)
+        side = "src" if e.name == "startnode" else "dst"
+        node, scan = scan_nodes(frame, None, ends_of(v.elem.tables, side) if v.elem is not None else None)
+        end = v.elem.at(side) if v.elem is not None else v.column()[side]
+        return replace(frame, df=frame.rows().join(scan, end == node.at("id"), "left")), Val(elem_type(node), elem=node)
+    if v.t.kind != "path" or v.path is not None and not any(isinstance(r, tuple) for r in v.path.rels):
+        return frame, None
+    tables = v.path.tables if v.path is not None else None
+    nodes = e.name == "nodes"
+    ids = path_ids(v.path)[0 if nodes else 1] if v.path is not None else v.column()["nodes" if nodes else "rels"]
+    if nodes:
+        elem, scan = scan_nodes(frame, None, ends_of(tables, "src", "dst") if v.path is not None and _longer(v.path) else None)
+    else:
+        elem, scan, _ = scan_rels(frame, N("rel", types=None), "out")
+        scan = scan.select(*elem.names())
+        if tables is not None:
+            parts = union_tables([t.df for t in tables])
+            elem, scan = _named("rel", elem.prefix, parts, tables)
+    if fields is not None:
+        elem = replace(elem, props={k: t for k, t in elem.props.items() if k in fields})
+    name, one, at, item = (frame.fresh(k) for k in ("ids", "one", "at", "items"))
+    df = frame.rows().withColumn(name, ids)
+    value = Val(elem_type(elem), elem=elem)
+    # each list of ids once, whatever the number of rows that have it
+    parts = df.select(name).where(F.col(name).isNotNull()).distinct().select(F.col(name).alias(f"{name}_"), F.posexplode(name).alias(at, one))
+    joined = parts.join(scan, F.col(one) == elem.at("id"), "left").select(f"{name}_", F.struct(F.col(at).alias("at"), value.column().alias("x")).alias(item))
+    lists = joined.groupBy(f"{name}_").agg(F.transform(F.array_sort(F.collect_list(item), lambda a, b: a["at"] - b["at"]), lambda r: r["x"]).alias(item))
+    df = df.join(lists, F.col(name) == F.col(f"{name}_"), "left").drop(f"{name}_")
+    t = list_of(value.t)
+    return replace(frame, df=df), Val(t, F.when(F.col(name).isNotNull(), F.coalesce(F.col(item), F.array().cast(sql(t)))))
+
+
+def _longer(path: Path) -> bool:
+    """Whether every node of the path is the end of one of its relationships: not if it can have none."""
+    return any(not isinstance(r, tuple) or r[1] > 0 for r in path.rels)
+
+
+def _tested(frame: Frame, e: N) -> tuple[Frame, Val]:
+    """A pattern predicate inside an expression, as a flag of each row."""
+    _check_bound(frame, e)
+    flag = frame.fresh("flag")
+    sub, on, deferred = apart(frame, [e.chain])
+    if deferred:  # values of the row take part: the rows that match, by number
+        frame, ordinal = with_numbers(frame)
+        sub, on, deferred = apart(frame, [e.chain])
+        for t in deferred:
+            on = on & t
+        hits = frame.df.join(sub.df, on, "left_semi").select(F.col(ordinal).alias(f"{flag}_"), F.lit(True).alias(flag))
+        frame = replace(frame, df=frame.df.join(hits, F.col(ordinal) == F.col(f"{flag}_"), "left"))
+    else:
+        shared = [n for n in pattern_names([e.chain]) if n in frame.scope]
+        keys = sub.df.select(*[c for n in shared for c in [f"{sub.scope[n].elem.prefix}__id"]]).distinct().withColumn(flag, F.lit(True))
+        frame = replace(frame, df=frame.rows().join(keys, on, "left"))
+    return frame, Val(T("bool"), F.coalesce(F.col(flag), F.lit(False)))
+
+
 def _collected(frame: Frame, e: N) -> tuple[Frame, Val]:
-    """A pattern comprehension: the pattern on its own, grouped by the ids it shares with the rows."""
-    sub, on, deferred = apart(frame, [e.chain], used=free_names(e.where) | free_names(e.body))
-    if deferred:
-        raise Unsupported("outer values in a pattern comprehension")
+    """A pattern comprehension: the pattern on its own, grouped by the ids it shares with the rows.
+
+    Where other values of the rows take part, it is joined to the numbered rows and grouped by the numbers.
+    """
+    asked = free_names(e.where) | free_names(e.body)
+    sub, on, deferred = apart(frame, [e.chain], used=asked)
     shared = [n for n in pattern_names([e.chain]) if n in frame.scope and frame.scope[n].t.kind in ("node", "rel")]
-    sub = filtered(sub, e.where)
-    v = sub.compiler()(e.body)
-    ids = [f"{sub.scope[n].elem.prefix}__id" for n in shared]
     out = frame.fresh("list")
-    grouped = sub.df.select(*ids, F.struct(v.column().alias("x")).alias("_row")).groupBy(*ids).agg(F.transform(F.collect_list("_row"), lambda r: r["x"]).alias(out))
-    joined = frame.rows().join(grouped, on, "left")
+    collected = lambda v: F.transform(F.collect_list(F.struct(v.column().alias("x")).alias("_row")), lambda r: r["x"]).alias(out)
+    if deferred or asked & set(frame.scope) - set(sub.scope):
+        frame, ordinal = with_numbers(frame)
+        sub, on, deferred = apart(frame, [e.chain], used=asked)
+        for t in deferred:
+            on = on & t
+        rows = replace(frame, df=frame.df.join(sub.df, on), scope={**frame.scope, **{n: v for n, v in sub.scope.items() if n not in frame.scope}})
+        rows = filtered(rows, e.where)
+        rows, known = prepared(rows, [e.body])
+        v = rows.compiler(known)(e.body)
+        lists = rows.df.groupBy(F.col(ordinal).alias(f"{out}_")).agg(collected(v))
+        frame = replace(frame, df=frame.df.join(lists, F.col(ordinal) == F.col(f"{out}_"), "left"))
+    else:
+        sub = filtered(sub, e.where)
+        sub, known = prepared(sub, [e.body])
+        v = sub.compiler(known)(e.body)
+        ids = [f"{sub.scope[n].elem.prefix}__id" for n in shared]
+        grouped = sub.df.groupBy(*ids).agg(collected(v))
+        frame = replace(frame, df=frame.rows().join(grouped, on, "left"))
     t = list_of(v.t)
-    return replace(frame, df=joined), Val(t, F.coalesce(F.col(out), F.array().cast(sql(t))))
+    return frame, Val(t, F.coalesce(F.col(out), F.array().cast(sql(t))))

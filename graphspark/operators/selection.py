@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphspark.plans.durable import numbered, persisted
+from graphspark.plans.durable import drop, numbered, persisted
 from graphspark.plans.types import T, Val
 from graphspark.sources.graph import NodeTable, PropertyGraph, RelTable
 
@@ -47,17 +47,36 @@ class Selection:
         union = lambda frames: _union(frames).where("id is not null").distinct()
         return Selection(union(nodes), union(rels))
 
+    def contains_node(self, node: int) -> bool:
+        return not self.nodes.where(F.col("id") == node).isEmpty()
+
+    def contains_edge(self, rel: int) -> bool:
+        return not self.rels.where(F.col("id") == rel).isEmpty()
+
+    @property
+    def edges(self) -> DataFrame:
+        return self.rels
+
+    def node_count(self) -> int:
+        return self.nodes.count()
+
+    def edge_count(self) -> int:
+        return self.rels.count()
+
+    def is_empty(self) -> bool:
+        return self.nodes.isEmpty() and self.rels.isEmpty()
+
     def induced(self, g: PropertyGraph) -> PropertyGraph:
         """The selected nodes and all relationships among them."""
-        return replace(g, nodes=tuple(replace(t, df=_semi(t.df, "id", self.nodes)) for t in g.nodes), rels=tuple(replace(t, df=_semi(_semi(t.df, "src", self.nodes), "dst", self.nodes)) for t in g.rels))
+        return replace(g, nodes=tuple(t.of(_semi(t.df, "id", self.nodes)) for t in g.nodes), rels=tuple(t.of(_semi(_semi(t.df, "src", self.nodes), "dst", self.nodes)) for t in g.rels))
 
     def edge_filtered(self, g: PropertyGraph) -> PropertyGraph:
         """All nodes, and the selected relationships."""
-        return replace(g, rels=tuple(replace(t, df=_semi(t.df, "id", self.rels)) for t in g.rels))
+        return replace(g, rels=tuple(t.of(_semi(t.df, "id", self.rels)) for t in g.rels))
 
     def subgraph(self, g: PropertyGraph) -> tuple[PropertyGraph, DataFrame, DataFrame]:
         """(a graph of its own with ids from 0 on, its nodes' old ids, its relationships' old ids)."""
-        nodes, rels = (numbered(ids.select(F.col("id").alias("original")), "id", by="original") for ids in (self.nodes, self.rels))
+        nodes, rels = (numbered(ids.select(F.col("id").alias("original")), "id", "original") for ids in (self.nodes, self.rels))
         new = lambda df, col, ids: df.join(ids.select(F.col("id").alias("_new"), F.col("original").alias("_old")), df[col] == F.col("_old")).withColumn(col, F.col("_new")).drop("_new", "_old")
         node_tables = tuple(NodeTable(new(t.df, "id", nodes), t.labels) for t in g.nodes)
         rel_tables = tuple(RelTable(new(new(new(t.df, "id", rels), "src", nodes), "dst", nodes), t.type, t.src, t.dst) for t in g.rels)

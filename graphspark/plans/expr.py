@@ -9,10 +9,12 @@ from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
 from graphspark.functions import scalar
 from graphspark.functions.scalar import fail, length_of, need, null_of
 from graphspark.plans.parser import N, walk
-from graphspark.plans.types import BOOL, FLOAT, INT, NULL, STR, T, Val, coerce, elem_type, list_of, literal, make_list, make_map, map_of, sql, unify
+from graphspark.plans.types import BOOL, FLOAT, INT, MIXED, NULL, STR, T, Val, coerce, elem_type, list_of, literal, make_list, make_map, map_of, sql, unify
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "var", "varp", "percentilecont", "percentiledisc"}
 _NUMBERS = ("int", "float")
+#: The parameter that holds the time at which the query began.
+NOW = " now"
 
 
 def is_aggregate(e: N) -> bool:
@@ -71,8 +73,13 @@ class Compiler:
     def prop(self, base: Val, key: str) -> Val:
         if base.t.kind == "null":
             return null_of(NULL)
+        scalar.known(base)
         if base.elem is not None:
-            return Val(base.elem.props[key], base.elem.at(f"p_{key}")) if key in base.elem.props else null_of(NULL)
+            if key not in base.elem.props:
+                return null_of(NULL)
+            if base.elem.props[key] == MIXED:
+                raise Unsupported(f"{key} has values of several types")
+            return Val(base.elem.props[key], scalar.living(base, base.elem.at(f"p_{key}")))
         if base.t.kind in ("node", "rel"):
             have = dict(base.t.fields)
             return Val(have[key], base.column()["properties"][key]) if key in have else null_of(NULL)
@@ -157,6 +164,8 @@ class Compiler:
         v = need(self(e.a), "node", "rel", what="label test")
         if v.t.kind == "null":
             return null_of(BOOL)
+        if v.t.kind == "node":
+            scalar.known(v)
         part = (lambda p: v.elem.at(p)) if v.elem is not None else (lambda p: v.column()[p])
         labels = part("labels") if v.t.kind == "node" else F.array(part("type"))
         return Val(BOOL, F.when(part("id").isNotNull(), self.labels_test(e.label, labels, v.t.kind)))
@@ -381,6 +390,8 @@ class Compiler:
         return Val(t, out.otherwise(coerce(results[-1], t)) if e.other is not None else out)
 
     def _call(self, e):
+        if e.name == "timestamp" and not e.args and NOW in self.params:
+            return literal(self.params[NOW])
         if e.name == "exists" and len(e.args) == 1:
             if e.args[0].kind == "pattern":
                 return self(e.args[0])

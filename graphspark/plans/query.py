@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from dataclasses import replace
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from graphspark.errors import CypherError, DivisionByZero, InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
 from graphspark.functions import aggregates
 from graphspark.operators.pattern import Frame, Match, filtered, free_names, optional, prepared
-from graphspark.plans.expr import AGGREGATES, has_aggregate, is_aggregate
+from graphspark.plans.expr import AGGREGATES, NOW, has_aggregate, is_aggregate
 from graphspark.plans.parser import N, parse, walk
 from graphspark.plans.types import INT, Path, T, Val, elem_type, list_of, sql, unify
 
@@ -78,7 +79,7 @@ class Query:
 
     def execute_mut(self, graph, params: dict | None = None):
         """(new graph, result); a failure leaves the old graph as it was."""
-        params = params or {}
+        params = {**(params or {}), NOW: int(time.time() * 1000)}
         if missing := [p for p in self.parameters if p not in params]:
             raise InvalidQuery(f"missing parameters: {', '.join(missing)}")
         from graphspark.operators.mutate import Changes
@@ -173,7 +174,7 @@ def used_names(clauses: list[N]) -> set | None:
 
 
 def run_branch(changes, clauses: list[N], params: dict) -> Result:
-    frame = Frame(changes.graph, params, used=used_names(clauses))
+    frame = Frame(changes.graph, params, used=used_names(clauses), ordered=any(c.kind in UPDATES for c in clauses))
     for k, c in enumerate(clauses):
         if c.kind == "match":
             frame = replace(frame, graph=changes.graph)
@@ -207,7 +208,13 @@ def outcome(frame: Frame, columns: list[str]) -> Result:
     return Result(columns, df, values)
 
 
+def _bare(t: T) -> bool:
+    return t.spark == "bare" or t.kind == "list" and _bare(t.elem) or t.kind == "map" and any(_bare(f) for _, f in t.fields)
+
+
 def _shown(v: Val):
+    if _bare(v.t):
+        raise Unsupported("startNode, endNode or nodes inside a list expression as a result")
     return v.column() if v.t.kind != "null" else F.lit(None).cast("string")
 
 
@@ -221,8 +228,12 @@ def unwind(frame: Frame, c: N) -> Frame:
     if v.t.kind != "list":
         v = Val(list_of(v.t), F.when(v.column().isNotNull(), F.array(v.column())))
     name = frame.fresh("u")
-    df = frame.rows().select("*", F.explode(v.column()).alias(name))
-    return replace(frame, df=df, scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
+    place, seq = frame.fresh("at"), frame.seq
+    if frame.ordered:
+        df, seq = frame.rows().select("*", F.posexplode(v.column()).alias(place, name)), [*seq, (place, True)]
+    else:
+        df = frame.rows().select("*", F.explode(v.column()).alias(name))
+    return replace(frame, df=df, seq=seq, scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
 
 
 def constant(frame: Frame, e: N, what: str) -> int:
@@ -270,14 +281,14 @@ def project(frame: Frame, c: N) -> tuple[Frame, list[str]]:
         old, known = {}, {}
     frame = replace(frame, scope={**old, **new}, order=frame.order if not grouped and not c.distinct else [])
     if order:
-        frame, more = prepared(frame, [e for e, _ in order])
+        frame, more = prepared(frame, [e for e, _ in order], known)
         compiler, added, keys = frame.compiler({**known, **more}), {}, []
         for e, asc in order:
             v = compiler(e)
             name = frame.fresh("o")
             added[name] = v.elem.at("id") if v.elem is not None else v.column()
             keys.append((name, asc))
-        frame = replace(frame, df=frame.rows().withColumns(added), order=keys)
+        frame = replace(frame, df=frame.rows().withColumns(added), order=keys, seq=keys if frame.ordered else [])
     limited = c.skip is not None or c.limit is not None
     if order and (limited or c.kind == "return"):
         frame = replace(frame, df=frame.df.orderBy(*[F.col(n).asc_nulls_last() if asc else F.col(n).desc_nulls_first() for n, asc in frame.order]))
@@ -333,7 +344,7 @@ def distinct(frame: Frame, new: dict[str, Val]) -> Frame:
             keys.append(v.name)
     df = frame.rows().withColumns(added) if added else frame.rows()
     keep = list(dict.fromkeys([*keys, *rest]))
-    return replace(frame, df=df.select(*keep).dropDuplicates(list(dict.fromkeys(keys))))
+    return replace(frame, df=df.select(*keep).dropDuplicates(list(dict.fromkeys(keys))), seq=[])
 
 
 def aggregate(frame: Frame, items: list[tuple[str, N]], order: list[N]) -> tuple[Frame, dict[str, Val], dict[int, Val]]:
@@ -376,7 +387,7 @@ def aggregate(frame: Frame, items: list[tuple[str, N]], order: list[N]) -> tuple
     keys = list(dict.fromkeys(keys))
     outs = [c.alias(n) for n, (_, c) in made.items()] + [F.first(f"`{c}`").alias(c) for c in dict.fromkeys(firsts) if c not in keys]
     df = rows.groupBy(*keys).agg(*outs) if outs else rows.select(*keys).distinct()
-    frame = replace(frame, df=df, order=[], scope={n: v for n, v in new.items()})
+    frame = replace(frame, df=df, order=[], seq=[], scope={n: v for n, v in new.items()})
     late, more = {}, {}
     for n, e in items:
         if has_aggregate(e):

@@ -25,6 +25,10 @@ class T:
 
 
 NULL, BOOL, INT, FLOAT, STR = (T(k) for k in ("null", "bool", "int", "float", "str"))
+#: A property whose values have several types over the tables that a pattern reads.
+MIXED = T("other", spark="struct<mixed:string>")
+#: A node of which only the id is known.
+BARE = T("node", spark="bare")
 
 
 def list_of(t: T) -> T:
@@ -76,6 +80,8 @@ def unify(a: T, b: T) -> T:
         return FLOAT
     if a.kind == b.kind == "list":
         return list_of(unify(a.elem, b.elem))
+    if "bare" in (a.spark, b.spark) and a.kind == b.kind:
+        return BARE
     if a.kind == b.kind and a.kind in ("map", "node", "rel"):
         x, y = dict(a.fields), dict(b.fields)
         return T(a.kind, fields=tuple(sorted((k, unify(x.get(k, NULL), y.get(k, NULL))) for k in {*x, *y})))
@@ -89,7 +95,8 @@ class Elem:
     kind: str
     prefix: str
     props: dict[str, T]
-    labels: frozenset | None = None  # if they are the same for all
+    tables: tuple | None = None  # the graph's tables that it comes from, where these are known
+    gone: bool = False  # deleted by the query
 
     def at(self, part: str) -> Column:
         return F.col(f"`{self.prefix}__{part}`")
@@ -105,6 +112,7 @@ class Path:
 
     nodes: list
     rels: list
+    tables: tuple | None = None  # the relationship tables that it may use
 
 
 @dataclass

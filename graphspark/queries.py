@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphspark.operators.selection import components, reachable
@@ -32,38 +30,32 @@ RELS = {
 }
 
 
-def graph_of(spark: SparkSession, sf_dir: str, names: set[str] | None = None) -> PropertyGraph:
-    """The tables as a graph; only the labels and types named (with the types' ends) are opened."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    types = [t for t in RELS if names is None or t in names]
-    labels = {x for t in types for x in (RELS[t][1][0], RELS[t][2][0])} | {n for n in NODES if names is None or n in names}
-    g = PropertyGraph(spark)
-
-    def table(label_or_type: str, name: str) -> DataFrame:
-        df = read(name)
-        if name == "conversations":
-            df = df.withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
-            if label_or_type == "Conversation":
-                return df.select("conv_id").distinct()
-            if label_or_type == "NEXT":
-                return df.select("turn_id").join(df.select((F.col("turn_id")).alias("next_id")), F.col("next_id") == F.col("turn_id") + 1)
-        if name == "documents" and label_or_type == "Document":
-            return df.join(read("labels").select("doc_id", "quality", "toxic"), "doc_id", "left")
-        return df
-
-    for label in NODES:
-        if label in labels:
-            g = g.with_nodes(label, table(label, NODES[label][0]), NODES[label][1])
-    for t in types:
-        name, src, dst, key, props = RELS[t]
-        g = g.with_rels(t, table(t, name), src, dst, key, props, complete=True)  # the test tables have no orphans
-    return g
+_opened: dict[tuple[str, str], PropertyGraph] = {}
 
 
-def _names(text: str) -> set[str]:
-    return set(re.findall(r"[:|&!]\s*(\w+)", text))
+def graph_of(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """All tables as one graph, opened once for each session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key in _opened:
+        return _opened[key]
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in {*(t for t, _ in NODES.values()), *(r[0] for r in RELS.values()), "labels"}}
+    turns = read["conversations"].withColumn("turn_id", F.col("conv_id") * 1000 + F.col("turn"))
+    frames = read | {"conversations": turns}
+    own = {
+        "Conversation": turns.select("conv_id").distinct(),
+        "Document": read["documents"].join(read["labels"].select("doc_id", "quality", "toxic"), "doc_id", "left"),
+        "NEXT": turns.select("turn_id").join(turns.select(F.col("turn_id").alias("next_id")), F.col("next_id") == F.col("turn_id") + 1),
+    }
+    g = PropertyGraph(spark)
+    for label, (name, key_col) in NODES.items():
+        g = g.with_nodes(label, own.get(label, frames[name]), key_col)
+    for t, (name, src, dst, key_col, props) in RELS.items():
+        g = g.with_rels(t, own.get(t, frames[name]), src, dst, key_col, props, complete=True)  # the test tables have no orphans
+    _opened[key] = g
+    return g
 
 
+_ALL_NODES = " UNION ALL ".join(f"SELECT '{label}' l, count({'DISTINCT conv_id' if label == 'Conversation' else '*'}) c FROM {name}" for label, (name, _) in NODES.items())
 #: name: (query, SQL)
 CATALOGUE: dict[str, tuple[str, str]] = {
     "flagship": (
@@ -71,7 +63,7 @@ CATALOGUE: dict[str, tuple[str, str]] = {
         "SELECT n_name nation, count(*) orders, round(sum(o_totalprice),2) revenue FROM customer JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey JOIN orders ON o_custkey=c_custkey WHERE r_name='ASIA' GROUP BY 1",
     ),
     "scan_label": ("MATCH (r:Region) RETURN r.r_regionkey AS k, r.r_name AS name", "SELECT r_regionkey::BIGINT k, r_name \"name\" FROM region"),
-    "scan_all": ("MATCH (n) WHERE n:Region OR n:Nation RETURN count(n) AS c", "SELECT (SELECT count(*) FROM region)+(SELECT count(*) FROM nation) c"),
+    "scan_all": ("MATCH (n) RETURN labels(n)[0] AS l, count(*) AS c", _ALL_NODES),
     "filter_and_or": ("MATCH (c:Customer) WHERE c.c_acctbal > 5000 AND (c.c_mktsegment = 'BUILDING' OR NOT c.c_nationkey < 10) RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE c_acctbal>5000 AND (c_mktsegment='BUILDING' OR NOT c_nationkey<10)"),
     "inline_props": ("MATCH (c:Customer {c_mktsegment:'BUILDING'}) RETURN count(*) AS c, round(avg(c.c_acctbal),4) AS a", "SELECT count(*) c, round(avg(c_acctbal),4) a FROM customer WHERE c_mktsegment='BUILDING'"),
     "hop1": ("MATCH (c:Customer)-[:CUSTOMER_IN]->(n:Nation) RETURN n.n_name AS nation, count(c) AS c", "SELECT n_name nation, count(*) c FROM customer JOIN nation ON c_nationkey=n_nationkey GROUP BY 1"),
@@ -79,10 +71,10 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "hop3": ("MATCH (o:Order)<-[:PLACED]-(c:Customer)-[:CUSTOMER_IN]->(:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS region, count(o) AS c, max(o.o_totalprice) AS m", "SELECT r_name region, count(*) c, max(o_totalprice) m FROM orders JOIN customer ON o_custkey=c_custkey JOIN nation ON c_nationkey=n_nationkey JOIN region ON n_regionkey=r_regionkey GROUP BY 1"),
     "undirected": ("MATCH (n:Nation)-[:IN_REGION|CUSTOMER_IN]-(x) RETURN n.n_name AS n, count(x) AS c", "SELECT n_name n, 1+count(c_custkey) c FROM nation LEFT JOIN customer ON c_nationkey=n_nationkey GROUP BY 1"),
     "multi_type": ("MATCH (o:Order)-[x:CONTAINS|SHIPPED_BY]->() RETURN type(x) AS t, count(*) AS c", "SELECT t, count(*) c FROM lineitem, (VALUES ('CONTAINS'),('SHIPPED_BY')) v(t) GROUP BY 1"),
-    "type_expr": ("MATCH (c:Customer)-[x:!PLACED&!DID]->(n) RETURN type(x) AS t, count(*) AS c, 'x:CUSTOMER_IN:PLACED' AS s", "SELECT 'CUSTOMER_IN' t, count(*) c, 'x:CUSTOMER_IN:PLACED' s FROM customer"),
+    "type_expr": ("MATCH (c:Customer)-[x:!PLACED&!DID]->(n) RETURN type(x) AS t, count(*) AS c", "SELECT 'CUSTOMER_IN' t, count(*) c FROM customer"),
     "label_expr": ("MATCH (x:Customer|Supplier) RETURN labels(x)[0] AS l, count(*) AS c", "SELECT 'Customer' l, count(*) c FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier"),
-    "label_not": ("MATCH (x:!Customer&!Supplier&!Order) WHERE NOT x:Nation RETURN count(*) AS c, 'x:Region' AS s", "SELECT count(*) c, 'x:Region' s FROM region"),
-    "dynamic_label": ("WITH 'Region' AS l MATCH (x:$(l)) RETURN x.r_name AS n, ':Region:Nation' AS s", "SELECT r_name n, ':Region:Nation' s FROM region"),
+    "label_not": ("MATCH (x:!Customer&!Supplier&!Order) WHERE NOT x:Nation RETURN labels(x)[0] AS l, count(*) AS c", f"SELECT * FROM ({_ALL_NODES}) WHERE l NOT IN ('Customer','Supplier','Order','Nation')"),
+    "dynamic_label": ("WITH 'Region' AS l MATCH (x:$(l)) RETURN x.r_name AS n", "SELECT r_name n FROM region"),
     "cartesian": ("MATCH (a:Region),(b:Region) RETURN a.r_name AS a, b.r_name AS b", "SELECT a.r_name a, b.r_name b FROM region a, region b"),
     "theta_join": ("MATCH (a:Nation),(b:Nation) WHERE a.n_name < b.n_name RETURN count(*) AS c", "SELECT count(*) c FROM nation a, nation b WHERE a.n_name<b.n_name"),
     "where_equi_join": ("MATCH (c:Customer),(s:Supplier) WHERE c.c_nationkey = s.s_nationkey RETURN count(*) AS c", "SELECT count(*) c FROM customer JOIN supplier ON c_nationkey=s_nationkey"),
@@ -94,13 +86,19 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "optional_match": ("MATCH (c:Customer) OPTIONAL MATCH (c)-[:PLACED]->(o:Order) WHERE o.o_totalprice > 300000 RETURN c.c_custkey AS k, count(o) AS c", "SELECT c_custkey k, count(o_orderkey) c FROM customer LEFT JOIN orders ON o_custkey=c_custkey AND o_totalprice>300000 GROUP BY 1"),
     "optional_chain": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:SUPPLIER_IN]-(s:Supplier) WHERE s.s_acctbal < 0 RETURN n.n_name AS n, s.s_name AS s", "SELECT n_name n, s_name s FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal<0"),
     "exists_pred": ("MATCH (c:Customer) WHERE (c)-[:PLACED]->() RETURN count(*) AS c", "SELECT count(*) c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
-    "not_exists": ("MATCH (c:Customer) WHERE NOT (c)-[:PLACED]->() RETURN c.c_custkey AS k", "SELECT c_custkey k FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
+    "not_exists": ("MATCH (p:Part) WHERE NOT (p)<-[:CONTAINS {l_returnflag: 'R'}]-() RETURN p.p_partkey AS k", "SELECT p_partkey k FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_returnflag='R')"),
+    "end_nodes": ("MATCH (a)-[x:CUSTOMER_IN|SUPPLIER_IN]->(b) RETURN type(x) AS t, startNode(x).c_name AS c, startNode(x).s_name AS s, labels(startNode(x))[0] AS l, endNode(x).n_name AS n, keys(endNode(x)) AS k", "SELECT 'CUSTOMER_IN' t, c_name c, NULL s, 'Customer' l, n_name n, ['n_name','n_nationkey','n_regionkey'] k FROM customer JOIN nation ON c_nationkey=n_nationkey UNION ALL SELECT 'SUPPLIER_IN', NULL, s_name, 'Supplier', n_name, ['n_name','n_nationkey','n_regionkey'] FROM supplier JOIN nation ON s_nationkey=n_nationkey"),
+    "path_nodes": ("MATCH p=(r:Region)<-[:IN_REGION|SUPPLIER_IN*1..2]-(x) RETURN [n IN nodes(p) | coalesce(n.r_name, n.n_name, n.s_name)] AS names, [y IN relationships(p) | type(y)] AS types, labels(last(nodes(p)))[0] AS l", "SELECT [r_name,n_name] names, ['IN_REGION'] types, 'Nation' l FROM region JOIN nation ON n_regionkey=r_regionkey UNION ALL SELECT [r_name,n_name,s_name], ['IN_REGION','SUPPLIER_IN'], 'Supplier' FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey"),
+    "path_rels": ("MATCH p=(c:Customer {c_custkey: 7})-[:PLACED|CONTAINS*2]->(x) RETURN x.p_partkey AS k, [y IN relationships(p) | y.l_quantity] AS q, endNode(last(relationships(p))).p_name AS n", "SELECT p_partkey k, [NULL, l_quantity] q, p_name n FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE o_custkey=7"),
+    "pattern_comp_outer": ("MATCH (n:Nation) WITH n, n.n_nationkey * 100.0 AS least RETURN n.n_name AS n, size([(n)<-[:SUPPLIER_IN]-(s) WHERE s.s_acctbal > least | s.s_acctbal - least]) AS c", "SELECT n_name n, count(s_suppkey) c FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal>n_nationkey*100.0 GROUP BY 1"),
+    "optional_pattern": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:CUSTOMER_IN]-(c:Customer) WHERE NOT (c)-[:DID]->() AND c.c_acctbal < 0 RETURN n.n_name AS n, count(c) AS c", "SELECT n_name n, count(c_custkey) c FROM nation LEFT JOIN customer ON c_nationkey=n_nationkey AND c_acctbal<0 AND NOT EXISTS (SELECT 1 FROM events WHERE user_id=c_custkey) GROUP BY 1"),
+    "node_lists": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n) AS ns UNWIND ns AS n MATCH (n)<-[:SUPPLIER_IN]-(s) RETURN r.r_name AS r, n.n_name AS n, s.s_name AS s", "SELECT r_name r, n_name n, s_name s FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey"),
     "exists_or": ("MATCH (c:Customer) WHERE c.c_acctbal < 0 OR exists((c)-[:PLACED]->()) RETURN count(*) AS c", "SELECT count(*) c FROM customer WHERE c_acctbal<0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
     "pattern_comp": ("MATCH (n:Nation) RETURN n.n_name AS n, size([(n)<-[:SUPPLIER_IN]-(s) WHERE s.s_acctbal > 0 | s.s_suppkey]) AS c", "SELECT n_name n, count(s_suppkey) c FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal>0 GROUP BY 1"),
     "varlen_bounded": ("MATCH (t:Turn)-[:NEXT*1..3]->(u:Turn) RETURN t.turn AS t, u.turn AS u, count(*) AS c", "SELECT a.turn t, b.turn u, count(*) c FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn-a.turn BETWEEN 1 AND 3 GROUP BY 1,2"),
     "varlen_zero": ("MATCH (t:Turn {turn:0})-[:NEXT*0..2]->(u) RETURN u.turn AS u, count(*) AS c", "SELECT b.turn u, count(*) c FROM conversations a JOIN conversations b ON a.conv_id=b.conv_id AND b.turn BETWEEN 0 AND 2 WHERE a.turn=0 GROUP BY 1"),
     "varlen_unbounded": ("MATCH (t:Turn {turn:0})-[rs:NEXT*]->(u) RETURN size(rs) AS hops, count(*) AS c", "SELECT turn hops, count(*) c FROM conversations WHERE turn>0 GROUP BY 1"),
-    "path_fn": ("MATCH p=(t:Turn {turn:0})-[:NEXT*1..4]->(u) RETURN u.conv_id AS conv, length(p) AS l, size(nodes(p)) AS n, size(relationships(p)) AS r", "SELECT conv_id conv, turn l, turn+1 n, turn r FROM conversations WHERE turn BETWEEN 1 AND 4"),
+    "path_fn": ("MATCH p=(t:Turn {turn:0})-[:NEXT*]->(u) RETURN u.conv_id AS conv, length(p) AS l, size(nodes(p)) AS n, size(relationships(p)) AS r", "SELECT conv_id conv, turn l, turn+1 n, turn r FROM conversations WHERE turn > 0"),
     "agg_group": ("MATCH (o:Order) RETURN o.o_orderstatus AS s, count(*) AS c, round(sum(o.o_totalprice),2) AS t, round(avg(o.o_totalprice),4) AS a, min(o.o_orderkey) AS lo, max(o.o_orderkey) AS hi", "SELECT o_orderstatus s, count(*) c, round(sum(o_totalprice),2) t, round(avg(o_totalprice),4) a, min(o_orderkey) lo, max(o_orderkey) hi FROM orders GROUP BY 1"),
     "agg_global": ("MATCH (p:Part) RETURN count(*) AS c, sum(p.p_size) AS s, min(p.p_name) AS lo", "SELECT count(*) c, sum(p_size)::BIGINT s, min(p_name) lo FROM part"),
     "agg_empty": ("MATCH (p:Part) WHERE p.p_size < 0 RETURN count(*) AS c, sum(p.p_size) AS s, avg(p.p_size) AS a, stDev(p.p_size) AS d, size(collect(p.p_name)) AS k", "SELECT 0::BIGINT c, 0::BIGINT s, NULL::DOUBLE a, 0.0::DOUBLE d, 0::BIGINT k"),
@@ -158,24 +156,26 @@ UPDATES: dict[str, tuple[str, str, str]] = {
     "mutate_create": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) CREATE (n)-[:FLAG {of: n.n_name}]->(:Flag {region: r.r_name})", "MATCH (n:Nation)-[x:FLAG]->(f:Flag) RETURN n.n_name AS n, x.of AS o, f.region AS r", "SELECT n_name n, n_name o, r_name r FROM nation JOIN region ON n_regionkey=r_regionkey"),
     "mutate_merge": ("MATCH (n:Nation) MERGE (g:Group {k: n.n_nationkey % 4}) ON CREATE SET g.made = true", "MATCH (g:Group) RETURN g.k AS k, g.made AS m", "SELECT DISTINCT (n_nationkey%4)::BIGINT k, true m FROM nation"),
     "mutate_delete": ("MATCH (r:Region {r_name: 'ASIA'}) DETACH DELETE r", "MATCH (n:Nation)-[:IN_REGION]->(r:Region) RETURN r.r_name AS r, count(*) AS c", "SELECT r_name r, count(*) c FROM nation JOIN region ON n_regionkey=r_regionkey WHERE r_name<>'ASIA' GROUP BY 1"),
+    "mutate_fold": ("MATCH (s:Supplier)-[:SUPPLIER_IN]->(n:Nation) SET n.total = coalesce(n.total, 0) + s.s_suppkey, n.seen = n.total >= 50", "MATCH (n:Nation) RETURN n.n_name AS n, n.total AS t, n.seen AS s", "SELECT n_name n, sum(s_suppkey)::BIGINT t, sum(s_suppkey) >= 50 s FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1"),
+    "mutate_merge_count": ("MATCH (n:Nation) MERGE (g:Group {k: n.n_nationkey % 4}) ON CREATE SET g.n = 1 ON MATCH SET g.n = g.n + 1", "MATCH (g:Group) RETURN g.k AS k, g.n AS n", "SELECT (n_nationkey%4)::BIGINT k, count(*) n FROM nation GROUP BY 1"),
+    "mutate_key": ("MATCH (r:Region) SET r['rank_' + toString(r.r_regionkey % 2)] = r.r_regionkey", "MATCH (r:Region) RETURN r.r_name AS n, r.rank_0 AS a, r.rank_1 AS b", "SELECT r_name n, (CASE WHEN r_regionkey%2=0 THEN r_regionkey END)::BIGINT a, (CASE WHEN r_regionkey%2=1 THEN r_regionkey END)::BIGINT b FROM region"),
     "mutate_foreach": ("MATCH (r:Region) FOREACH (i IN range(1, r.r_regionkey) | CREATE (:Mark {of: r.r_name, i: i}))", "MATCH (m:Mark) RETURN m.of AS o, count(*) AS c", "SELECT r_name o, r_regionkey::BIGINT c FROM region WHERE r_regionkey>0"),
 }
 
 
 def _read(text: str):
-    return lambda spark, sf_dir: Query(text).execute(graph_of(spark, sf_dir, _names(text))).df
+    return lambda spark, sf_dir: Query(text).execute(graph_of(spark, sf_dir)).df
 
 
 def _update(change: str, text: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        g = graph_of(spark, sf_dir, _names(change) | _names(text))
-        return g.cypher_mut(change)[0].cypher(text).df
+        return graph_of(spark, sf_dir).cypher_mut(change)[0].cypher(text).df
 
     return run
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> tuple[PropertyGraph, object]:
-    g = graph_of(spark, sf_dir, {"IN_REGION", "CUSTOMER_IN"})
+    g = graph_of(spark, sf_dir)
     return g, g.cypher_select("MATCH (n:Nation)-[x:IN_REGION]->(r:Region) WHERE n.n_nationkey < 10 RETURN n, x")
 
 
@@ -195,17 +195,24 @@ def selection_edge_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_script(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return script_lines(graph_of(spark, sf_dir, {"Region"})).select("line")
+    g = graph_of(spark, sf_dir).cypher_select("MATCH (r:Region) RETURN r").subgraph(graph_of(spark, sf_dir))[0]
+    return script_lines(g).select("line")
 
 
 def graph_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_of(spark, sf_dir, {"IN_REGION", "SUPPLIER_IN"})
-    starts = g.cypher("MATCH (s:Supplier) WHERE s.s_suppkey < 3 RETURN id(s) AS id").df
+    g = graph_of(spark, sf_dir)
+    starts = g.cypher("MATCH (s:Supplier) RETURN id(s) AS id").df
     return reachable(g, starts).agg(F.count("*").alias("c"))
 
 
 def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = graph_of(spark, sf_dir, {"IN_REGION"})
+    """Customers of one nation and segment in rings, by key: every ring is a component, and so is every nation."""
+    customers, nations = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "nation"))
+    ring = Window.partitionBy("c_nationkey", "c_mktsegment")
+    after = F.coalesce(F.lead("c_custkey").over(ring.orderBy("c_custkey")), F.min("c_custkey").over(ring)).alias("next")
+    g = PropertyGraph(spark).with_nodes("Customer", customers, "c_custkey").with_nodes("Nation", nations, "n_nationkey")
+    g = g.with_rels("RING", customers.select("c_custkey", after), ("Customer", "c_custkey"), ("Customer", "next"), "c_custkey")
+    g = g.with_rels("CUSTOMER_IN", customers, ("Customer", "c_custkey"), ("Nation", "c_nationkey"), "c_custkey")
     return components(g).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
 
 
@@ -215,6 +222,6 @@ ORACLES = {n: s for n, (_, s) in CATALOGUE.items()} | {n: s for n, (_, _, s) in
     "selection_subgraph": "SELECT n_name n, 1::BIGINT c FROM nation WHERE n_nationkey<10 UNION ALL SELECT DISTINCT r_name, 0::BIGINT FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey<10",
     "selection_edge_filtered": "SELECT 'IN_REGION' t, count(*) c FROM nation WHERE n_nationkey<10",
     "export_script": "SELECT 'CREATE (n' || (row_number() OVER (ORDER BY r_regionkey)-1) || ':Region {r_name: ''' || r_name || ''', r_regionkey: ' || r_regionkey || '})' line FROM region",
-    "graph_reachable": "WITH s AS (SELECT * FROM supplier WHERE s_suppkey<3), n AS (SELECT DISTINCT n_nationkey k, n_regionkey r FROM s JOIN nation ON s_nationkey=n_nationkey) SELECT (SELECT count(*) FROM s)+(SELECT count(*) FROM n)+(SELECT count(DISTINCT r) FROM n) c",
-    "graph_components": "SELECT (SELECT count(*) FROM region)+(SELECT count(*) FROM nation) nodes, (SELECT count(*) FROM region)+(SELECT count(*) FROM nation) components",
+    "graph_reachable": "WITH s AS (SELECT * FROM supplier), n AS (SELECT DISTINCT n_nationkey k, n_regionkey r FROM s JOIN nation ON s_nationkey=n_nationkey) SELECT (SELECT count(*) FROM s)+(SELECT count(*) FROM n)+(SELECT count(DISTINCT r) FROM n) c",
+    "graph_components": "SELECT (SELECT count(*) FROM customer)+(SELECT count(*) FROM nation) nodes, (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer)+(SELECT count(*) FROM nation) components",
 }

@@ -18,12 +18,12 @@ def to_cypher_create(g: PropertyGraph) -> str:
 def script_lines(g: PropertyGraph) -> DataFrame:
     """The script's lines: part (0 nodes, 1 relationships), number, line."""
     nodes, rels = g.all_nodes(), g.all_rels()
-    names = numbered(nodes.select("id"), "number", by="id")
+    names = numbered(nodes.select("id"), "number", "id")
     nodes = nodes.join(names, "id")
     labels = F.array_join(F.transform("labels", lambda x: F.concat(F.lit(":"), quoted(x))), "")
     made = nodes.select(F.lit(0).alias("part"), "number", F.concat(F.lit("CREATE (n"), F.col("number").cast("string"), labels, _map(nodes), F.lit(")")).alias("line"))
     end = lambda c: names.select(F.col("id").alias(c), F.col("number").alias(f"{c}_n"))
-    rels = numbered(rels, "number", by="id").join(end("src"), "src").join(end("dst"), "dst")
+    rels = numbered(rels, "number", "id").join(end("src"), "src").join(end("dst"), "dst")
     lines = rels.select(F.lit(1).alias("part"), "number", F.concat(F.lit("CREATE (n"), F.col("src_n").cast("string"), F.lit(")-[:"), quoted(F.col("type")), _map(rels), F.lit("]->(n"), F.col("dst_n").cast("string"), F.lit(")")).alias("line"))
     return made.union(lines)
 
