@@ -11,12 +11,15 @@ connected components.
 
 Texts of equal words collapse first, so a group of copies is one row.  Then all
 pairs of a bucket are settled: a pair is in one class already, fails an exact
-test (lengths; counts of words and of word pairs in bins, which bound the edits
-from below) or is aligned.  To have most of them in one class early, each member
-is first aligned with its most alike leader (a leader is a member that resembles
-no leader before it, from either end of the bucket), then with leaders of other
-classes; only aligned links make classes.  A bucket of many texts that are
-just too different to link takes pairs by the square of its rows.
+test (lengths; counts of words and of word pairs in bins, then the common words
+themselves, all of which bound the edits from below) or is aligned.  A pair that
+meets in several buckets is tested in the first of them.  To have most of them in one class early, each member
+is first aligned with its most alike leader of all buckets (a leader is a member
+that resembles no leader before it, from either end of the bucket), then with
+those of single buckets and the member of another class that has most words in
+common with it; only aligned links make classes.  A bucket of many texts that have
+most words in common but are just too different to link takes pairs by the
+square of its rows.
 
 Pairs that align are missed only where they share none of the sketches.  In a
 simulation (texts of 100, 400 and 1500 words, a share of the words substituted at
@@ -206,6 +209,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> tuple:
 
 def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) -> DataFrame:
     """(i, x, n, ci, cx): the documents by id and text, their rows, and the least document of their class."""
+    common.importable(docs.sparkSession)
     own_id, own_text = _named(docs, id_col, text_col)
     rows = docs.select(own_id.alias("i"), own_text.alias("x"), F.col(text_col).alias("t"))
 
@@ -219,7 +223,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
                         h = word_hashes(own)
                         s, low = sketch(h)
                         keys.append(hashlib.blake2b(b" ".join(own), digest_size=12).digest())
-                        made.append(s.astype("<u8").tobytes() + low.tobytes() + struct.pack("<I", len(own)) + bins(h))
+                        made.append(s.astype("<u8").tobytes() + low.tobytes() + struct.pack("<I", len(own)))
                     else:
                         keys.append(None)
                         made.append(None)
@@ -233,21 +237,27 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     members = met.where("e = -1").select(F.col("a").alias("h"), F.col("b").alias("i"))
     pairs = common.persisted(met.where("e >= 0").groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
     # joined by shuffles at every size, as the candidates grow with the texts
-    ends = texts.join(members.select("i").distinct().hint("merge"), "i").select(F.col("i").alias("number"), F.col("di").alias("i"), F.col("dx").alias("x"))
-    arrays = common.persisted(rows.join(ends.hint("merge"), ["i", "x"]).select(F.col("number").alias("i"), "t").mapInArrow(_arrays, "i long, w binary"), "words").dropDuplicates(["i"])
+    ends = texts.join(members.select("i").distinct().hint("merge"), "i").select(F.col("i").alias("number"), F.col("di").alias("i"), F.col("dx").alias("x"), F.expr(f"substring(s, 1, {8 * SKETCHES})").alias("s"))
+    arrays = common.persisted(rows.join(ends.hint("merge"), ["i", "x"]).select(F.col("number").alias("i"), "t", "s").mapInArrow(_arrays, "i long, w binary, s binary"), "words").dropDuplicates(["i"])
     best = pairs.groupBy("b").agg(F.max(F.struct("e", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     linked = common.persisted(_verified(best, arrays, similarity), "links")
     parts = common.persisted(connected(linked), "parts")
     at = lambda col: parts.select(F.col("node").alias(col), F.col("component").alias(f"{col}_part"))
     open_ = pairs.join(best, ["a", "b"], "left_anti").join(at("a"), "a", "left").join(at("b"), "b", "left").where("coalesce(a_part, a) <> coalesce(b_part, b)").select("a", "b")
-    linked = common.persisted(linked.union(_verified(common.persisted(open_, "open"), arrays, similarity)), "links")
+    counts = arrays.select("i", "w", "s").mapInArrow(_bags, "i long, m binary")
+
+    def unsettled(parts: DataFrame, tested: DataFrame, nearest: bool) -> DataFrame:
+        """Pairs of a bucket that may align and whose ends are still in different classes."""
+        placed = members.join(parts.select(F.col("node").alias("i"), "component"), "i", "left").select("h", "i", F.coalesce("component", "i").alias("p"))
+        mixed = placed.groupBy("h").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("h")
+        wide = placed.join(mixed.hint("merge"), "h", "left_semi").join(counts.hint("merge"), "i").repartition("h").sortWithinPartitions("h", "i")
+        return wide.mapInArrow(_rest(similarity, nearest), "a long, b long").join(tested, ["a", "b"], "left_anti")
+
+    # each member's most alike one of another class first: that leaves few classes, so few pairs for the last step
+    open_ = common.persisted(open_.union(unsettled(parts, pairs.select("a", "b"), True)), "open")
+    linked = common.persisted(linked.union(_verified(open_, arrays, similarity)), "links")
     parts = common.persisted(connected(linked), "parts")
-    # all other pairs of a bucket whose ends are still in different classes
-    placed = members.join(parts.select(F.col("node").alias("i"), "component"), "i", "left").select("h", "i", F.coalesce("component", "i").alias("p"))
-    mixed = placed.groupBy("h").agg(F.min("p").alias("x"), F.max("p").alias("y")).where("x <> y").select("h")
-    counts = texts.select("i", F.expr(f"substring(s, {8 * SKETCHES + SAMPLED * SKETCHES + 1})").alias("m"))
-    wide = placed.join(mixed.hint("merge"), "h", "left_semi").join(counts.hint("merge"), "i").repartition("h").sortWithinPartitions("h", "i")
-    rest = wide.mapInArrow(_rest(similarity), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
+    rest = unsettled(parts, pairs.select("a", "b").union(open_), False)
     more = linked.union(_verified(common.persisted(rest, "rest"), arrays, similarity))
     parts = connected(more.distinct()).withColumnRenamed("node", "i")
     placed = texts.join(parts, "i", "left").select("k", "di", "dx", F.coalesce("component", "i").alias("c"))
@@ -269,29 +279,34 @@ def _buckets(texts: DataFrame) -> DataFrame:
 
 
 def leader_pairs(minima: np.ndarray, sizes: np.ndarray, similarity: float = SIMILARITY, least: float = RESEMBLE) -> list[tuple[int, int, int]]:
-    """(leader, member, equal minima) of rows that resemble a leader, leaders from the top and from the bottom.
+    """(row, row, equal minima): each row that resembles a leader with the most alike one, leaders from the top and the bottom.
 
     Texts whose lengths alone keep them apart are no pair.
     """
-    out, need = set(), least * minima.shape[1]
-    for rows in (range(len(minima)), range(len(minima) - 1, -1, -1)):
-        covered = np.zeros(len(minima), dtype=bool)
+    n, need = len(minima), least * minima.shape[1]
+    most, other = np.zeros(n, dtype=np.int64), np.full(n, -1)
+    for rows in (range(n), range(n - 1, -1, -1)):
+        covered = np.zeros(n, dtype=bool)
         for i in rows:
             if not covered[i]:
                 same = (minima == minima[i]).sum(axis=1)
                 near = (same >= need) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
                 covered |= near
                 near[i] = False
-                out.update((min(i, j), max(i, j), int(same[j])) for j in np.flatnonzero(near).tolist())
-    return list(out)
+                j = np.flatnonzero(near)
+                if len(j):
+                    j = np.append(j[same[j] > most[j]], i) if same[j].max() > most[i] else j[same[j] > most[j]]
+                    best = int(np.argmax(np.where(near, same, -1)))
+                    most[j], other[j] = np.where(j == i, same[best], same[j]), np.where(j == i, best, i)
+    return list({(min(i, int(k)), max(i, int(k)), int(e)) for i, (k, e) in enumerate(zip(other, most)) if k >= 0})
 
 
 def _pairs(similarity: float):
     return lambda batches: _of_buckets(batches, ["m"], lambda *rows: _candidates(*rows, similarity))
 
 
-def _rest(similarity: float):
-    return lambda batches: _of_buckets(batches, ["p", "m"], lambda *rows: _unsettled(*rows, similarity))
+def _rest(similarity: float, nearest: bool = False):
+    return lambda batches: _of_buckets(batches, ["p", "m"], lambda *rows: _unsettled(*rows, similarity, nearest))
 
 
 def _of_buckets(batches, names: list[str], work):
@@ -329,8 +344,45 @@ def _candidates(h, ids, low, similarity: float):
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32()))], names=["a", "b", "e"])
 
 
-def _unsettled(h, ids, parts, raw, similarity: float):
-    """Pairs of a bucket whose classes differ and that no exact test rules out."""
+class _Bags:
+    """The bags of a bucket's rows."""
+
+    def __init__(self, raw: list[bytes]):
+        head = 4 + 8 * SKETCHES + WORD_BINS + PAIR_BINS
+        fixed = np.frombuffer(b"".join([x[:head] for x in raw]), dtype=np.uint8).reshape(len(raw), head)
+        self.sizes = np.ascontiguousarray(fixed[:, :4]).view("<u4").ravel().astype(np.int64)
+        self.sketches = np.ascontiguousarray(fixed[:, 4 : 4 + 8 * SKETCHES]).view("<i8")
+        self.bins = fixed[:, 4 + 8 * SKETCHES :]
+        self.n = [(len(x) - head) // 3 for x in raw]
+        self.words = [np.frombuffer(x, "<u2", n, head) for x, n in zip(raw, self.n)]
+        self.times = [np.frombuffer(x, np.uint8, n, head + 2 * n) for x, n in zip(raw, self.n)]
+        self.total = np.array([int(x.sum()) for x in self.times])
+        self.table = np.zeros(1 << 16, dtype=np.uint8)
+
+    def partners(self, i: int, j: np.ndarray, h: int, similarity: float, nearest: bool = False) -> np.ndarray:
+        """Those of ``j`` that meet row i in no bucket before h and may align with it; the one of most common words, if so asked."""
+        j = j[may_align(self.bins[j], self.sizes[j], self.bins[i], self.sizes[i], similarity)]
+        if not len(j):
+            return j
+        before = int(np.argmax(self.sketches[i] == h))
+        j = j[~(self.sketches[j, :before] == self.sketches[i, :before]).any(axis=1)]
+        if not len(j):
+            return j
+        # an edit takes away at most one word, and brings one
+        self.table[self.words[i]] = self.times[i]
+        at = j.tolist()
+        start = np.cumsum([0, *(self.n[k] for k in at[:-1])])
+        shared = np.add.reduceat(np.minimum(self.table[np.concatenate([self.words[k] for k in at])], np.concatenate([self.times[k] for k in at])).astype(np.int64), start)
+        self.table[self.words[i]] = 0
+        longer, edits = np.maximum(self.sizes[j], self.sizes[i]), np.maximum(self.total[i], self.total[j]) - shared
+        may = edits <= ((1 - similarity) * longer + 1e-9).astype(np.int64)
+        if nearest and may.any():
+            return j[[int(np.argmin(np.where(may, edits / longer, 2.0)))]]
+        return j[may]
+
+
+def _unsettled(h, ids, parts, raw, similarity: float, nearest: bool = False):
+    """Pairs of a bucket whose classes differ and that no exact test rules out; with ``nearest`` one a row (and BLOCK)."""
     a, b, held = [], [], 0
 
     def batch():
@@ -340,13 +392,12 @@ def _unsettled(h, ids, parts, raw, similarity: float):
         own, part = ids[lo:hi], np.array(parts[lo:hi], dtype=np.int64)
         if (part == part[0]).all():
             continue
-        all_ = np.frombuffer(b"".join(raw[lo:hi]), dtype=np.uint8).reshape(hi - lo, -1)
-        sizes, counts = np.ascontiguousarray(all_[:, :4]).view("<u4").ravel().astype(np.int64), all_[:, 4:]
+        bags = _Bags(raw[lo:hi])
         for i in range(hi - lo - 1):
             for at in range(i + 1, hi - lo, BLOCK):
                 j = at + np.flatnonzero(part[at : at + BLOCK] != part[i])
                 if len(j):
-                    j = j[may_align(counts[j], sizes[j], counts[i], sizes[i], similarity)]
+                    j = bags.partners(i, j, int(h[lo]), similarity, nearest)
                 if len(j):
                     a.append(np.minimum(own[i], own[j]))
                     b.append(np.maximum(own[i], own[j]))
@@ -362,7 +413,18 @@ def _arrays(batches):
     for whole in batches:
         for batch in common.slices(whole, "t"):
             w = [(word_hashes(words(t)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for t in batch.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(w, pa.binary())], names=["i", "w"])
+            yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(w, pa.binary()), batch.column("s")], names=["i", "w", "s"])
+
+
+def _bags(batches):
+    """What rules out alignments: size, sketches, bins, and 16 bits and the count (255 at most) of each word."""
+    for batch in batches:
+        made = []
+        for raw, s in zip(batch.column("w").to_pylist(), batch.column("s").to_pylist()):
+            h = np.frombuffer(raw, "<u4")
+            word, times = np.unique((h & 0xFFFF).astype("<u2"), return_counts=True)
+            made.append(struct.pack("<I", len(h)) + s + bins(h.astype(np.uint64)) + word.tobytes() + np.minimum(times, 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(made, pa.binary())], names=["i", "m"])
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, similarity: float) -> DataFrame:
@@ -380,7 +442,11 @@ def _verified(pairs: DataFrame, arrays: DataFrame, similarity: float) -> DataFra
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One document of each class, that of the least id (of its texts, that of the least hash), with all its columns."""
     found = common.persisted(_classed(docs, id_col, text_col, similarity), "classes")
-    first = found.where("i = ci and x = cx").groupBy(F.col("i").alias("_first"), F.col("x").alias("_text")).agg(F.sum("n").alias("_rows"))
-    own_id, own_text = _named(docs, id_col, text_col)
-    kept = docs.join(first.select("_first", "_text"), (own_id == F.col("_first")) & (own_text == F.col("_text")), "left_semi")
-    return kept.dropDuplicates([id_col, text_col]) if first.where("_rows > 1").limit(1).count() else kept
+    first = found.where("i = ci and x = cx").groupBy(F.col("i").alias("first"), F.col("x").alias("own")).agg(F.sum("n").alias("n"))
+    inner = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    own_id, own_text = _named(inner, key, text)
+    kept = inner.join(first.select("first", "own"), (own_id == F.col("first")) & (own_text == F.col("own")), "left_semi")
+    # only rows equal in id and text are left to drop
+    kept = kept.dropDuplicates([key, text]) if first.where("n > 1").limit(1).count() else kept
+    return kept.toDF(*docs.columns)

@@ -1,6 +1,8 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from graphspark.llm import near_dedup as nd
 from graphspark.llm.components import connected
@@ -124,6 +126,28 @@ def test_exact_tests_never_rule_out_a_pair_that_aligns():
     assert ruled > 50
 
 
+def test_bags_rule_out_no_pair_that_aligns_and_name_each_pair_once():
+    import pyarrow as pa
+
+    rnd = random.Random(21)
+    base = [rnd.randrange(3000) for _ in range(300)]
+    texts = []
+    for k in range(40):
+        own = [rnd.randrange(3000) if rnd.random() < rnd.choice([0.02, 0.1, 0.2]) else w for w in base[rnd.randrange(40) :]]
+        texts.append(np.array(own if k else [7] * 900, dtype="<u4"))
+    same = np.array([[10 * t + rnd.randrange(3) for t in range(nd.SKETCHES)] for _ in texts], dtype="<i8")
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([t.tobytes() for t in texts]), pa.array([x.tobytes() for x in same])], names=["i", "w", "s"])
+    bags = nd._Bags(next(nd._bags([batch])).column("m").to_pylist())
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i + 1, len(texts)):
+            links += (aligned := nd.alike(texts[i], texts[j], 0.8))
+            meet = np.flatnonzero(same[i] == same[j]).tolist()
+            seen = [t for t in meet if len(bags.partners(i, np.array([j]), int(same[i][t]), 0.8))]
+            assert len(seen) <= 1 and (seen or not aligned or not meet)
+    assert links > 50
+
+
 def test_copies_in_a_group_under_one_template_are_linked(spark):
     rnd = random.Random(6)
     prose = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
@@ -161,3 +185,30 @@ def test_texts_of_null_and_repeated_ids_are_kept_apart(spark):
     assert sorted(kept, key=str) == sorted([(None, a), (None, b), (3, c), (3, d), (6, None), (7, "")], key=str)
     got = sorted(((r.doc_id, r.class_id, r.n_rows) for r in nd.classes(frame).collect()), key=str)
     assert got == sorted([(None, None, 1), (None, None, 1), (3, 3, 1), (3, 3, 1), (4, 3, 1), (5, None, 2), (6, 6, 1), (7, 7, 1)], key=str)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_registered_query_finds_all_pairs_that_align(spark):
+    """Components of all aligned pairs of the table, by brute force, against the query's classes."""
+    from graphspark.llm import queries
+
+    got = {r.doc_id: r.class_id for r in queries.op2_near_dedup(spark, "/root/testdata/sf0.01").collect()}
+    texts = {r.doc_id: nd.word_hashes(nd.words(r.text)).astype("<u4") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    ids = sorted((d for d in texts if len(texts[d])), key=lambda d: len(texts[d]))
+    lead = {d: d for d in texts}
+
+    def top(d):
+        while lead[d] != d:
+            d = lead[d]
+        return d
+
+    links = 0
+    for k, d in enumerate(ids):
+        for e in ids[k + 1 :]:
+            if 0.8 * len(texts[e]) > len(texts[d]) + 1e-9:
+                break
+            if nd.alike(texts[d], texts[e], 0.8):
+                links += 1
+                a, b = sorted((top(d), top(e)))
+                lead[b] = a
+    assert got == {d: top(d) for d in texts} and links > 100
