@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphspark.llm import common
 from graphspark.llm.tokens import Encoder
 
 SEGMENT_CHARS = 1_000_000
@@ -82,11 +83,12 @@ def loss_runs(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]
 
 
 def format_conversations(turns: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tokenizer_path: str | None = None, segment_chars: int = SEGMENT_CHARS) -> DataFrame:
-    """Rows of SCHEMA; a conversation's segments follow each other in one partition.
+    """Rows of SCHEMA; a conversation's segments are numbered from 0 on, in any order of rows.
 
     ``loss_tokens`` are the runs of ``ids`` under the loss mask: first, end, first, end, ...
     """
     template = template or Template()
+    common.importable(turns.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()))
 
@@ -131,11 +133,12 @@ def format_conversations(turns: DataFrame, template: Template | None = None, con
 
 
 def read_back(formatted: DataFrame, template: Template | None = None, tokenizer_path: str | None = None) -> DataFrame:
-    """Digests of what the formatted rows hold, in the order in which they came.
+    """Digests of what the formatted rows hold, in whatever order they were stored.
 
     Turns are parsed from the text; the text under the mask is found from the ids' own bytes.
     """
     template = template or Template()
+    common.importable(formatted.sparkSession)
     names = ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_tokens")
 
     def run(batches):
@@ -145,7 +148,10 @@ def read_back(formatted: DataFrame, template: Template | None = None, tokenizer_
             rows = []
             for r in got.to_pylist():
                 if state is None:
-                    state = {"turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "lc": 0, "fc": 0, "nt": 0}
+                    state = {"conv": r["conv_id"], "segment": 0, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "lc": 0, "fc": 0, "nt": 0}
+                if (r["conv_id"], r["segment"]) != (state["conv"], state["segment"]):
+                    raise ValueError(f"conversation {state['conv']}: segment {state['segment']} is missing")
+                state["segment"] += 1
                 for role, text in template.parse(r["text"]):
                     state["turns"].update(f"{role}\n{text}\n".encode())
                     state["n"] += 1
@@ -161,5 +167,8 @@ def read_back(formatted: DataFrame, template: Template | None = None, tokenizer_
                     state = None
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=list(names))
+        if state is not None:
+            raise ValueError(f"conversation {state['conv']}: its last segment is missing")
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_tokens long")

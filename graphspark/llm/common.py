@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphspark.plans.durable import drop, persisted, shared_dir  # noqa: F401
+
 #: Rows of one Arrow batch handed to slices of work, so that very long texts
 #: cannot multiply a batch's temporary objects.
 SLICE_CHARS = 4_000_000
@@ -29,38 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="graphspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def persisted(df: DataFrame, name: str = "cut") -> DataFrame:
-    """``df`` written to a table in the shared folder and read again: lineage ends there."""
-    spark = df.sparkSession
-    out = fresh_dir(spark, name)
-    df.write.parquet(out)
-    return spark.read.schema(df.schema).parquet(out)
-
-
-def remove_dir(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def path_of(df: DataFrame) -> str:
-    """The folder of a frame made by :func:`persisted`."""
-    return df.inputFiles()[0].rpartition("/")[0]
-
-
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
     """``batch`` in runs of at most SLICE_CHARS bytes of the text column (one row at least)."""
     n = batch.num_rows

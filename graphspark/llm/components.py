@@ -24,6 +24,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("a").alias("x"), "m"), F.struct(F.col("b").alias("x"), "m"))).alias("e")).select(F.col("e.x").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
         new = common.persisted(small, "edges")
+        common.drop(now)
         seen = new.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1_000_003), F.lit(0))).first()
         now = new
         if mark == tuple(seen):

@@ -99,6 +99,7 @@ def ranks(strings: DataFrame, length: int, width: int = 1, covers: int = 1) -> D
                 if len(o):
                     yield _batch({"p": np.full(len(o), p), "o": o, "kind": np.zeros(len(o), dtype=np.int32), "a": x[o], "b": x[o + 1], "c": x[o + 2]})
 
+    common.importable(strings.sparkSession)
     counted, unique = _less(strings.mapInArrow(triples, "p long, o long, kind int, a long, b long, c long"), ["a", "b", "c"], "triples")
     names = counted.select("p", "o", (F.col("less0") + 1).alias("r"))
     if not unique and 3 * covers < length:

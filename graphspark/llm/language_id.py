@@ -3,8 +3,9 @@
 A text's subwords (2 to 4 letters, runs of other ASCII characters count as one
 word end) are hashed to buckets; the mean of their embeddings goes through a
 linear softmax.  Embeddings and weights are trained by stochastic gradient
-descent in numpy on a bounded sample (MOST_DOCS rows a language, least hash of
-the id first, whole texts).  A temperature fitted on a part of the sample that
+descent in numpy on a bounded sample (MOST_DOCS rows and MOST_CHARS characters
+a language, least hash of the id first, whole texts; a text that would go beyond
+that is left out, not cut).  A temperature fitted on a part of the sample that
 is not trained on makes the scores probabilities.  The same part sets the
 rejection threshold: the score that all but REJECTED of its rightly told texts
 reach (0, so no rejection, where the sample is too small to set texts aside).
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from graphspark.llm import common
 
 BUCKET_BITS, DIM = 15, 16
-#: Training rows of one language, and their characters in all, at most.
-MOST_DOCS, MOST_CHARS = 1_000, 3_000_000
+#: Training rows of one language, and their characters, at most; a language's first row counts whatever its size.
+MOST_DOCS, MOST_CHARS = 1_000, 800_000
 #: Subwords' worth of an even guess that is mixed into each score, so that a few letters are not certain.
 FLAT = 4
 #: Share of the rightly told texts set aside that the rejection threshold gives up.
@@ -142,14 +143,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= MOST_DOCS).select("i", "lang", "r")
     # at most MOST_DOCS ids a language; the texts stay where they are until then
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(ids), ["i", "lang"]).orderBy("r", "lang", "i")
-    texts, langs, size = [], [], 0
+    texts, langs, sizes = [], [], {}
     for r in rows.toLocalIterator():
-        if size > MOST_CHARS and texts:
-            break
-        if has_letter(r.t):
+        if has_letter(r.t) and (r.lang not in sizes or sizes[r.lang] + len(r.t) <= MOST_CHARS):
             texts.append(r.t)
             langs.append(r.lang)
-            size += len(r.t)
+            sizes[r.lang] = sizes.get(r.lang, 0) + len(r.t)
     return fit(texts, langs)
 
 

@@ -6,11 +6,13 @@ the largest tier down: a rest opens a window of its tier, the gap is filled
 with the longest shorter rests that fit, and what is left is filled by cutting
 one rest.  So windows are full, and only the rests of a task's last windows
 are dealt out to windows of the powers of two that add up to them: no window
-holds padding.  Windows of a tier form step groups of equal ids
-(``group_ids``), so that steps cost the same.
+holds padding.  Windows of a size, numbered over all tasks, form step groups of
+equal ids (``group_ids``), so that steps cost the same: only the last group of
+each size is short.
 
-No row leaves its task: there is no shuffle, and any number of copies or rows
-of one source spreads as the input does.
+No text leaves its task: there is no shuffle of texts or ids, and any number of
+copies or rows of one source spreads as the input does.  The pieces' rows are
+written once, so that the numbers of windows of each task are known.
 
 Defined cases: a null or empty text is its end id alone; rows with equal ids are
 packed as documents of their own; an empty table gives no row.
@@ -24,13 +26,13 @@ from itertools import count
 
 import numpy as np
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphspark.llm import common
 from graphspark.llm.tokens import Encoder
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, capacity long, step_group long"
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, capacity long, number long"
 #: Rests that a task gathers before it packs them.
 POOL = 2048
 
@@ -115,9 +117,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
         def emit(size: int, pieces: list[tuple]) -> None:
             seq, at = part << 32 | next(windows), 0
             k = made[size] = made.get(size, -1) + 1
-            group = (part << 32 | k // max(1, group_ids // size)) << 5 | size.bit_length()
             for n, _, key, ids, start in pieces:
-                rows.append((key, start, n, zlib.crc32(ids[start : start + n]), len(ids), seq, at, size, group))
+                rows.append((key, start, n, zlib.crc32(ids[start : start + n]), len(ids), seq, at, size, k))
                 at += n
 
         packer = Packer(list(tiers), emit)
@@ -138,4 +139,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
         return work, end
 
-    return common.map_texts_to_end(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, SCHEMA, make)
+    found = common.persisted(common.map_texts_to_end(docs.withColumn(id_col, F.col(id_col).cast("long")), id_col, text_col, SCHEMA, make), "packed")
+    # a row for each task and size: where its windows begin among all of that size
+    sizes = found.where("offset = 0").groupBy("capacity", F.shiftright("sequence_id", 32).alias("part")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("capacity").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("capacity", "part", F.coalesce(before, F.lit(0)).alias("base"))
+    rows = found.withColumn("part", F.shiftright("sequence_id", 32)).join(F.broadcast(starts), ["capacity", "part"])
+    per_step = F.greatest(F.lit(1), F.floor(F.lit(group_ids) / F.col("capacity")))
+    group = F.shiftleft(F.floor((F.col("base") + F.col("number")) / per_step).cast("long"), 5) + F.log2("capacity").cast("long")
+    return rows.select(*names[:-1], group.alias("step_group"))

@@ -186,6 +186,7 @@ def map_features(rows: DataFrame) -> DataFrame:
                 x = [features(t) for t in batch.column("t").to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(x, pa.list_(pa.float64()))], names=["k", "x"])
 
+    common.importable(rows.sparkSession)
     return rows.mapInArrow(run, "k string, x array<double>")
 
 

@@ -46,7 +46,8 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
-    return chat_format.read_back(chat_format.format_conversations(turns.union(added))).drop("n_tokens")
+    made = common.persisted(chat_format.format_conversations(turns.union(added)), "chats")
+    return chat_format.read_back(made).drop("n_tokens")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

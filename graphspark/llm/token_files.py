@@ -12,7 +12,7 @@ Elias-Fano lists, so no table of 64-bit offsets is kept.  ``Shard.doc(i)``
 finds one document by two selects.
 
 Defined cases: a null text has no ids but the end id; rows with equal ids keep
-their own entries; null ids come first, counted in the footer; an empty table
+their own entries, in the order of their texts; null ids come first, counted in the footer; an empty table
 gives no shard.  A task that runs again writes files of new names; the
 manifest, which Spark commits once, names those that count.
 """
@@ -125,6 +125,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     Manifest rows (part, seq, path, n_docs, n_ids) in order of (part, seq) hold the documents in order.
     """
     spark = docs.sparkSession
+    common.importable(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
@@ -150,7 +151,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["part", "seq", "path", "n_docs", "n_ids"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).repartitionByRange(n, "i").sortWithinPartitions("i")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).repartitionByRange(n, "i").sortWithinPartitions("i", "t")
     out = f"{folder}/_manifest"
     rows.mapInArrow(run, _MANIFEST).write.parquet(out)
     return spark.read.schema(_MANIFEST).parquet(out)

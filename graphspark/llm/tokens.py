@@ -4,12 +4,15 @@ A byte-level BPE splits a text before each run of white space that follows
 other characters, and merges never cross such a split.  So a text's ids are
 the ids of its chunks (a run of white space with what follows it) in order.
 Each new chunk is encoded once by the tokenizers library; its ids are kept.
-Ids are those of encoding the whole text.
+Ids are those of encoding the whole text.  A tokenizer file of any other kind
+(another split, a normaliser, dropout, ...) is told by its settings, and then
+the library encodes each whole text.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 from array import array
@@ -43,6 +46,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def splits_by_chunks(settings: dict) -> bool:
+    """Whether a tokenizer of these settings gives a text the ids of its chunks in order."""
+    split, model = settings["pre_tokenizer"] or {}, settings["model"]
+    plain = settings["normalizer"] is None and settings["post_processor"] is None
+    plain &= split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+    plain &= model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    return bool(plain) and not any(t[k] for t in settings["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+
+
 class _Again(Exception):
     """The text has white space that single spaces do not split."""
 
@@ -71,6 +83,10 @@ class Encoder:
         from tokenizers import AddedToken, Tokenizer
 
         self.lib = Tokenizer.from_file(path or default_path())
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        settings = json.loads(self.lib.to_str())
+        self.chunked = splits_by_chunks(settings)
         if added:
             self.lib.add_special_tokens([AddedToken(c, special=True, normalized=False) for c in added])
         self.specials = {t.content: array("I", [i]).tobytes() for i, t in self.lib.get_added_tokens_decoder().items()}
@@ -115,7 +131,7 @@ class Encoder:
 
     def _parts(self, text: str) -> list[bytes] | None:
         """Ids of the chunks of a text; None where the library has to see the whole."""
-        if _ODD.search(text):
+        if not self.chunked or _ODD.search(text):
             return None
         if any(s in text for s in self.specials):  # they split a text before all else
             out, at = [], 0
@@ -148,6 +164,10 @@ class Encoder:
 
         The ids' bytes tile the text.  Tokens that share a character both span it.
         """
+        if not self.chunked and text:
+            got = self.lib.encode(text, add_special_tokens=False)
+            at = np.array(got.offsets, dtype=np.int64).reshape(-1, 2)
+            return np.asarray(got.ids, dtype="<u4"), at[:, 0], at[:, 1]
         ids = self.ids(text)
         if not len(ids):
             return ids, np.empty(0, np.int64), np.empty(0, np.int64)
