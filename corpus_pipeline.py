@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a frame that is written as
 Parquet and read again as the next one's documents.
+
+Defined cases: a null or empty text has no words, so the quality rules reject it.
+Rows of null or equal id whose texts differ are documents of their own in every
+stage; of rows equal in id and text near-dedup keeps one.  Of equal texts the
+least id stays (null is the least); equal ids tie by the hash of the text.
+n_chars is counted anew where a text is cut, other columns stay as they are, of
+any name.  A text that cuts leave empty stays as an empty document.  Very long
+texts are worked on whole.  Empty tables give no row.
 """
 
 from __future__ import annotations
