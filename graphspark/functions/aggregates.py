@@ -41,7 +41,8 @@ def aggregate(name: str, distinct: bool, args: list[Val], order: list[tuple[str,
             return list_of(v.t), F.collect_list(c)
         rows = F.collect_list(F.when(c.isNotNull(), F.struct(*[F.col(n) for n, _ in order], c.alias("_value"))))
         return list_of(v.t), F.transform(F.array_sort(rows, sorter(order)), lambda r: r["_value"])
-    need(v, "int", "float", what=name)
+    v = need(v, "int", "float", what=name)
+    c = v.column()
     if v.t.kind == "null":
         c = F.lit(None).cast("bigint")
     if name == "sum":

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
-from graphspark.plans.types import BARE, BOOL, FLOAT, INT, NULL, STR, T, Val, coerce, list_of, literal, make_list, map_of, path_ids, sql, unify
+from graphspark.plans.types import BARE, BOOL, DYN, FLOAT, INT, NULL, STR, T, Val, coerce, list_of, literal, make_list, map_of, path_ids, sql, unify
 
 #: White space at the ends of strings, as the language trims it.
 _ENDS = r"(?U)^\s+|\s+$"
@@ -16,11 +16,22 @@ _BIG = 2.0**52
 
 
 def need(v: Val, *kinds: str, what: str = "") -> Val:
+    if v.t == DYN:
+        v = narrowed(v, *kinds)
     if v.t.kind != "null" and v.t.kind not in kinds:
         raise TypeMismatch(f"{what}() does not take {v.t}")
     return v
 
 
+def narrowed(v: Val, *kinds: str) -> Val:
+    """A scalar of several types where one is needed: an error in rows that have another."""
+    for kind, t, k in (("bool", BOOL, "b"), ("float", FLOAT, "f"), ("int", INT, "i"), ("str", STR, "s")):
+        if kind in kinds:
+            c = v.column()
+            return Val(t, F.when(c[k].isNotNull(), c[k]).otherwise(F.when(c.isNotNull(), fail("TypeMismatch", f"a value is no {kind}").cast(sql(t)))))
+    return v
+
+
 def fail(kind: str, message: str) -> Column:
     """Raises at run time; the prefix names the error kind."""
     return F.raise_error(F.lit(f"[{kind}] {message}"))
@@ -47,6 +58,8 @@ def null_of(t: T) -> Val:
 def text_of(v: Val) -> Column:
     """A scalar as text: floats keep a fraction, large and small ones have an exponent without a fraction."""
     c = v.column()
+    if v.t == DYN:
+        return F.coalesce(c["s"], c["b"].cast("string"), c["i"].cast("string"), text_of(Val(FLOAT, c["f"])))
     if v.t.kind == "float":
         s = c.cast("string")
         plain = F.when(c == F.floor(c), F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0"))).otherwise(F.regexp_replace(c.cast("decimal(38,18)").cast("string"), "0+$", ""))
@@ -152,7 +165,8 @@ def _list_of(f, t: T):
         if v.t.kind == "null":
             return null_of(list_of(t))
         need(v, "list", what="list conversion")
-        return Val(list_of(t), F.transform(v.column(), lambda x: f(Val(v.t.elem, x), True).column()))
+        one = (lambda x: _of_several_types({BOOL: "tobooleanornull", INT: "tointegerornull", FLOAT: "tofloatornull", STR: "tostringornull"}[t], [x])) if v.t.elem == DYN else (lambda x: f(x, True))
+        return Val(list_of(t), F.transform(v.column(), lambda x: one(Val(v.t.elem, x)).column()))
 
     return make
 
@@ -306,11 +320,14 @@ def _is_nan(v: Val) -> Val:
 
 
 def _type_name(t: T) -> str:
-    names = {"bool": "BOOLEAN", "int": "INTEGER", "float": "FLOAT", "str": "STRING", "map": "MAP", "node": "NODE", "rel": "RELATIONSHIP", "path": "PATH", "null": "NULL"}
+    names = {"dyn": "ANY", "bool": "BOOLEAN", "int": "INTEGER", "float": "FLOAT", "str": "STRING", "map": "MAP", "node": "NODE", "rel": "RELATIONSHIP", "path": "PATH", "null": "NULL"}
     return f"LIST<{_type_name(t.elem)}>" if t.kind == "list" else names.get(t.kind, t.spark.upper())
 
 
 def _value_type(v: Val) -> Val:
+    if v.t == DYN:
+        c = v.column()
+        return Val(STR, F.when(c.isNull(), "NULL").when(c["r"] == 1, "STRING NOT NULL").when(c["r"] == 2, "BOOLEAN NOT NULL").when(c["i"].isNotNull(), "INTEGER NOT NULL").otherwise("FLOAT NOT NULL"))
     if v.t.kind == "list":
         c, inner = v.column(), _type_name(v.t.elem)
         body = F.when(F.size(c) == 0, "LIST<NOTHING> NOT NULL").when(F.forall(c, lambda x: x.isNull()), "LIST<NULL> NOT NULL").when(F.exists(c, lambda x: x.isNull()), f"LIST<{inner}> NOT NULL").otherwise(f"LIST<{inner} NOT NULL> NOT NULL")
@@ -417,7 +434,26 @@ FUNCTIONS = {
 }
 
 
+_CONVERSIONS = ("tostring", "tointeger", "toint", "tofloat", "toboolean", "tostringornull", "tointegerornull", "tofloatornull", "tobooleanornull")
+_ANY = ("coalesce", "nullif", "valuetype")
+_OF_STRINGS = ("toupper", "upper", "tolower", "lower", "trim", "btrim", "ltrim", "rtrim", "substring", "left", "right", "replace", "split", "size", "char_length", "character_length", "reverse", "isempty")
+
+
+def _of_several_types(name: str, args: list[Val]) -> Val:
+    """A function of scalars of several types: conversions by each row's type, others for the type that they take."""
+    if name in _CONVERSIONS:
+        c, out = args[0].column(), None
+        for t, k in ((STR, "s"), (BOOL, "b"), (INT, "i"), (FLOAT, "f")):
+            v = call(name, [Val(t, c[k])])
+            out = F.when(c[k].isNotNull(), v.column()) if out is None else out.when(c[k].isNotNull(), v.column())
+        return Val(v.t, out)
+    first = name in _OF_STRINGS
+    return call(name, [narrowed(a, "str" if first and (k == 0 or name in ("replace", "split")) else "int" if first else "float") if a.t == DYN else a for k, a in enumerate(args)])
+
+
 def call(name: str, args: list[Val]) -> Val:
+    if name in FUNCTIONS and any(a.t == DYN for a in args) and name not in _ANY:
+        return _of_several_types(name, args)
     if name not in FUNCTIONS:
         raise Unsupported(f"function {name}()")
     least, most, make = FUNCTIONS[name]

@@ -483,7 +483,7 @@ def _reads(e: N, scope: dict[str, Val]) -> list[tuple[str, str]]:
 
 
 def storable(t: T) -> None:
-    if t.kind in ("map", "node", "rel", "path") or t.kind == "list" and t.elem.kind not in ("bool", "int", "float", "str", "null"):
+    if t.kind in ("map", "node", "rel", "path") or t.kind == "list" and t.elem.kind not in ("bool", "int", "float", "str", "dyn", "null"):
         raise TypeMismatch(f"InvalidPropertyType: {t}")
 
 

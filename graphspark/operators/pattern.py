@@ -330,8 +330,11 @@ class Match:
         others = [r for q in self.parts for r in q.rels if r is not rel]
         return any(own is None or (x := _types([t for t, _ in rel_tables(self.frame, r.types)])) is None or own & x for r in others)
 
-    def _owned(self, df: DataFrame, edge: list, start: str, keys: dict, direction: str) -> tuple | None:
-        """The relationship from the columns of the node whose row it is, bound or scanned now: (rows, element, tables, condition)."""
+    def _owned(self, df: DataFrame | None, edge: list, start: str | None, keys: dict, direction: str) -> tuple | None:
+        """The relationship from the columns of the node whose row it is, bound or scanned now: (rows, element, tables, condition).
+
+        ``start``: the end that is bound, None if none is.
+        """
         p, _, rel, left, right, _ = edge
         found = rel_tables(self.frame, rel.types)
         if rel.direction == "both" or len(found) != 1 or not found[0][1] or found[0][0].owner is None or left == right:
@@ -347,30 +350,39 @@ class Match:
                 return None
         else:
             label = self._label(keys[own])
-            if not self._static(label) or label_fits(label, owner.table.labels) is not True or self._plain(keys[own], p):
+            if not self._static(label) or label_fits(label, owner.table.labels) is not True or self._plain(keys[own], p) or own in self.seeds:
                 return None
             node, scan = _named("node", self.frame.fresh("n"), owner.table.df, (owner.table,))
-            df = df.join(scan, self.elems[start].at("id") == owner.columns(node)["dst" if owner.side == "src" else "src"])
             self.elems[own] = node
+            if start is not None:
+                df = df.join(scan, self.elems[start].at("id") == owner.columns(node)["dst" if owner.side == "src" else "src"])
+            else:
+                df = scan if df is None else df.crossJoin(scan)
             df = self._node_tests(df, own, keys[own], bound=False)
         prefix, cols = self.frame.fresh("r"), owner.columns(node)
         cols |= {"from": cols["src"], "to": cols["dst"]} if direction == "out" else {"from": cols["dst"], "to": cols["src"]}
-        elem = Elem("rel", prefix, {k: t for k, t in table.props.items()}, (table,))
+        elem = Elem("rel", prefix, dict(table.props), (table,))
         df = df.withColumns({f"{prefix}__{k}": c for k, c in cols.items()})
         return df, elem, [table], elem.at("src").isNotNull() & elem.at("dst").isNotNull()
 
     def _from_edge(self, df: DataFrame | None, edge: list, keys: dict) -> DataFrame:
-        """Begin with the relationships of a pattern none of whose nodes is bound."""
+        """Begin with the relationships of a pattern neither of whose nodes is bound."""
         p, _, rel, left, right, _ = edge
-        elem, scan, tables = scan_rels(self.frame, rel, rel.direction, self._ids_matter(edge))
+        owned = self._owned(df, edge, None, keys, rel.direction)
+        if owned is not None:
+            df, elem, tables, cond = owned
+            df = df.where(cond & self._rel_tests(elem, rel, tables))
+        else:
+            elem, scan, tables = scan_rels(self.frame, rel, rel.direction, self._ids_matter(edge))
+            tests = self._rel_tests(elem, rel, tables)
+            df = scan.where(tests) if df is None else df.join(scan, tests)
         edge[5] = elem
-        tests = self._rel_tests(elem, rel, tables)
-        df = scan.where(tests) if df is None else df.join(scan, tests)
-        back = replace_at(elem, "from")
-        df = self._end(df, left, keys[left], back, tables, "in" if rel.direction == "out" else "out", p)
-        if right in self.elems:
-            return df.where(self.elems[right].at("id") == elem.at("to"))
-        return self._end(df, right, keys[right], elem, tables, rel.direction, p)
+        for key, end, direction in ((left, _turned(elem), "in" if rel.direction == "out" else "out"), (right, elem, rel.direction)):
+            if key not in self.elems:
+                df = self._end(df, key, keys[key], end, tables, direction, p)
+            elif owned is None or left == right:
+                df = df.where(self.elems[key].at("id") == end.at("to"))
+        return df
 
     def _plain(self, nodes: list[N], part: N) -> bool:
         """Whether only the ids of the nodes are asked for."""
@@ -480,14 +492,15 @@ def _types(tables: list) -> frozenset | None:
     return frozenset(t.type for t in tables) if tables and all(t.type is not None for t in tables) else None
 
 
-def replace_at(elem: Elem, to: str) -> Elem:
-    """The element with its end ``to`` in the place of the far one."""
+class _Turned(Elem):
+    """A relationship seen from its other end."""
+
+    def at(self, part: str) -> Column:
+        return super().at({"from": "to", "to": "from"}.get(part, part))
 
-    class Turned(Elem):
-        def at(self, part: str) -> Column:
-            return super().at(to if part == "to" else part)
 
-    return Turned(elem.kind, elem.prefix, elem.props, elem.tables)
+def _turned(elem: Elem) -> Elem:
+    return _Turned(elem.kind, elem.prefix, elem.props, elem.tables)
 
 
 def pattern_names(parts: list[N]) -> set[str]:

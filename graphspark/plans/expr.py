@@ -9,7 +9,7 @@ from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
 from graphspark.functions import scalar
 from graphspark.functions.scalar import fail, length_of, need, null_of
 from graphspark.plans.parser import N, walk
-from graphspark.plans.types import BOOL, FLOAT, INT, MIXED, NULL, STR, T, Val, coerce, elem_type, list_of, literal, make_list, make_map, map_of, sql, unify
+from graphspark.plans.types import BOOL, DYN, FLOAT, INT, MIXED, NULL, SCALARS, STR, T, Val, coerce, elem_type, list_of, literal, make_list, make_map, map_of, sql, unify
 
 AGGREGATES = {"count", "sum", "avg", "min", "max", "collect", "stdev", "stdevp", "var", "varp", "percentilecont", "percentiledisc"}
 _NUMBERS = ("int", "float")
@@ -201,6 +201,10 @@ class Compiler:
         if "null" in (a.t.kind, b.t.kind):
             return null
         there = a.column().isNotNull() & b.column().isNotNull()
+        if DYN in (a.t, b.t) and a.t.kind in SCALARS and b.t.kind in SCALARS:
+            x, y = coerce(a, DYN), coerce(b, DYN)
+            numbers = F.when(x["i"].isNotNull() & y["i"].isNotNull(), x["i"] == y["i"]).otherwise(x["f"] == y["f"])
+            return F.when(there, F.when((x["r"] != y["r"]) | (x["r"] == 4), False).when(x["r"] == 1, x["s"] == y["s"]).when(x["r"] == 2, x["b"] == y["b"]).otherwise(numbers))
         if a.t.kind != b.t.kind and not (a.t.kind in _NUMBERS and b.t.kind in _NUMBERS):
             return F.when(there, F.lit(False))
         if a.t.kind in ("node", "rel"):
@@ -229,6 +233,11 @@ class Compiler:
 
     def less(self, op: str, a: Val, b: Val) -> Column:
         null = F.lit(None).cast("boolean")
+        if DYN in (a.t, b.t) and a.t.kind in SCALARS and b.t.kind in SCALARS:
+            x, y = coerce(a, DYN), coerce(b, DYN)
+            parts = {k: {"<": x[k] < y[k], "<=": x[k] <= y[k], ">": x[k] > y[k], ">=": x[k] >= y[k]}[op] for k in ("s", "b", "f", "i")}
+            number = lambda v: v["r"] >= 3
+            return F.when(number(x) & number(y), F.when((x["r"] == 4) | (y["r"] == 4), False).when(x["i"].isNotNull() & y["i"].isNotNull(), parts["i"]).otherwise(parts["f"])).when(x["r"] != y["r"], null).when(x["r"] == 1, parts["s"]).when(x["r"] == 2, parts["b"])
         same = a.t.kind == b.t.kind and a.t.kind in ("int", "float", "str", "bool", "other") or a.t.kind in _NUMBERS and b.t.kind in _NUMBERS
         if a.t.kind == b.t.kind == "list":
             t = unify(a.t, b.t)
@@ -260,7 +269,7 @@ class Compiler:
         return Val(BOOL, out)
 
     def _text_test(self, e):
-        a, b = self(e.a), self(e.b)
+        a, b = (Val(STR, v.column()["s"]) if v.t == DYN else v for v in (self(e.a), self(e.b)))
         if a.t.kind != "str" or b.t.kind != "str":
             return null_of(BOOL)
         return Val(BOOL, getattr(a.column(), e.op)(b.column()))
@@ -285,7 +294,18 @@ class Compiler:
         return need(self(e.a), *_NUMBERS, what="+")
 
     def _arith(self, e):
-        a, b, op = self(e.a), self(e.b), e.op
+        return self.arith(e.op, self(e.a), self(e.b))
+
+    def arith(self, op: str, a: Val, b: Val) -> Val:
+        if DYN in (a.t, b.t) and a.t.kind in SCALARS and b.t.kind in SCALARS:  # by the types that the row has
+            x, y = (Val(DYN, coerce(v, DYN)) for v in (a, b))
+            part = lambda v, k: Val({"i": INT, "f": FLOAT}[k], v.col[k])
+            ints, floats = self.arith(op, part(x, "i"), part(y, "i")), self.arith(op, part(x, "f"), part(y, "f"))
+            there = x.col.isNotNull() & y.col.isNotNull()
+            out = F.when(~there, F.lit(None)).when(x.col["i"].isNotNull() & y.col["i"].isNotNull(), coerce(ints, DYN)).when(x.col["f"].isNotNull() & y.col["f"].isNotNull(), coerce(floats, DYN))
+            if op == "+":
+                out = out.when((x.col["r"] == 1) | (y.col["r"] == 1), coerce(Val(STR, F.concat(scalar.text_of(x), scalar.text_of(y))), DYN))
+            return Val(DYN, out.otherwise(fail("TypeMismatch", f"{op} on values of these types").cast(DYN.spark)))
         if op == "+" and ("list" in (a.t.kind, b.t.kind)):
             return self._append(a, b)
         if "null" in (a.t.kind, b.t.kind):
@@ -366,7 +386,7 @@ class Compiler:
             def step(acc, x):
                 v = self.inner(**{e.acc: Val(t, acc), e.var: Val(src.t.elem, x)})(e.body)
                 seen["t"] = unify(t, v.t)
-                return coerce(v, t) if v.t == t or v.t.kind == "null" or (v.t.kind, t.kind) == ("int", "float") else v.column()
+                return coerce(v, t) if v.t.kind == "null" or unify(t, v.t) == t else v.column()
 
             return F.aggregate(src.column(), coerce(init, t), step)
 

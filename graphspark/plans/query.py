@@ -14,7 +14,7 @@ from graphspark.functions import aggregates
 from graphspark.operators.pattern import Frame, Match, filtered, free_names, optional, prepared
 from graphspark.plans.expr import AGGREGATES, NOW, has_aggregate, is_aggregate
 from graphspark.plans.parser import N, parse, walk
-from graphspark.plans.types import INT, Path, T, Val, elem_type, list_of, sql, unify
+from graphspark.plans.types import DYN, INT, Path, T, Val, coerce, elem_type, list_of, unify
 
 UPDATES = ("create", "merge", "set", "remove", "delete", "foreach")
 
@@ -27,7 +27,8 @@ class Result:
 
     def rows(self) -> list[dict]:
         try:
-            return [{c: _plain(v) for c, v in zip(self.columns, r)} for r in self.df.collect()]
+            types = [self.values[c].t if c in self.values else None for c in self.columns]
+            return [{c: _plain(v, t) for c, v, t in zip(self.columns, r, types)} for r in self.df.collect()]
         except Exception as e:
             raise translated(e) from e
 
@@ -41,10 +42,15 @@ class Result:
         return len(self.rows())
 
 
-def _plain(v):
+def _plain(v, t: T | None = None):
+    if v is not None and t == DYN:
+        return next((x for x in (v["s"], v["b"], v["i"], v["f"]) if x is not None), None)
     if hasattr(v, "asDict"):
-        return {k: _plain(x) for k, x in v.asDict().items()}
-    return [_plain(x) for x in v] if isinstance(v, list) else v
+        fields = dict(t.fields) if t is not None else {}
+        if t is not None and t.kind in ("node", "rel"):
+            return {k: _plain(x, T("map", fields=t.fields) if k == "properties" else None) for k, x in v.asDict().items()}
+        return {k: _plain(x, fields.get(k)) for k, x in v.asDict().items()}
+    return [_plain(x, t.elem if t is not None else None) for x in v] if isinstance(v, list) else v
 
 
 def translated(e: Exception) -> CypherError:
@@ -119,8 +125,11 @@ def run_statement(changes, statement: N, params: dict) -> Result:
             raise InvalidQuery("DifferentColumnsInUnion")
         a, b = out.df, r.df
         kinds = [unify(out.values[x].t, r.values[y].t) for x, y in zip(out.columns, r.columns)]
-        cast = lambda df: df.select(*[df[f"`{c}`"].cast(sql(t)).alias(n) if t.kind in ("int", "float", "str", "bool") else df[f"`{c}`"].alias(n) for c, n, t in zip(df.columns, out.columns, kinds)])
-        out = Result(out.columns, cast(a).union(cast(b)), {c: Val(t) for c, t in zip(out.columns, kinds)})
+
+        def cast(df: DataFrame, have: Result) -> DataFrame:
+            return df.select(*[coerce(Val(have.values[old].t, df[f"`{c}`"]), t).alias(n) if t != have.values[old].t else df[f"`{c}`"].alias(n) for c, old, n, t in zip(df.columns, have.columns, out.columns, kinds)])
+
+        out = Result(out.columns, cast(a, out).union(cast(b, r)), {c: Val(t) for c, t in zip(out.columns, kinds)})
     return Result(out.columns, out.df.dropDuplicates(), out.values) if statement.distinct else out
 
 

@@ -13,7 +13,7 @@ from graphspark.errors import TypeMismatch, Unsupported
 
 @dataclass(frozen=True)
 class T:
-    """kind: null bool int float str list map node rel path other; elem of lists; fields of maps, nodes, rels."""
+    """kind: null bool int float str dyn list map node rel path other; elem of lists; fields of maps, nodes, rels."""
 
     kind: str
     elem: "T | None" = None
@@ -25,6 +25,10 @@ class T:
 
 
 NULL, BOOL, INT, FLOAT, STR = (T(k) for k in ("null", "bool", "int", "float", "str"))
+#: Scalars of several types.  Fields in this order, so that structs compare as values are ordered: strings, booleans,
+#: numbers, NaN (r 1 to 4).  An integer is in f and i.
+DYN = T("dyn", spark="struct<r:int,s:string,b:boolean,f:double,i:bigint>")
+SCALARS = ("bool", "int", "float", "str", "dyn")
 #: A property whose values have several types over the tables that a pattern reads.
 MIXED = T("other", spark="struct<mixed:string>")
 #: A node of which only the id is known.
@@ -67,6 +71,8 @@ def of_spark(dt: S.DataType) -> T:
         return list_of(of_spark(dt.elementType))
     if isinstance(dt, S.NullType):
         return NULL
+    if dt.simpleString() == DYN.spark:
+        return DYN
     return T("other", spark=dt.simpleString())
 
 
@@ -78,6 +84,8 @@ def unify(a: T, b: T) -> T:
         return b
     if {a.kind, b.kind} == {"int", "float"}:
         return FLOAT
+    if a.kind in SCALARS and b.kind in SCALARS:
+        return DYN
     if a.kind == b.kind == "list":
         return list_of(unify(a.elem, b.elem))
     if "bare" in (a.spark, b.spark) and a.kind == b.kind:
@@ -177,6 +185,12 @@ def coerce(v: Val, t: T) -> Column:
         return F.transform(v.column(), lambda x: coerce(Val(v.t.elem, x), t.elem))
     if v.t.kind == "int" and t.kind == "float":
         return v.column().cast("double")
+    if t == DYN and v.t.kind in SCALARS:
+        c, kind = v.column(), v.t.kind
+        rank = {"str": F.lit(1), "bool": F.lit(2), "int": F.lit(3)}.get(kind, F.when(F.isnan(c), 4).otherwise(3) if kind == "float" else None)
+        fields = {"s": c if kind == "str" else None, "b": c if kind == "bool" else None, "f": c.cast("double") if kind in ("int", "float") else None, "i": c if kind == "int" else None}
+        types = {"s": "string", "b": "boolean", "f": "double", "i": "bigint"}
+        return F.when(c.isNotNull(), F.struct(rank.cast("int").alias("r"), *[(F.lit(None) if x is None else x).cast(types[k]).alias(k) for k, x in fields.items()]))
     raise TypeMismatch(f"{v.t} where {t} is needed")
 
 

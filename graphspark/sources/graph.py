@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphspark.errors import Unsupported
-from graphspark.plans.types import MIXED, Elem, T, of_spark, sql, unify
+from graphspark.plans.types import MIXED, Elem, T, Val, coerce, of_spark, sql, unify
 
 #: Bits of a mapped key inside an id; the table's number lies above.
 KEY_BITS = 44
@@ -188,9 +188,9 @@ def widened(df: DataFrame, c: str):
 
 
 def union_tables(frames: list[DataFrame]) -> DataFrame:
-    """All rows; a column that a table lacks is null there.  Integers meet floats as floats.
+    """All rows; a column that a table lacks is null there.  Integers meet floats as floats, other scalars as DYN.
 
-    A column of other types that differ has no value: its type says so to whoever asks for it.
+    A column of lists in one table and scalars in another has no value: its type says so to whoever asks for it.
     """
     kinds: dict[str, T] = {}
     for df in frames:
@@ -205,7 +205,7 @@ def union_tables(frames: list[DataFrame]) -> DataFrame:
         for f in df.schema.fields:
             t = kinds[f.name]
             c = F.col(f"`{f.name}`")
-            cols.append((F.lit(None).cast(sql(t)) if t == MIXED else c.cast(sql(t)) if t != of_spark(f.dataType) else c).alias(f.name))
+            cols.append((F.lit(None).cast(sql(t)) if t == MIXED else coerce(Val(of_spark(f.dataType), c), t) if t != of_spark(f.dataType) else c).alias(f.name))
         df = df.select(*cols)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.plans.durable import numbered
-from graphspark.plans.types import T, of_spark
+from graphspark.plans.types import DYN, FLOAT, INT, STR, T, of_spark
 from graphspark.sources.graph import PropertyGraph
 
 
@@ -51,6 +51,8 @@ def value_text(c: Column, t: T) -> Column:
         return F.when(F.isnan(c), "0.0 / 0.0").when(c == float("inf"), "1.0 / 0.0").when(c == float("-inf"), "-1.0 / 0.0").otherwise(c.cast("string"))
     if t.kind == "int":
         return F.when(c == -(1 << 63), f"{-(1 << 63) + 1} - 1").otherwise(c.cast("string"))
+    if t == DYN:
+        return F.coalesce(value_text(c["s"], STR), c["b"].cast("string"), value_text(c["i"], INT), value_text(c["f"], FLOAT))
     if t.kind == "list":
         return F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: value_text(x, t.elem)), ", "), F.lit("]"))
     return c.cast("string")

@@ -100,7 +100,7 @@ def test_expressions(g, expr, want):
 
 @pytest.mark.parametrize("text,kind", [
     ("RETURN 1 / 0 AS x", DivisionByZero), ("RETURN 9223372036854775807 + 1 AS x", QueryRuntimeError), ("RETURN 1 AND true AS x", TypeMismatch), ("MATCH (a) RETURN b", InvalidQuery), ("RETURN count(count(*)) AS x", InvalidQuery), ("RETURN foo(1) AS x", Unsupported), ("RETURN $p AS x", InvalidQuery),
-    ("MATCH (a) WITH a.name RETURN 1 AS x", InvalidQuery), ("RETURN 1 AS a, 2 AS a", InvalidQuery), ("MATCH (a)-[r]->()-[r]->() RETURN a", InvalidQuery), ("RETURN 1 AS x LIMIT -1", InvalidQuery), ("CREATE (a)", InvalidQuery), ("RETURN [1, 'a'] AS x", Unsupported), ("RETURN substring('a', -1) AS x", QueryRuntimeError), ("RETURN range(1, 2, 0) AS x", QueryRuntimeError), ("RETURN *", InvalidQuery), ("WITH 1 AS x RETURN percentileCont(x, 2) AS p", InvalidQuery),
+    ("MATCH (a) WITH a.name RETURN 1 AS x", InvalidQuery), ("RETURN 1 AS a, 2 AS a", InvalidQuery), ("MATCH (a)-[r]->()-[r]->() RETURN a", InvalidQuery), ("RETURN 1 AS x LIMIT -1", InvalidQuery), ("CREATE (a)", InvalidQuery), ("RETURN [1, [2]] AS x", Unsupported), ("UNWIND [1, 'a'] AS x RETURN sum(x) AS s", TypeMismatch), ("UNWIND [true, 1] AS x RETURN x * 2 AS s", TypeMismatch), ("RETURN substring('a', -1) AS x", QueryRuntimeError), ("RETURN range(1, 2, 0) AS x", QueryRuntimeError), ("RETURN *", InvalidQuery), ("WITH 1 AS x RETURN percentileCont(x, 2) AS p", InvalidQuery),
 ])
 def test_errors(g, text, kind):
     with pytest.raises(kind):
@@ -187,18 +187,40 @@ def test_keys_that_do_not_fit_raise(spark):
         g.cypher("MATCH (n:N) RETURN id(n) AS i").rows()
 
 
-def test_properties_of_several_types_are_refused_only_when_asked_for(spark):
-    g = PropertyGraph.from_cypher(spark, "CREATE (:A {x: 1, y: 1}), (:B {x: 'a', y: 2.5})")
-    assert sorted(rows(g, "MATCH (n) RETURN n.y AS y")) == [(1.0,), (2.5,)] and rows(g, "MATCH (n:B) RETURN n.x AS x") == [("a",)]
+def test_values_of_several_types(spark):
+    g = PropertyGraph.from_cypher(spark, "CREATE (:A {x: 1, y: 1}), (:B {x: 'a', y: 2.5}), (:C {x: true}), (:D {z: 1}), (:D {z: [1]}), (:A {x: 0.5})")
+    assert sorted(rows(g, "MATCH (n) WHERE n.y > 0 RETURN n.y AS y")) == [(1.0,), (2.5,)] and rows(g, "MATCH (n:B) RETURN n.x AS x") == [("a",)]
+    assert rows(g, "MATCH (n) RETURN n.x AS x ORDER BY x") == [("a",), (True,), (0.5,), (1,), (None,), (None,)]
+    assert rows(g, "MATCH (n) WHERE n.x = 'a' OR n.x < 1 RETURN n.x AS x ORDER BY x DESC") == [(0.5,), ("a",)]
+    assert rows(g, "MATCH (n) RETURN min(n.x) AS a, max(n.x) AS b, count(n.x) AS c") == [("a", 1, 4)]
+    assert rows(g, "MATCH (n) RETURN count(DISTINCT n.x) AS c, size(collect(n.x)) AS s") == [(4, 4)]
     with pytest.raises(Unsupported):
-        rows(g, "MATCH (n) RETURN n.x AS x")
+        rows(g, "MATCH (n) RETURN n.z AS z")
+    text = to_cypher_create(g.cypher_select("MATCH (n) WHERE n.x IS NOT NULL RETURN n").subgraph(g)[0])
+    assert "x: 'a'" in text and "x: true" in text and "x: 0.5" in text
+
+
+@pytest.mark.parametrize("text,want", [
+    ("UNWIND [1, 'a', null, 0.2, 'b', '1', '99'] AS x RETURN max(x) AS a, min(x) AS b", [(1, "1")]),
+    ("RETURN [1, 'a', true, 2.5, null] AS l, 'a' IN [1, 'a'] AS i, [1, 'a'] = [1, 'b'] AS e, 3 IN [1, 'a'] AS n", [([1, "a", True, 2.5, None], True, False, False)]),
+    ("UNWIND [1, 'a', 2.5] AS x RETURN x + 1 AS y", [(2,), ("a1",), (3.5,)]),
+    ("UNWIND [1, '2', 2.9, true, 'x'] AS x RETURN toInteger(x) AS i, toString(x) AS s, valueType(x) AS t", [(1, "1", "INTEGER NOT NULL"), (2, "2", "STRING NOT NULL"), (2, "2.9", "FLOAT NOT NULL"), (1, "true", "BOOLEAN NOT NULL"), (None, "x", "STRING NOT NULL")]),
+    ("UNWIND [1, 'ab'] AS x WITH x WHERE x STARTS WITH 'a' RETURN x, size(x) AS n", [("ab", 2)]),
+    ("RETURN CASE WHEN true THEN 1 ELSE 'a' END AS x UNION ALL RETURN 'b' AS x UNION ALL RETURN 2.5 AS x", [(1,), ("b",), (2.5,)]),
+    ("UNWIND [1, 'a'] AS x WITH x WHERE x < 2 OR x < 'b' RETURN count(x) AS c", [(2,)]),
+    ("RETURN coalesce(null, 'a', 1) AS x, reduce(s = '', x IN [1, 'b', true] | s + x) AS y, toStringList([1, 'a', true]) AS z", [("a", "1btrue", ["1", "a", "true"])]),
+    ("UNWIND [{k: 1}, {k: 'a'}] AS m RETURN m.k AS k", [(1,), ("a",)]),
+])
+def test_lists_of_several_types(g, text, want):
+    got = rows(g, text)
+    assert got == want and repr(got) == repr(want)
 
 
 def test_foreign_keys_are_no_joins(spark):
     from graphspark.queries import CATALOGUE, graph_of
 
     g = graph_of(spark, "/root/testdata/sf0.001")
-    for name, joins, scans in (("flagship", 3, 4), ("hop3", 3, 4), ("cycle", 4, 5), ("exists_pred", 1, 2), ("optional_match", 1, 2)):
+    for name, joins, scans in (("flagship", 3, 4), ("hop1", 1, 2), ("hop3", 3, 4), ("cycle", 4, 5), ("exists_pred", 1, 2), ("pattern_comp", 1, 2), ("optional_match", 1, 2), ("rel_unique", 1, 2)):
         plan = g.cypher(CATALOGUE[name][0]).df._jdf.queryExecution().optimizedPlan().toString()
         assert (plan.count("Join "), plan.count("Relation [")) == (joins, scans), (name, plan)
 
