@@ -7,7 +7,7 @@ import time
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from graphspark.errors import InvalidQuery, TypeMismatch, Unsupported
+from graphspark.errors import InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
 from graphspark.plans.types import BARE, BOOL, DYN, FLOAT, INT, NULL, STR, T, Val, coerce, list_of, literal, make_list, map_of, path_ids, sql, unify
 
 #: White space at the ends of strings, as the language trims it.
@@ -95,18 +95,20 @@ def _round(x: Val, p: Val | None = None, mode: Val | None = None) -> Val:
         if mode is not None and mode.const is None:
             raise Unsupported("round() with a mode that is not a literal")
         out = F.when(p.column().isNull() | c.isNull(), F.lit(None).cast("double"))
-        for k in range(16):
+        for k in range(-15, 16):
             out = out.when(p.column() == k, _round(x, literal(k), mode).column())
-        return Val(FLOAT, out.otherwise(fail("RuntimeError", "round() takes a precision from 0 to 15").cast("double")))
-    how = "HALF_UP" if mode is None else str(mode.const).upper()
+        return Val(FLOAT, out.otherwise(fail("RuntimeError", "round() takes a precision from -15 to 15").cast("double")))
+    how = "HALF_UP" if mode is None else str(mode.const)
     if how == "HALF_UP":
         return Val(FLOAT, F.round(c, int(p.const)))
-    exact = c.cast("string").cast("decimal(38,18)") * F.lit(f"1{'0' * max(0, p.const)}").cast("decimal(20,0)")
+    unit = F.lit(f"1{'0' * abs(p.const)}").cast("decimal(20,0)")
+    exact = c.cast("string").cast("decimal(38,18)")
+    exact = exact * unit if p.const >= 0 else exact / unit
     low = F.floor(exact)
     rest = exact - low
     up = {"UP": F.when(exact > 0, rest > 0).otherwise(F.lit(False)), "DOWN": F.when(exact < 0, rest > 0).otherwise(F.lit(False)), "CEILING": rest > 0, "FLOOR": F.lit(False), "HALF_DOWN": (rest > 0.5) | ((rest == 0.5) & (exact < 0)), "HALF_EVEN": (rest > 0.5) | ((rest == 0.5) & (F.pmod(low, F.lit(2)) == 1))}
     if how not in up:
-        raise InvalidQuery(f"round mode {how}")
+        raise QueryRuntimeError(f"round mode {how}")
     return Val(FLOAT, F.when(F.isnan(c) | (F.abs(c) >= 1e15), c).otherwise((low + F.when(up[how], 1).otherwise(0)).cast("double") / F.lit(10.0 ** p.const)))
 
 

@@ -185,6 +185,8 @@ class Match:
                 if at[2].length is None and at[2].direction != "both" and self._plain(keys[start], at[0]) and start not in self.seeds and not (at[2].var and at[2].var in f.scope):
                     todo.remove(at)
                     df = self._from_edge(df, at, keys)
+                elif at[2].length is not None and at[2].length[0] > 0 and at[2].direction != "both" and at[2].var in f.scope and f.scope[at[2].var].t.kind == "list":
+                    df = self._from_list(df, at, keys)
                 else:
                     df = self._scan(df, start, keys[start])
                 continue
@@ -384,6 +386,16 @@ class Match:
                 df = df.where(self.elems[key].at("id") == end.at("to"))
         return df
 
+    def _from_list(self, df: DataFrame | None, edge: list, keys: dict) -> DataFrame:
+        """Bind the node at which a list of relationships that is there already begins."""
+        rel, left = edge[2], edge[3]
+        first = F.get(self.frame.scope[rel.var].column(), F.lit(0))
+        label = self._label(keys[left])
+        node, scan = scan_nodes(self.frame, label if self._static(label) else None)
+        self.elems[left] = node
+        df = (df if df is not None else self.frame.rows()).join(scan, node.at("id") == first["src" if rel.direction == "out" else "dst"])
+        return self._node_tests(df, left, keys[left], bound=False)
+
     def _plain(self, nodes: list[N], part: N) -> bool:
         """Whether only the ids of the nodes are asked for."""
         f = self.frame
@@ -392,8 +404,8 @@ class Match:
     def _end(self, df: DataFrame, key: str, nodes: list[N], elem: Elem, tables: list, direction: str, part: N) -> DataFrame:
         """Bind the far node, without a scan where its id is all that is asked and the tables vouch for it."""
         label, f = self._label(nodes), self.frame
-        if self._plain(nodes, part) and direction != "both" and tables:
-            ends = [t.dst if direction == "out" else t.src for t in tables]
+        if self._plain(nodes, part) and tables:
+            ends = [getattr(t, side) for t in tables for side in {"out": ("dst",), "in": ("src",), "both": ("src", "dst")}[direction]]
             if all(e is not None and label_fits(label, e) for e in ends):
                 prefix = f.fresh("n")
                 self.elems[key] = Elem("node", prefix, {})

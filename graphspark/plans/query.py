@@ -93,7 +93,7 @@ class Query:
         changes = Changes(graph)
         result = None
         for s in self.statements:
-            result = run_statement(changes, s, params)
+            result = _safely(lambda: run_statement(changes, s, params))  # noqa: B023
             if changes.dirty and result.columns:
                 from graphspark.plans.durable import persisted
 

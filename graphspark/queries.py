@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphspark.errors import CypherError, DivisionByZero
 from graphspark.operators.selection import components, reachable
 from graphspark.plans.query import Query
 from graphspark.sources.graph import PropertyGraph
@@ -87,11 +88,27 @@ CATALOGUE: dict[str, tuple[str, str]] = {
     "optional_chain": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:SUPPLIER_IN]-(s:Supplier) WHERE s.s_acctbal < 0 RETURN n.n_name AS n, s.s_name AS s", "SELECT n_name n, s_name s FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal<0"),
     "exists_pred": ("MATCH (c:Customer) WHERE (c)-[:PLACED]->() RETURN count(*) AS c", "SELECT count(*) c FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
     "not_exists": ("MATCH (p:Part) WHERE NOT (p)<-[:CONTAINS {l_returnflag: 'R'}]-() RETURN p.p_partkey AS k", "SELECT p_partkey k FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_returnflag='R')"),
-    "end_nodes": ("MATCH (a)-[x:CUSTOMER_IN|SUPPLIER_IN]->(b) RETURN type(x) AS t, startNode(x).c_name AS c, startNode(x).s_name AS s, labels(startNode(x))[0] AS l, endNode(x).n_name AS n, keys(endNode(x)) AS k", "SELECT 'CUSTOMER_IN' t, c_name c, NULL s, 'Customer' l, n_name n, ['n_name','n_nationkey','n_regionkey'] k FROM customer JOIN nation ON c_nationkey=n_nationkey UNION ALL SELECT 'SUPPLIER_IN', NULL, s_name, 'Supplier', n_name, ['n_name','n_nationkey','n_regionkey'] FROM supplier JOIN nation ON s_nationkey=n_nationkey"),
-    "path_nodes": ("MATCH p=(r:Region)<-[:IN_REGION|SUPPLIER_IN*1..2]-(x) RETURN [n IN nodes(p) | coalesce(n.r_name, n.n_name, n.s_name)] AS names, [y IN relationships(p) | type(y)] AS types, labels(last(nodes(p)))[0] AS l", "SELECT [r_name,n_name] names, ['IN_REGION'] types, 'Nation' l FROM region JOIN nation ON n_regionkey=r_regionkey UNION ALL SELECT [r_name,n_name,s_name], ['IN_REGION','SUPPLIER_IN'], 'Supplier' FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey"),
-    "path_rels": ("MATCH p=(c:Customer {c_custkey: 7})-[:PLACED|CONTAINS*2]->(x) RETURN x.p_partkey AS k, [y IN relationships(p) | y.l_quantity] AS q, endNode(last(relationships(p))).p_name AS n", "SELECT p_partkey k, [NULL, l_quantity] q, p_name n FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE o_custkey=7"),
+    "end_nodes": ("MATCH (a)-[x:CUSTOMER_IN|SUPPLIER_IN]->(b) RETURN type(x) AS t, startNode(x).c_name AS c, startNode(x).s_name AS s, labels(startNode(x))[0] AS l, endNode(x).n_name AS n, size(keys(endNode(x))) AS k", "SELECT 'CUSTOMER_IN' t, c_name c, NULL s, 'Customer' l, n_name n, 3::BIGINT k FROM customer JOIN nation ON c_nationkey=n_nationkey UNION ALL SELECT 'SUPPLIER_IN', NULL, s_name, 'Supplier', n_name, 3 FROM supplier JOIN nation ON s_nationkey=n_nationkey"),
+    "path_nodes": ("MATCH p=(r:Region)<-[:IN_REGION|SUPPLIER_IN*1..2]-(x) WITH p, [n IN nodes(p) | coalesce(n.r_name, n.n_name, n.s_name)] AS names, [y IN relationships(p) | type(y)] AS types RETURN reduce(s = '', n IN names | s + '/' + n) AS names, reduce(s = '', t IN types | s + '/' + t) AS types, labels(last(nodes(p)))[0] AS l", "SELECT '/'||r_name||'/'||n_name \"names\", '/IN_REGION' \"types\", 'Nation' l FROM region JOIN nation ON n_regionkey=r_regionkey UNION ALL SELECT '/'||r_name||'/'||n_name||'/'||s_name, '/IN_REGION/SUPPLIER_IN', 'Supplier' FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey"),
+    "path_rels": ("MATCH p=(c:Customer {c_custkey: 7})-[:PLACED|CONTAINS*2]->(x) RETURN x.p_partkey AS k, [y IN relationships(p) | y.l_quantity][1] AS q, endNode(last(relationships(p))).p_name AS n", "SELECT p_partkey k, l_quantity q, p_name n FROM orders JOIN lineitem ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE o_custkey=7"),
     "pattern_comp_outer": ("MATCH (n:Nation) WITH n, n.n_nationkey * 100.0 AS least RETURN n.n_name AS n, size([(n)<-[:SUPPLIER_IN]-(s) WHERE s.s_acctbal > least | s.s_acctbal - least]) AS c", "SELECT n_name n, count(s_suppkey) c FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal>n_nationkey*100.0 GROUP BY 1"),
     "optional_pattern": ("MATCH (n:Nation) OPTIONAL MATCH (n)<-[:CUSTOMER_IN]-(c:Customer) WHERE NOT (c)-[:DID]->() AND c.c_acctbal < 0 RETURN n.n_name AS n, count(c) AS c", "SELECT n_name n, count(c_custkey) c FROM nation LEFT JOIN customer ON c_nationkey=n_nationkey AND c_acctbal<0 AND NOT EXISTS (SELECT 1 FROM events WHERE user_id=c_custkey) GROUP BY 1"),
+    "bound_rel": ("MATCH (:Customer)-[x:CUSTOMER_IN]->() WITH x MATCH (a)-[x]->(b:Nation) RETURN a.c_name AS c, b.n_name AS n", "SELECT c_name c, n_name n FROM customer JOIN nation ON c_nationkey=n_nationkey"),
+    "bound_varlen": ("MATCH (:Turn {turn:0})-[rs:NEXT*2]->() WITH rs MATCH (a)-[rs*1..3]->(b) RETURN a.conv_id AS c, a.turn AS s, b.turn AS e", "SELECT conv_id c, 0::BIGINT s, turn e FROM conversations WHERE turn=2"),
+    "varlen_branching": ("MATCH (s:Supplier {s_suppkey: 1})-[:SUPPLIER_IN|IN_REGION*1..3]-(x) RETURN labels(x)[0] AS l, count(*) AS c", "WITH me AS (SELECT n_nationkey k, n_regionkey r FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_suppkey=1) SELECT * FROM (SELECT 'Nation' l, count(*) c FROM nation JOIN me ON n_regionkey=r UNION ALL SELECT 'Supplier', count(*)-1 FROM supplier JOIN me ON s_nationkey=k UNION ALL SELECT 'Region', 1) WHERE c>0"),
+    "column_names": ("MATCH (n:Nation) RETURN n.n_regionkey, count(*), 1 + 1", "SELECT n_regionkey::BIGINT \"n.n_regionkey\", count(*) \"count(*)\", 2::BIGINT \"1 + 1\" FROM nation GROUP BY 1"),
+    "str_more": ("MATCH (p:Part) RETURN p.p_partkey AS k, char_length(p.p_name) AS a, lTrim('  ' + p.p_brand) AS b, rTrim(p.p_brand + ' ') AS c, btrim('xx' + p.p_brand + 'x', 'x') AS d, replace(p.p_brand, '', '.') AS e, size(split(p.p_name, '')) AS f, toLower(toString(p.p_retailprice > 1000)) AS g", "SELECT p_partkey k, length(p_name) a, p_brand b, p_brand c, p_brand d, '.'||array_to_string(string_split(p_brand,''),'.')||'.' e, length(p_name)::BIGINT f, (p_retailprice>1000)::VARCHAR g FROM part"),
+    "math_more": ("MATCH (p:Part) RETURN p.p_partkey AS k, round(cos(p.p_size),9) AS a, round(tan(p.p_size),6) AS b, round(cot(p.p_size),6) AS c, round(asin(p.p_size / 100.0),9) AS d, round(acos(p.p_size / 100.0),9) AS e, round(atan(p.p_size),9) AS f, round(degrees(p.p_size),6) AS g, round(e() * pi(),9) AS h", "SELECT p_partkey k, round(cos(p_size),9) a, round(tan(p_size),6) b, round(cot(p_size),6) c, round(asin(p_size/100.0::DOUBLE),9) d, round(acos(p_size/100.0::DOUBLE),9) e, round(atan(p_size),9) f, round(degrees(p_size),6) g, round(exp(1)*pi(),9) h FROM part"),
+    "round_modes": ("MATCH (p:Part) WITH p.p_partkey AS k, p.p_size / 4.0 - 5 AS x, p.p_partkey % 2 AS q RETURN k, round(x, 1, 'HALF_EVEN') AS a, round(x, 1, 'CEILING') AS b, round(x, 1, 'FLOOR') AS c, round(x, q) AS d, round(x, 1) AS e", "SELECT p_partkey k, round_even(x,1) a, ceil(x*10)/10 b, floor(x*10)/10 c, CASE WHEN p_partkey%2=0 THEN floor(x+0.5) ELSE round(x,1) END d, round(x,1) e FROM (SELECT p_partkey, p_size/4.0::DOUBLE-5 x FROM part)"),
+    "conversions_or_null": ("MATCH (p:Part) RETURN p.p_partkey AS k, toIntegerOrNull(p.p_name) AS a, toFloatOrNull(toString(p.p_size)) AS b, toBooleanOrNull([1]) AS c, toStringOrNull(p.p_size) AS d, toIntegerList(['1', 'x', toString(p.p_size)])[2] AS e, toFloatList([1, '2.5'])[1] AS f, toStringList([1, null])[0] AS g, toBooleanList(['true', 'x'])[1] AS h", "SELECT p_partkey k, NULL::BIGINT a, p_size::DOUBLE b, NULL::BOOLEAN c, p_size::VARCHAR d, p_size::BIGINT e, 2.5::DOUBLE f, '1' g, NULL::BOOLEAN h FROM part"),
+    "ids": ("MATCH (n:Nation)-[x:IN_REGION]->() RETURN count(DISTINCT id(n)) AS a, count(DISTINCT elementId(n)) AS b, min(elementId(n)) STARTS WITH 'node:' AS c, count(DISTINCT id(x)) AS d, max(elementId(x)) STARTS WITH 'relationship:' AS e", "SELECT count(*) a, count(*) b, true c, count(*) d, true e FROM nation"),
+    "random": ("UNWIND range(1, 100) AS i WITH rand() AS r, randomUUID() AS u, timestamp() AS t RETURN min(r) >= 0 AND max(r) < 1 AS a, count(DISTINCT u) AS u, min(size(u)) AS s, count(DISTINCT t) AS t", "SELECT true a, 100::BIGINT u, 36::BIGINT s, 1::BIGINT t"),
+    "literals": ("RETURN 0x1F AS a, 0o17 AS b, 1e3 AS c, 'a\\'b' AS d, \"x\" AS e, .5 AS f, size([1, 2] + 3 + [4]) AS g, {k: [1, 2]}.k[1] AS h, -(+3) AS i", "SELECT 31::BIGINT a, 15::BIGINT b, 1000.0::DOUBLE c, 'a''b' d, 'x' e, 0.5::DOUBLE f, 4::BIGINT g, 2::BIGINT h, (-3)::BIGINT i"),
+    "mixed_values": ("UNWIND [1, 'a', true, 0.5, null, 2, 'b'] AS x RETURN toString(x) AS s, valueType(x) AS t, x > 0.7 AS g, x = 2.0 AS e, x IN [1, 'b'] AS i", "SELECT * FROM (VALUES ('1','INTEGER NOT NULL',true,false,true), ('a','STRING NOT NULL',NULL,false,false), ('true','BOOLEAN NOT NULL',NULL,false,false), ('0.5','FLOAT NOT NULL',false,false,false), (NULL,'NULL',NULL,NULL,NULL), ('2','INTEGER NOT NULL',true,true,false), ('b','STRING NOT NULL',NULL,false,true)) v(s,t,g,e,i)"),
+    "mixed_order": ("UNWIND [1, 'a', true, 0.5, null, 2, 'b'] AS x WITH x ORDER BY x SKIP 1 LIMIT 3 RETURN collect(toString(x))[0] AS a, toString(min(x)) AS b, toString(max(x)) AS c, count(x) AS n", "SELECT 'b' a, 'b' b, '0.5' c, 3::BIGINT n"),
+    "mixed_property": ("MATCH (n:Region|Customer|Part) WITH CASE WHEN n.r_name IS NOT NULL THEN n.r_name WHEN n.c_acctbal > 0 THEN n.c_acctbal ELSE n.p_size END AS x RETURN valueType(x) AS t, count(*) AS c, toString(max(x)) = toString(min(x)) AS s", "SELECT * FROM (SELECT 'STRING NOT NULL' t, count(*) c, false s FROM region UNION ALL SELECT 'FLOAT NOT NULL', count(*), false FROM customer WHERE c_acctbal>0 UNION ALL SELECT 'INTEGER NOT NULL', count(*), false FROM part UNION ALL SELECT 'NULL', count(*), NULL FROM customer WHERE c_acctbal<=0) WHERE c>0"),
+    "percentile_of_rows": ("MATCH (p:Part) WITH p, 0.25 AS q RETURN p.p_brand AS b, round(percentileCont(p.p_retailprice, q),6) AS c, percentileDisc(p.p_size, q) AS d", "SELECT p_brand b, round(quantile_cont(p_retailprice,0.25),6) c, quantile_disc(p_size::BIGINT,0.25) d FROM part GROUP BY 1"),
+    "agg_distinct_more": ("MATCH (p:Part) RETURN sum(DISTINCT p.p_size) AS a, round(avg(DISTINCT p.p_size),6) AS b, size(collect(DISTINCT p.p_brand)) AS c, min(DISTINCT p.p_size) AS d", "SELECT sum(DISTINCT p_size)::BIGINT a, round(avg(DISTINCT p_size),6) b, count(DISTINCT p_brand) c, min(p_size)::BIGINT d FROM part"),
     "node_lists": ("MATCH (n:Nation)-[:IN_REGION]->(r:Region) WITH r, collect(n) AS ns UNWIND ns AS n MATCH (n)<-[:SUPPLIER_IN]-(s) RETURN r.r_name AS r, n.n_name AS n, s.s_name AS s", "SELECT r_name r, n_name n, s_name s FROM region JOIN nation ON n_regionkey=r_regionkey JOIN supplier ON s_nationkey=n_nationkey"),
     "exists_or": ("MATCH (c:Customer) WHERE c.c_acctbal < 0 OR exists((c)-[:PLACED]->()) RETURN count(*) AS c", "SELECT count(*) c FROM customer WHERE c_acctbal<0 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey=c_custkey)"),
     "pattern_comp": ("MATCH (n:Nation) RETURN n.n_name AS n, size([(n)<-[:SUPPLIER_IN]-(s) WHERE s.s_acctbal > 0 | s.s_suppkey]) AS c", "SELECT n_name n, count(s_suppkey) c FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey AND s_acctbal>0 GROUP BY 1"),
@@ -159,6 +176,10 @@ UPDATES: dict[str, tuple[str, str, str]] = {
     "mutate_fold": ("MATCH (s:Supplier)-[:SUPPLIER_IN]->(n:Nation) SET n.total = coalesce(n.total, 0) + s.s_suppkey, n.seen = n.total >= 50", "MATCH (n:Nation) RETURN n.n_name AS n, n.total AS t, n.seen AS s", "SELECT n_name n, sum(s_suppkey)::BIGINT t, sum(s_suppkey) >= 50 s FROM nation LEFT JOIN supplier ON s_nationkey=n_nationkey GROUP BY 1"),
     "mutate_merge_count": ("MATCH (n:Nation) MERGE (g:Group {k: n.n_nationkey % 4}) ON CREATE SET g.n = 1 ON MATCH SET g.n = g.n + 1", "MATCH (g:Group) RETURN g.k AS k, g.n AS n", "SELECT (n_nationkey%4)::BIGINT k, count(*) n FROM nation GROUP BY 1"),
     "mutate_key": ("MATCH (r:Region) SET r['rank_' + toString(r.r_regionkey % 2)] = r.r_regionkey", "MATCH (r:Region) RETURN r.r_name AS n, r.rank_0 AS a, r.rank_1 AS b", "SELECT r_name n, (CASE WHEN r_regionkey%2=0 THEN r_regionkey END)::BIGINT a, (CASE WHEN r_regionkey%2=1 THEN r_regionkey END)::BIGINT b FROM region"),
+    "mutate_map": ("MATCH (r:Region) SET r = {r_name: r.r_name, k: r.r_regionkey}", "MATCH (r:Region) RETURN r.r_name AS n, r.k AS k, r.r_regionkey IS NULL AS gone", "SELECT r_name n, r_regionkey::BIGINT k, true gone FROM region"),
+    "mutate_add_map": ("MATCH (r:Region) SET r += {k: 1, r_regionkey: null}", "MATCH (r:Region) RETURN r.r_name AS n, r.k AS k, size(keys(r)) AS s", "SELECT r_name n, 1::BIGINT k, 2::BIGINT s FROM region"),
+    "mutate_order": ("UNWIND [3, 1, 2] AS i MATCH (r:Region) SET r.last = i", "MATCH (r:Region) RETURN r.r_name AS n, r.last AS k", "SELECT r_name n, 2::BIGINT k FROM region"),
+    "mutate_statements": ("CREATE (:S {k: 1}); MATCH (s:S) SET s.k = s.k + 1; CREATE (:S {k: 5}) FINISH", "MATCH (s:S) RETURN s.k AS k", "SELECT unnest([2::BIGINT,5]) k"),
     "mutate_foreach": ("MATCH (r:Region) FOREACH (i IN range(1, r.r_regionkey) | CREATE (:Mark {of: r.r_name, i: i}))", "MATCH (m:Mark) RETURN m.of AS o, count(*) AS c", "SELECT r_name o, r_regionkey::BIGINT c FROM region WHERE r_regionkey>0"),
 }
 
@@ -194,6 +215,56 @@ def selection_edge_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.edge_filtered(g).cypher("MATCH (n)-[x]->(r) RETURN type(x) AS t, count(*) AS c").df
 
 
+def parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "MATCH (c:Customer $at) WHERE c.c_acctbal > $least AND c.c_mktsegment IN $segments RETURN c.c_custkey AS k, $least AS l"
+    return graph_of(spark, sf_dir).cypher(text, {"at": {"c_nationkey": 3}, "least": 10.5, "segments": ["BUILDING", "MACHINERY"]}).df
+
+
+def script_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = PropertyGraph.from_cypher(spark, "CREATE (a:Stop {n: 1})-[:TO {w: 2}]->(b:Stop {n: 2})-[:TO {w: 3}]->(a), (b)-[:TO {w: 5}]->(:Stop {n: 3})")
+    return g.cypher("MATCH (a:Stop)-[rs:TO*1..3]->(b) RETURN a.n AS a, b.n AS b, reduce(s = 0, r IN rs | s + r.w) AS w").df
+
+
+def failed_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that fails leaves the graph as it was."""
+    g = graph_of(spark, sf_dir)
+    try:
+        g.cypher_mut("MATCH (r:Region) CREATE (:New) SET r.r_name = 'x' RETURN 1 / (r.r_regionkey - r.r_regionkey) AS x")
+    except DivisionByZero:
+        pass
+    return g.cypher("MATCH (r:Region) OPTIONAL MATCH (n:New) RETURN r.r_name AS n, count(n) AS c").df
+
+
+#: Queries that are refused, and the kind of error.
+REFUSED = {
+    "CALL db.labels()": "Unsupported", "LOAD CSV FROM 'x' AS l RETURN l": "Unsupported", "MATCH p = shortestPath((a)-[*]->(b)) RETURN p": "Unsupported", "RETURN 'a' =~ 'b' AS x": "Unsupported", "RETURN 'a' || 'b' AS x": "Unsupported",
+    "RETURN 1 IS :: INTEGER AS x": "Unsupported", "MATCH (n) WHERE EXISTS { (n)-->() } RETURN n": "Unsupported", "RETURN 1 AS x UNION RETURN 2 AS x UNION ALL RETURN 3 AS x": "InvalidQuery", "RETURN 1 AS x UNION RETURN 2 AS y": "InvalidQuery", "RETURN count(1, 2) AS x": "InvalidQuery",
+    "RETURN foo(1) AS x": "Unsupported", "RETURN size() AS x": "InvalidQuery", "CREATE (n:X)": "InvalidQuery", "MATCH (n) RETURN m": "InvalidQuery", "RETURN $p AS x": "InvalidQuery", "RETURN 1 +": "ParseError", "MATCH (n) WITH n.x RETURN 1 AS x": "InvalidQuery", "RETURN 1 AND true AS x": "TypeMismatch",
+}
+#: Updates that fail as they run.
+FAILING = {
+    "MATCH (r:Region) DETACH DELETE r RETURN r.r_name AS n": "QueryRuntimeError", "MATCH (r:Region) DETACH DELETE r RETURN labels(r) AS l": "QueryRuntimeError", "MATCH (r:Region) DELETE r": "QueryRuntimeError",
+    "MATCH (r:Region) SET r.m = {a: 1}": "TypeMismatch", "MERGE (:X {k: null})": "QueryRuntimeError", "MATCH (r:Region) SET r.x = 1 / (r.r_regionkey - r.r_regionkey)": "DivisionByZero",
+}
+
+
+def refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g, found = graph_of(spark, sf_dir), []
+    for text in REFUSED:
+        try:
+            g.cypher(text)
+            found.append((text, "none"))
+        except CypherError as e:
+            found.append((text, type(e).__name__))
+    for text in FAILING:
+        try:
+            g.cypher_mut(text)
+            found.append((text, "none"))
+        except CypherError as e:
+            found.append((text, type(e).__name__))
+    return spark.createDataFrame(found, "q string, kind string")
+
+
 def export_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph_of(spark, sf_dir).cypher_select("MATCH (r:Region) RETURN r").subgraph(graph_of(spark, sf_dir))[0]
     return script_lines(g).select("line")
@@ -216,11 +287,15 @@ def graph_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(g).agg(F.count("*").alias("nodes"), F.count_distinct("component").alias("components"))
 
 
-QUERIES = {n: _read(t) for n, (t, _) in CATALOGUE.items()} | {n: _update(c, t) for n, (c, t, _) in UPDATES.items()} | {f.__name__: f for f in (selection_induced, selection_subgraph, selection_edge_filtered, export_script, graph_reachable, graph_components)}
+QUERIES = {n: _read(t) for n, (t, _) in CATALOGUE.items()} | {n: _update(c, t) for n, (c, t, _) in UPDATES.items()} | {f.__name__: f for f in (selection_induced, selection_subgraph, selection_edge_filtered, parameters, script_source, failed_update, refusals, export_script, graph_reachable, graph_components)}
 ORACLES = {n: s for n, (_, s) in CATALOGUE.items()} | {n: s for n, (_, _, s) in UPDATES.items()} | {
     "selection_induced": "SELECT n_name n, r_name r FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey<10",
     "selection_subgraph": "SELECT n_name n, 1::BIGINT c FROM nation WHERE n_nationkey<10 UNION ALL SELECT DISTINCT r_name, 0::BIGINT FROM nation JOIN region ON n_regionkey=r_regionkey WHERE n_nationkey<10",
     "selection_edge_filtered": "SELECT 'IN_REGION' t, count(*) c FROM nation WHERE n_nationkey<10",
+    "parameters": "SELECT c_custkey k, 10.5::DOUBLE l FROM customer WHERE c_nationkey=3 AND c_acctbal>10.5 AND c_mktsegment IN ('BUILDING','MACHINERY')",
+    "script_source": "SELECT unnest([1,1,1,2,2,2,2])::BIGINT a, unnest([2,1,3,1,3,2,3])::BIGINT b, unnest([2,5,7,3,5,5,10])::BIGINT w",
+    "failed_update": "SELECT r_name n, 0::BIGINT c FROM region",
+    "refusals": "SELECT * FROM (VALUES " + ", ".join("('" + q.replace("'", "''") + f"', '{kind}')" for q, kind in (REFUSED | FAILING).items()) + ") v(q, kind)",
     "export_script": "SELECT 'CREATE (n' || (row_number() OVER (ORDER BY r_regionkey)-1) || ':Region {r_name: ''' || r_name || ''', r_regionkey: ' || r_regionkey || '})' line FROM region",
     "graph_reachable": "WITH s AS (SELECT * FROM supplier), n AS (SELECT DISTINCT n_nationkey k, n_regionkey r FROM s JOIN nation ON s_nationkey=n_nationkey) SELECT (SELECT count(*) FROM s)+(SELECT count(*) FROM n)+(SELECT count(DISTINCT r) FROM n) c",
     "graph_components": "SELECT (SELECT count(*) FROM customer)+(SELECT count(*) FROM nation) nodes, (SELECT count(DISTINCT (c_nationkey, c_mktsegment)) FROM customer)+(SELECT count(*) FROM nation) components",

@@ -91,7 +91,7 @@ def test_unknown_parts_are_refused_and_never_null(g, text):
     ("CASE 2 WHEN 1 THEN 'a' WHEN 2 THEN 'b' END", "b"), ("CASE WHEN null THEN 1 ELSE 2.5 END", 2.5), ("coalesce(null, 3)", 3), ("nullIf(1, 1.0)", None), ("valueType(null)", "NULL"), ("valueType([1])", "LIST<INTEGER NOT NULL> NOT NULL"),
     ("range(3, 1)", []), ("range(5, 1, -2)", [5, 3, 1]), ("substring('hello', 1, 3)", "ell"), ("left('hello', 2)", "he"), ("split('a,b;c', [',', ';'])", ["a", "b", "c"]), ("replace('aba', 'a', '')", "b"), ("trim('\\t x ')", "x"), ("btrim('xxaxx', 'x')", "a"), ("reverse([1,2])", [2, 1]),
     ("toInteger('2.7')", 2), ("toInteger('x')", None), ("toFloat('1e2')", 100.0), ("toBoolean(' TRUE ')", True), ("toString(10000000.0)", "10000000.0"), ("toString(1e20)", "1e20"), ("toStringList([1, null, 2])", ["1", None, "2"]), ("toIntegerOrNull([1])", None),
-    ("round(-1.5)", -1.0), ("round(2.5)", 3.0), ("round(2.675, 2)", 2.68), ("round(1.25, 1, 'HALF_EVEN')", 1.2), ("ceil(1.2)", 2.0), ("floor(-1.2)", -2.0), ("sign(-3)", -1), ("log(0)", -math.inf), ("abs(-4)", 4), ("size('日本')", 2), ("isEmpty('')", True), ("isNaN(0.0/0.0)", True), ("{a: 1}.a", 1), ("{a: 1}['a']", 1), ("keys({b: 1, a: null})", ["a", "b"]), ("0x1F + 0o17", 46), ("'\\u0041'", "A"),
+    ("round(-1.5)", -1.0), ("round(2.5)", 3.0), ("round(2.675, 2)", 2.68), ("round(1.25, 1, 'HALF_EVEN')", 1.2), ("round(1250.0, -2, 'HALF_EVEN')", 1200.0), ("round(1260.0, -2)", 1300.0), ("round(-1.5, 0)", -1.0), ("ceil(1.2)", 2.0), ("floor(-1.2)", -2.0), ("sign(-3)", -1), ("log(0)", -math.inf), ("abs(-4)", 4), ("size('日本')", 2), ("isEmpty('')", True), ("isNaN(0.0/0.0)", True), ("{a: 1}.a", 1), ("{a: 1}['a']", 1), ("keys({b: 1, a: null})", ["a", "b"]), ("0x1F + 0o17", 46), ("'\\u0041'", "A"),
 ])
 def test_expressions(g, expr, want):
     got = rows(g, f"RETURN {expr} AS v")[0][0]
