@@ -193,6 +193,7 @@ def _scan(rows: DataFrame, chunk: list, window: int, last: bool) -> DataFrame:
     held, token = rows.sparkSession.sparkContext.broadcast(chunk), uuid.uuid4().hex
 
     def run(batches):
+        common.claim("decontaminate", _built.clear)
         if token not in _built:
             _built.clear()
             _built[token] = Automaton(held.value, window)
@@ -246,6 +247,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", window: int
         held, token = rows.sparkSession.sparkContext.broadcast(chunk), uuid.uuid4().hex
 
         def run(batches):
+            common.claim("decontaminate", _built.clear)
             if token not in _built:
                 _built.clear()
                 _built[token] = Automaton(held.value, window)

@@ -214,6 +214,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, similarity: float) ->
     rows = docs.select(own_id.alias("i"), own_text.alias("x"), F.col(text_col).alias("t"))
 
     def sketches(batches):
+        common.claim("near_dedup", _hashes.clear)
         for whole in batches:
             for batch in common.slices(whole, "t"):
                 keys, made = [], []
@@ -410,6 +411,7 @@ def _unsettled(h, ids, parts, raw, similarity: float, nearest: bool = False):
 
 
 def _arrays(batches):
+    common.claim("near_dedup", _hashes.clear)
     for whole in batches:
         for batch in common.slices(whole, "t"):
             w = [(word_hashes(words(t)) & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes() for t in batch.column("t").to_pylist()]

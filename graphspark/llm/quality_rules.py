@@ -29,6 +29,8 @@ from graphspark.llm import common
 MIN_WORDS, MAX_REPEATED, WINDOW = 20, 30, 8
 #: Bins of the word histogram, and the longest word that counts as a common word.
 COMMON, COMMON_BYTES = 40, 8
+#: Different words that a task counts before it passes the counts on.
+HELD_WORDS = 100_000
 #: Distances beyond which a document is rejected, and the words that it must have to be judged by each.
 CLASS_LIMIT, CLASS_GUARD, WORD_LIMIT, WORD_GUARD = 0.3, 60, 0.33, 120
 
@@ -79,28 +81,35 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", commo
     """References from all documents that name a language: a few rows for each language reach the driver."""
 
     def run(batches):
+        common.claim("quality_rules")
+        words: dict[str, Counter] = {}
+        classes: dict[str, np.ndarray] = {}
         for whole in batches:
-            words: dict[str, Counter] = {}
-            classes: dict[str, np.ndarray] = {}
             for batch in common.slices(whole, "t"):
                 for lang, text in zip(batch.column("l").to_pylist(), batch.column("t").to_pylist()):
                     if text:
                         raw = text.encode()
                         classes[lang] = classes.get(lang, 0) + np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
                         words.setdefault(lang, Counter()).update(raw.split())
-            rows = []
-            for lang, counts in words.items():
-                rows += [(lang, 0, str(k), int(n)) for k, n in enumerate(classes[lang] @ _FOLD)]
-                short: Counter = Counter()
-                total = 0
-                for w, n in counts.items():
-                    total += n
-                    if len(w) <= COMMON_BYTES and (s := w.decode("utf-8", "ignore")).isalpha():
-                        short[s.lower()] += n
-                rows.append((lang, 1, "", total))
-                rows += [(lang, 2, w, n) for w, n in short.items()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "kind", "key", "n"])
+                if sum(map(len, words.values())) >= HELD_WORDS:
+                    yield from counted(words, classes)
+                    words, classes = {}, {}
+        yield from counted(words, classes)
+
+    def counted(words: dict, classes: dict):
+        rows = []
+        for lang, counts in words.items():
+            rows += [(lang, 0, str(k), int(n)) for k, n in enumerate(classes[lang] @ _FOLD)]
+            short: Counter = Counter()
+            total = 0
+            for w, n in counts.items():
+                total += n
+                if len(w) <= COMMON_BYTES and (s := w.decode("utf-8", "ignore")).isalpha():
+                    short[s.lower()] += n
+            rows.append((lang, 1, "", total))
+            rows += [(lang, 2, w, n) for w, n in short.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "kind", "key", "n"])
 
     common.importable(docs.sparkSession)
     seen = docs.select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t")).where("l is not null and t is not null")
@@ -218,6 +227,7 @@ class Judge:
 
 def judge(docs: DataFrame, refs: References, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     def make():
+        common.claim("quality_rules")
         judged = Judge(refs, **limits)
         return lambda keys, texts: {"doc_id": keys, **judged(texts)}
 
@@ -228,6 +238,7 @@ def keep(docs: DataFrame, refs: References, text_col: str = "text", **limits) ->
     """The documents that pass, with all their columns."""
 
     def run(batches):
+        common.claim("quality_rules")
         judged = Judge(refs, **limits)
         for whole in batches:
             for batch in common.slices(whole, text_col):

@@ -239,6 +239,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = _keyed(docs, id_col, text_col)
 
     def sample(batches):
+        common.claim("suffix_dedup")
         for whole in batches:
             for batch in common.slices(whole, "t"):
                 cols: list[list] = [[], [], [], [], []]

@@ -20,6 +20,8 @@ from array import array
 import numpy as np
 import regex
 
+from graphspark.llm import common
+
 #: Chunks kept by one worker process before the memo starts anew.
 MEMO = 350_000
 #: Characters on which definitions of white space differ: such texts go to the library whole.
@@ -99,6 +101,7 @@ class Encoder:
     @classmethod
     def of(cls, path: str | None = None, added: tuple[str, ...] = ()) -> "Encoder":
         """One encoder for each worker process."""
+        common.claim("tokens", _kept.clear)
         if (path, added) not in _kept:
             _kept[path, added] = cls(path, added)
         return _kept[path, added]
@@ -127,7 +130,7 @@ class Encoder:
     def _after(self, piece: str):
         if not piece or piece[0].isspace() or piece[-1].isspace():
             raise _Again
-        return self.words[" " + piece] if piece.isalpha() else self._chunk(" " + piece)
+        return self._word(" " + piece) if piece.isalpha() else self._chunk(" " + piece)
 
     def _parts(self, text: str) -> list[bytes] | None:
         """Ids of the chunks of a text; None where the library has to see the whole."""
