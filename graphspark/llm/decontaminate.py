@@ -52,11 +52,11 @@ class Automaton:
         self.ends: dict[int, set] = {}  # items that have the state's words somewhere, by prefix state first
         self.short: dict[int, set] = {}  # items that are a window themselves
         self.least = window
-        names: dict[int, str] = {}
-        for k, (name, own) in enumerate(items):
-            if not own:
-                continue
-            names[k] = name
+        same: dict[tuple, list[str]] = {}  # items of equal words are one, however many there are
+        for name, own in items:
+            if own:
+                same.setdefault(tuple(own), []).append(name)
+        for k, own in enumerate(same):
             last = 0
             for w in own:
                 last = self._extend(last, self.vocab.setdefault(w, len(self.vocab)))
@@ -64,7 +64,7 @@ class Automaton:
             if len(own) < window:
                 self.short.setdefault(last, set()).add(k)
                 self.least = min(self.least, len(own))
-        self.names = names
+        self.names = list(same.values())
         for v in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
             if v in self.ends and self.len[self.link[v]] >= window:  # shorter states' items are never asked for
                 self.ends.setdefault(self.link[v], set()).update(self.ends[v])
@@ -134,7 +134,7 @@ class Automaton:
             for lo, hi in zip(edge[::2].tolist(), edge[1::2].tolist()):  # only words of the items can match
                 if hi - lo >= self.least:
                     self._run(ids[lo:hi].tolist(), lo, runs, found)
-        return np.array(runs, dtype=np.int64).reshape(-1, 2), {self.names[k] for k in found}
+        return np.array(runs, dtype=np.int64).reshape(-1, 2), {name for k in found for name in self.names[k]}
 
     def _run(self, ids: list[int], base: int, runs: list, found: set) -> None:
         nxt, link, ln, least, window = self.next, self.link, self.len, self.least, self.window
