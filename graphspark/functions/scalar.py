@@ -367,13 +367,16 @@ def _properties(v: Val) -> Val:
     need(v, "node", "rel", "map", what="properties")
     if v.t.kind in ("null", "map"):
         return v
-    return Val(map_of(dict(v.t.fields)), living(known(v), v.column()["properties"]))
+    return Val(T("map", fields=v.t.fields, spark="sparse"), living(known(v), v.column()["properties"]))
 
 
 def _keys(v: Val) -> Val:
     need(v, "node", "rel", "map", what="keys")
     if v.t.kind == "null":
         return null_of(list_of(STR))
+    if v.t.kind == "map" and v.t.spark == "sparse":
+        c = v.column()
+        return Val(list_of(STR), F.when(c.isNotNull(), F.array_compact(F.array(*[F.when(c[k].isNotNull(), k) for k, _ in v.t.fields])) if v.t.fields else F.array().cast("array<string>")))
     if v.t.kind == "map":
         return Val(list_of(STR), F.when(v.column().isNotNull(), F.array(*[F.lit(k) for k, _ in v.t.fields]).cast("array<string>")))
     props = [(k, v.elem.at(f"p_{k}") if v.elem is not None else v.column()["properties"][k]) for k, _ in known(v).t.fields]

@@ -636,6 +636,9 @@ def prepared(frame: Frame, exprs: list[N], known: dict[int, Val] | None = None)
                 frame, known[id(e)] = _tested(frame, e)
             elif e.kind == "pattern_comprehension":
                 frame, known[id(e)] = _collected(frame, e)
+            elif e.kind in ("comprehension", "quantifier", "reduce"):
+                frame, ends = _of_items(frame, e, known)
+                known |= ends
             elif _ends_asked(e) and len(e.args) == 1 and id(e) not in ids_only:
                 fields = _asked(root, e)
                 key = e.text, fields
@@ -695,6 +698,11 @@ def _looked_up(frame: Frame, e: N, fields: frozenset | None, known: dict) -> tup
             elem, scan = _named("rel", elem.prefix, parts, tables)
     if fields is not None:
         elem = replace(elem, props={k: t for k, t in elem.props.items() if k in fields})
+    return _lists_of(frame, ids, elem, scan)
+
+
+def _lists_of(frame: Frame, ids: Column, elem: Elem, scan: DataFrame) -> tuple[Frame, Val]:
+    """The scan's elements in the place of each list of ids."""
     name, one, at, item = (frame.fresh(k) for k in ("ids", "one", "at", "items"))
     df = frame.rows().withColumn(name, ids)
     value = Val(elem_type(elem), elem=elem)
@@ -707,6 +715,27 @@ def _looked_up(frame: Frame, e: N, fields: frozenset | None, known: dict) -> tup
     return replace(frame, df=df), Val(t, F.when(F.col(name).isNotNull(), F.coalesce(F.col(item), F.array().cast(sql(t)))))
 
 
+def _of_items(frame: Frame, e: N, known: dict) -> tuple[Frame, dict]:
+    """The ends of a list expression's own relationships: a map of their nodes in each row, looked up inside the expression."""
+    inner = [getattr(e, part) for part in ("where", "body") if getattr(e, part, None) is not None]
+    calls = [c for x in inner for c in walk(x) if c.kind == "call" and c.name in ("startnode", "endnode") and len(c.args) == 1 and c.args[0].kind == "var" and c.args[0].name == e.var and id(c) not in known]
+    if not calls:
+        return frame, {}
+    try:
+        v = frame.compiler(known)(e.source)
+    except InvalidQuery:
+        return frame, {}
+    if v.t.kind != "list" or v.t.elem.kind != "rel" or v.t.elem.spark == "bare":
+        return frame, {}
+    rels, name = v.column(), frame.fresh("ends")
+    node, scan = scan_nodes(frame, None)
+    ids = F.array_sort(F.array_distinct(F.concat(F.transform(rels, lambda r: r["src"]), F.transform(rels, lambda r: r["dst"]))))
+    frame, found = _lists_of(frame, ids, node, scan)
+    frame = replace(frame, df=frame.rows().withColumn(name, F.map_from_entries(F.transform(found.column(), lambda n: F.struct(n["id"].alias("key"), n.alias("value"))))))
+    end = lambda c: lambda compiler: Val(found.t.elem, F.try_element_at(F.col(name), compiler(c.args[0]).column()["src" if c.name == "startnode" else "dst"]))
+    return frame, {id(c): end(c) for c in calls}
+
+
 def _longer(path: Path) -> bool:
     """Whether every node of the path is the end of one of its relationships: not if it can have none."""
     return any(not isinstance(r, tuple) or r[1] > 0 for r in path.rels)

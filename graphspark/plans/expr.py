@@ -28,7 +28,8 @@ def has_aggregate(e: N) -> bool:
 class Compiler:
     """Compiles expressions in one scope.
 
-    ``known`` maps nodes by identity to values made beforehand (aggregates, pattern expressions).
+    ``known`` maps nodes by identity to values made beforehand (aggregates, pattern expressions), or to functions of
+    the compiler that give them.
     """
 
     def __init__(self, scope: dict[str, Val], params: dict, known: dict[int, Val] | None = None):
@@ -39,7 +40,8 @@ class Compiler:
 
     def __call__(self, e: N) -> Val:
         if id(e) in self.known:
-            return self.known[id(e)]
+            found = self.known[id(e)]
+            return found(self) if callable(found) else found
         return getattr(self, f"_{e.kind}")(e)
 
     def condition(self, e: N) -> Column:

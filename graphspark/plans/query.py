@@ -48,8 +48,9 @@ def _plain(v, t: T | None = None):
     if hasattr(v, "asDict"):
         fields = dict(t.fields) if t is not None else {}
         if t is not None and t.kind in ("node", "rel"):
-            return {k: _plain(x, T("map", fields=t.fields) if k == "properties" else None) for k, x in v.asDict().items()}
-        return {k: _plain(x, fields.get(k)) for k, x in v.asDict().items()}
+            return {k: _plain(x, T("map", fields=t.fields, spark="sparse") if k == "properties" else None) for k, x in v.asDict().items()}
+        sparse = t is not None and t.spark == "sparse"
+        return {k: _plain(x, fields.get(k)) for k, x in v.asDict().items() if x is not None or not sparse}
     return [_plain(x, t.elem if t is not None else None) for x in v] if isinstance(v, list) else v
 
 

@@ -13,7 +13,10 @@ from graphspark.errors import TypeMismatch, Unsupported
 
 @dataclass(frozen=True)
 class T:
-    """kind: null bool int float str dyn list map node rel path other; elem of lists; fields of maps, nodes, rels."""
+    """kind: null bool int float str dyn list map node rel path other; elem of lists; fields of maps, nodes, rels.
+
+    A map of the spark type "sparse" has no key whose value is null.
+    """
 
     kind: str
     elem: "T | None" = None
