@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphspark.errors import InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
-from graphspark.operators.pattern import Frame, Match, free_names, prepared, with_numbers
+from graphspark.operators.pattern import Frame, Match, check_patterns, free_names, prepared, with_numbers
 from graphspark.plans.durable import persisted
 from graphspark.plans.expr import Compiler
 from graphspark.plans.parser import N, walk
@@ -112,6 +112,8 @@ class Changes:
     # -- MERGE
     def _merge(self, frame: Frame, c: N) -> Frame:
         part = c.part
+        if not part.rels and part.nodes[0].var in frame.scope:
+            raise InvalidQuery(f"VariableAlreadyBound {part.nodes[0].var}")
         for x in [*part.nodes, *part.rels]:
             if x.props is not None and x.props.kind == "map":
                 for k, e in x.props.pairs:
@@ -276,6 +278,8 @@ class Changes:
         self.graph = replace(self.graph, **{"nodes" if kind == "node" else "rels": tables})
 
     def _assign(self, frame: Frame, i: N) -> Frame:
+        if isinstance(getattr(i, "expr", None), N):
+            check_patterns(i.expr)
         frame, found = prepared(frame, [x for x in (getattr(i, "expr", None), getattr(i, "key", None)) if isinstance(x, N)])
         if i.kind == "set_index" and frame.compiler(found)(i.key).const is None:
             return self._by_key(frame, i, found)

@@ -174,6 +174,9 @@ class Match:
         names = [r.var for _, _, r, *_ in pending if r.var]
         if len(names) != len(set(names)):
             raise InvalidQuery("RelationshipUniquenessViolation")
+        paths = [p.path for p in self.parts if p.path]
+        if clash := ({*names} & {*keys}) | ({*paths} & ({*keys} | {*names})):
+            raise InvalidQuery(f"VariableTypeConflict {', '.join(sorted(clash))}")
         df = f.df
         for key in list(self.elems):
             df = self._node_tests(df if df is not None else f.rows(), key, keys.get(key, []), bound=True)
@@ -249,13 +252,8 @@ class Match:
         if props is None:
             return []
         if props.kind == "param":
-            value = self.frame.params.get(props.name)
-            if value is None:
-                return []
-            if not isinstance(value, dict):
-                raise TypeMismatch("a pattern takes a map")
-            pairs = [(k, N("lit", value=x)) for k, x in value.items()]
-        elif props.kind == "map":
+            raise InvalidQuery("InvalidParameterUse: a parameter in the place of a pattern's properties")
+        if props.kind == "map":
             pairs = props.pairs
         else:
             raise Unsupported("properties that are not a map")
@@ -615,6 +613,21 @@ def _check_bound(frame: Frame, e: N) -> None:
             raise InvalidQuery(f"UndefinedVariable {n}")
 
 
+def check_patterns(e: N, predicate: bool = False) -> None:
+    """A pattern stands only where a predicate does, or inside exists()."""
+    if e.kind == "pattern":
+        if not predicate:
+            raise InvalidQuery(f"UnexpectedSyntax: a pattern is no value: {e.text}")
+    elif e.kind == "call" and e.name == "exists":
+        for c in e.children():
+            check_patterns(c, True)
+    elif e.kind == "paren":
+        check_patterns(e.a, predicate)
+    elif e.kind != "pattern_comprehension":
+        for c in e.children():
+            check_patterns(c, e.kind in ("and", "or", "xor", "not", "case", "comprehension", "quantifier"))
+
+
 def _ends_asked(e: N) -> bool:
     return e.kind == "call" and e.name in ("startnode", "endnode", "nodes", "relationships", "rels")
 

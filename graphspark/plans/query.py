@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphspark.errors import CypherError, DivisionByZero, InvalidQuery, QueryRuntimeError, TypeMismatch, Unsupported
 from graphspark.functions import aggregates
-from graphspark.operators.pattern import Frame, Match, filtered, free_names, optional, prepared
+from graphspark.operators.pattern import Frame, Match, check_patterns, filtered, free_names, optional, prepared
 from graphspark.plans.expr import AGGREGATES, NOW, has_aggregate, is_aggregate
 from graphspark.plans.parser import N, parse, walk
 from graphspark.plans.types import DYN, INT, Path, T, Val, coerce, elem_type, list_of, unify
@@ -269,6 +269,10 @@ def project(frame: Frame, c: N) -> tuple[Frame, list[str]]:
     for i in c.items:
         if c.kind == "with" and i.alias is None and i.expr.kind != "var":
             raise InvalidQuery(f"NoExpressionAlias {i.text}")
+    for _, e in items:
+        check_patterns(e)
+        if any(has_aggregate(x.where or N("lit", value=None)) or x.kind == "comprehension" and x.body is not None and has_aggregate(x.body) for x in walk(e) if x.kind in ("comprehension", "quantifier")):
+            raise InvalidQuery("InvalidAggregation inside a list expression")
     names = [n for n, _ in items]
     if len(set(names)) != len(names):
         raise InvalidQuery("ColumnNameConflict")
