@@ -92,7 +92,7 @@ def unify(a: T, b: T) -> T:
     if a.kind == b.kind == "list":
         return list_of(unify(a.elem, b.elem))
     if "bare" in (a.spark, b.spark) and a.kind == b.kind:
-        return BARE
+        return T(a.kind, spark="bare")
     if a.kind == b.kind and a.kind in ("map", "node", "rel"):
         x, y = dict(a.fields), dict(b.fields)
         return T(a.kind, fields=tuple(sorted((k, unify(x.get(k, NULL), y.get(k, NULL))) for k in {*x, *y})))
