@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import uuid
@@ -37,7 +38,16 @@ def claim(owner: str, clear: Callable[[], None] = lambda: None) -> None:
     _memos[owner] = clear
     if others:
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as worker processes live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -325,6 +325,8 @@ def _of_buckets(batches, names: list[str], work):
             yield from work(h[:cut], ids[:cut], *(x[:cut] for x in cols))
     if held:
         yield from work(held[0], held[1], *held[2])
+    held = None
+    common.release()
 
 
 def _groups(h: np.ndarray) -> list[tuple[int, int]]:

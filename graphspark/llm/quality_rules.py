@@ -95,6 +95,8 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", commo
                     yield from counted(words, classes)
                     words, classes = {}, {}
         yield from counted(words, classes)
+        words, classes = {}, {}
+        common.release()
 
     def counted(words: dict, classes: dict):
         rows = []

@@ -51,7 +51,7 @@ from graphspark.llm.difference_cover import edges
 
 LENGTH, GRAM = 100, 24
 #: Window starts of one block, and context bytes that are sorted at once (whole groups).
-BLOCK, SORT_BYTES = 100_000, 3_000_000
+BLOCK, SORT_BYTES = 100_000, 1_000_000
 #: Context bytes of a group that one task may hold.
 GROUP_BYTES = 4_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -267,6 +267,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 key = ((d ^ lo).view(np.uint64) * np.uint64(_BASE)).view(np.int64)  # any, to spread them
                 left = np.concatenate([alone, got[:, ~again]], axis=1)
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(x)) for x in zip(left, (key, np.zeros_like(d), d, m, lo))), pa.concat_arrays([pa.nulls(left.shape[1], pa.binary()), _packed_repeats(n, sd, sm, so)])], names=["h", "c", "d", "m", "s", "x"])
+        common.release()
 
     runs = rows.mapInArrow(sample, _ROW).repartition("h").sortWithinPartitions("h", "c", "d", "m", "s").mapInArrow(_sift, "kind int, h long, d long, m long, s long, x binary")
     runs = common.persisted(runs, "repeats")
@@ -488,6 +489,8 @@ def _sorted(length: int, group_bytes: int):
                 held, size, passing = [], 0, int(k[-1])
         if held:
             yield from groups(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        held = []
+        common.release()
 
     def groups(batch: pa.RecordBatch):
         """Rows of whole groups: those of one row repeat nothing, large ones go on, the others are sorted."""
