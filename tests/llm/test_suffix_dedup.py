@@ -161,3 +161,14 @@ def test_equal_hashes_of_unlike_strings_stop_the_job(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(c) for c in list(zip(*rows))[:7]], names=["k", "kind", "d", "m", "s", "n", "b"])
     with pytest.raises(RuntimeError, match="unlike"):
         list(s._sorted(100, 10**6)([batch]))
+
+
+def test_columns_named_as_the_operator_names_its_own(spark):
+    rnd = random.Random(19)
+    text = "".join(rnd.choice("abcdefg ") for _ in range(220))
+    rows = [(1, text, 0, "x", 7), (2, "zz" + text, 0, "y", 8)]
+    frame = spark.createDataFrame(rows, "d long, m string, spans int, t string, lo long")
+    kept = {r.d: r for r in s.clean(frame, "d", "m").collect()}
+    assert kept[1].m == text and kept[2].m == "zz" and (kept[2].t, kept[2].lo, kept[2].spans) == ("y", 8, 0)
+    assert s.clean(frame, "d", "m").columns == frame.columns
+    assert {(r.doc_id, r.n_removed) for r in s.digest(frame, "d", "m").collect()} == {(1, 0), (2, 220)}
