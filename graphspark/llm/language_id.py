@@ -139,7 +139,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     pool = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col, folds, fold)).select(F.col(id_col).alias("i"), F.col(lang_col).cast("string").alias("lang"), key.alias("h"))
     # rows of a language below a hash bound that leaves about twice MOST_DOCS of them: a common language is no large group
     bounds = pool.groupBy("lang").count().select("lang", (F.lit(2.0 * MOST_DOCS) / F.col("count")).alias("share"))
-    few = pool.join(bounds, "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    # a row a language, as in the model itself; so the pool is not dealt by language
+    few = pool.join(F.broadcast(bounds), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30))
     ids = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "i"))).where(F.col("r") <= MOST_DOCS).select("i", "lang", "r")
     # at most MOST_DOCS ids a language; the texts stay where they are until then
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("lang")).join(F.broadcast(ids), ["i", "lang"]).orderBy("r", "lang", "i")
