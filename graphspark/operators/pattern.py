@@ -36,6 +36,7 @@ class Frame:
     used: set | None = None  # variables of which more than the id is asked; None: all
     seq: list[tuple[str, bool]] = field(default_factory=list)  # columns that order the rows (ascending?), where updates need that
     ordered: bool = False  # whether the query updates
+    grain: str | None = None  # prefix of a node that no two rows share, if one is known: plans choose by it, results do not
 
     def rows(self) -> DataFrame:
         return self.df if self.df is not None else self.graph.spark.range(1).select()
@@ -148,6 +149,7 @@ class Match:
         self.elems: dict[str, Elem] = {}
         self.rel_values: list = []  # (types or None, id column or array of them)
         self.deferred: list[Column] = []
+        self.grain: str | None = None  # the node that no two rows share
         self.conditions = Compiler({**(outer or {}), **frame.scope}, frame.params)
 
     def run(self) -> Frame:
@@ -180,8 +182,9 @@ class Match:
         df = f.df
         for key in list(self.elems):
             df = self._node_tests(df if df is not None else f.rows(), key, keys.get(key, []), bound=True)
+        self.grain = next((k for k, e in self.elems.items() if e.prefix == f.grain), None)
         while todo:
-            at = next((e for e in todo if e[3] in self.elems or e[4] in self.elems), None)
+            at = min((e for e in todo if e[3] in self.elems or e[4] in self.elems), key=self._growth, default=None)
             if at is None:
                 start = min((k for e in todo for k in e[3:5]), key=lambda k: self._weight(keys[k]))
                 at = next(e for e in todo if start in e[3:5])
@@ -194,7 +197,9 @@ class Match:
                     df = self._scan(df, start, keys[start])
                 continue
             todo.remove(at)
+            grain = self._grain_after(at)
             df = self._expand(df, at, keys)
+            self.grain = grain
         for key, nodes in keys.items():
             if key not in self.elems:
                 df = self._scan(df, key, nodes)
@@ -211,7 +216,36 @@ class Match:
                 used = [t for e in rels for t in (e[5].tables if isinstance(e[5], Elem) else e[5]._tables) or (None,)]
                 path = Path([self.elems[k] for k in p._keys], [e[5] if isinstance(e[5], Elem) else (e[5]._steps, e[2].length[0]) for e in rels], None if None in used else tuple(used))
                 scope[p.path] = Val(T("path"), path=path)
-        return replace(f, df=df, scope=scope)
+        return replace(f, df=df, scope=scope, grain=self.elems[self.grain].prefix if self.grain else None)
+
+    def _growth(self, edge: list) -> int:
+        """How a relationship adds rows, 0: none, 1: one for a row at most, 2: no more in all than its table holds, 3: for each row those of a node that rows share.
+
+        Taken in this order, relationships that close a cycle come before the ones that meet in its hubs.
+        """
+        rel, left, right = edge[2:5]
+        if rel.var and rel.var in self.frame.scope or rel.length is None and left in self.elems and right in self.elems:
+            return 0
+        start = left if left in self.elems else right
+        if self._owner_end(edge) == start:
+            return 1
+        return 2 if start == self.grain else 3
+
+    def _owner_end(self, edge: list) -> str | None:
+        """The end that has one relationship at most, in each of the tables."""
+        rel, left, right = edge[2:5]
+        sides = {t.owner.side if t.owner else None for t, _ in rel_tables(self.frame, rel.types)}
+        if rel.length is not None or rel.direction == "both" or len(sides) != 1 or None in sides:
+            return None
+        return left if (sides == {"src"}) == (rel.direction == "out") else right
+
+    def _grain_after(self, edge: list) -> str | None:
+        """The node that no two rows share once the relationship is there."""
+        growth = self._growth(edge)
+        if growth < 2:
+            return self.grain
+        one = len(rel_tables(self.frame, edge[2].types)) == 1
+        return self._owner_end(edge) if growth == 2 and one else None
 
     def _struct_node(self, v: Val) -> Elem:
         """A node held as a struct: only its id takes part."""
@@ -269,6 +303,7 @@ class Match:
         label = self._label(nodes)
         elem, scan = scan_nodes(self.frame, label if self._static(label) else None)
         self.elems[key] = elem
+        self.grain = key if df is None else None
         if key in self.seeds:
             seed = self.seeds[key]
             scan = scan.join(seed, elem.at("id") == F.col(seed.columns[0]), "left_semi")
@@ -368,6 +403,8 @@ class Match:
     def _from_edge(self, df: DataFrame | None, edge: list, keys: dict) -> DataFrame:
         """Begin with the relationships of a pattern neither of whose nodes is bound."""
         p, _, rel, left, right, _ = edge
+        one = df is None and len(rel_tables(self.frame, rel.types)) == 1
+        self.grain = self._owner_end(edge) if one else None
         owned = self._owned(df, edge, None, keys, rel.direction)
         if owned is not None:
             df, elem, tables, cond = owned
@@ -388,6 +425,7 @@ class Match:
         """Bind the node at which a list of relationships that is there already begins."""
         rel, left = edge[2], edge[3]
         first = F.get(self.frame.scope[rel.var].column(), F.lit(0))
+        self.grain = None
         label = self._label(keys[left])
         node, scan = scan_nodes(self.frame, label if self._static(label) else None)
         self.elems[left] = node
@@ -572,7 +610,7 @@ def optional(frame: Frame, parts: list[N], where: N | None) -> Frame:
         frame, ordinal = with_numbers(frame)
     sub, on, deferred = apart(frame, parts, free_names(where))
     new = {n: v for n, v in sub.scope.items() if n not in frame.scope}
-    both = replace(frame, scope={**frame.scope, **new})
+    both = replace(frame, scope={**frame.scope, **new}, grain=None)
     for t in deferred:
         on = on & t
     if apart_first:  # what joins the predicates need comes before the left join

@@ -243,7 +243,7 @@ def unwind(frame: Frame, c: N) -> Frame:
         df, seq = frame.rows().select("*", F.posexplode(v.column()).alias(place, name)), [*seq, (place, True)]
     else:
         df = frame.rows().select("*", F.explode(v.column()).alias(name))
-    return replace(frame, df=df, seq=seq, scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
+    return replace(frame, df=df, seq=seq, grain=None, scope={**frame.scope, c.var: Val(v.t.elem, F.col(name), name=name)})
 
 
 def constant(frame: Frame, e: N, what: str) -> int:

@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 
@@ -227,6 +228,23 @@ def test_foreign_keys_are_no_joins(spark):
         assert (plan.count("Join "), plan.count("Relation [")) == (joins, scans), (name, plan)
 
 
+@pytest.mark.parametrize("text", [
+    "MATCH (c:Customer)-[:CUSTOMER_IN]->(n:Nation)<-[:SUPPLIER_IN]-(s:Supplier), (c)-[:PLACED]->(o:Order)-[:SHIPPED_BY]->(s) RETURN n.n_name AS n, count(*) AS c",
+    "MATCH (c:Customer)-[:CUSTOMER_IN]->(n:Nation) MATCH (n)<-[:SUPPLIER_IN]-(s:Supplier), (c)-[:PLACED]->(o:Order)-[:SHIPPED_BY]->(s) RETURN n.n_name AS n, count(*) AS c",
+    "MATCH (n:Nation)<-[:SUPPLIER_IN]-(s:Supplier), (n)<-[:CUSTOMER_IN]-(c:Customer), (c)-[:PLACED]->(o:Order)-[:SHIPPED_BY]->(s) RETURN n.n_name AS n, count(*) AS c",
+])
+def test_cycles_close_before_their_hubs_multiply(spark, text):
+    """No join pairs all customers and suppliers of a nation."""
+    from graphspark.queries import CATALOGUE, graph_of
+
+    g = graph_of(spark, "/root/testdata/sf0.001")
+    df = g.cypher(text).df
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    scans = re.findall(r"Relation \[(\w+)#", plan)
+    assert scans.index("l_orderkey") < max(scans.index("c_custkey"), scans.index("s_suppkey")), plan
+    assert sorted(df.collect()) == sorted(g.cypher(CATALOGUE["cycle"][0]).df.collect())
+
+
 def test_export_reads_back(spark):
     script = "CREATE (a:`odd label` {s: 'it\\'s \\\\ \\n x', f: 1.5, l: [1, 2], b: true}), (b), (a)-[:`my type` {k: -3}]->(b), (c {nan: 0.0 / 0.0, inf: -1.0 / 0.0, low: -9223372036854775808})"
     g = PropertyGraph.from_cypher(spark, script)
